@@ -34,9 +34,17 @@ def _hashes(text: Column) -> Column:
     return F.transform(native.words(native.lowered(text)), lambda w: F.xxhash64(w))
 
 
-def _shingles(h: Column) -> Column:
-    at = lambda i, j: F.element_at(h, (i + j).cast("int"))
-    return F.when(F.size(h) >= K, F.transform(F.sequence(F.lit(1), F.size(h) - K + 1), lambda i: F.xxhash64(*[at(i, F.lit(j)) for j in range(K)]))).otherwise(F.array().cast("array<long>"))
+def once(value: Column, f) -> Column:
+    """f(value) with value bound to a variable: the optimizer inlines plain columns into lambdas, to be computed per element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _shingles(hashes: Column) -> Column:
+    def of(h: Column) -> Column:
+        at = lambda i, j: F.element_at(h, (i + j).cast("int"))
+        return F.when(F.size(h) >= K, F.transform(F.sequence(F.lit(1), F.size(h) - K + 1), lambda i: F.xxhash64(*[at(i, F.lit(j)) for j in range(K)]))).otherwise(F.array().cast("array<long>"))
+
+    return once(hashes, of)
 
 
 def simhash(s: Column) -> Column:
@@ -65,7 +73,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, radius: int =
     if not 0 <= radius <= RADIUS:
         raise ValueError(f"radius must be from 0 to {RADIUS}")
     known = items.select("item_id", _hashes(native.text_of("text")).alias("h"))
-    known = known.select("item_id", F.size("h").alias("n"), _shingles(F.col("h")).alias("s")).where(F.size("s") > 0)
+    known = scratch.materialize(known.select("item_id", F.size("h").alias("n"), _shingles(F.col("h")).alias("s")).where(F.size("s") > 0))
     known = scratch.materialize(known.withColumn("fp", simhash(F.col("s"))))
     places = scratch.materialize(known.select("n", F.posexplode("s").alias("q", "s")).distinct())
     small = places.count() <= BROADCAST_ROWS
@@ -77,11 +85,14 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, radius: int =
     start = F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("first")
     windows = text.join(near(places), "s").select("_key", start, F.col("n")).distinct()
     windows = scratch.materialize(windows.groupBy("_key").agg(F.collect_list(F.struct("first", "n")).alias("windows")))
-    held = windows.join(keyed.dropDuplicates(["_key"]).withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k")).select("_key", "doc_id", _hashes(native.text_of("text")).alias("h"), "windows")
-    # texts as short as the item, or windows over the end, are moved back to the last full one
-    placed = F.transform("windows", lambda w: F.struct(F.least(w["first"], F.greatest(F.size("h") - w["n"], F.lit(0))).alias("first"), w["n"].alias("n")))
-    cut = F.transform(F.array_distinct(placed), lambda w: F.struct(w["first"].alias("first"), w["n"].alias("n"), _shingles(F.slice("h", w["first"] + 1, w["n"])).alias("s")))
-    each = held.select("_key", "doc_id", F.explode(cut).alias("w")).select("_key", "doc_id", "w.*").where(F.size("s") > 0)
+    held = windows.join(keyed.dropDuplicates(["_key"]).withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"))
+
+    # windows over the end of the text are moved back to the last full one
+    def cut(h: Column) -> Column:
+        placed = F.transform("windows", lambda w: F.struct(F.least(w["first"], F.greatest(F.size(h) - w["n"], F.lit(0))).alias("first"), w["n"].alias("n")))
+        return F.transform(F.array_distinct(placed), lambda w: F.struct(w["first"].alias("first"), w["n"].alias("n"), _shingles(F.slice(h, w["first"] + 1, w["n"])).alias("s")))
+
+    each = held.select("_key", "doc_id", F.explode(once(_hashes(native.text_of("text")), cut)).alias("w")).select("_key", "doc_id", "w.*").where(F.size("s") > 0)
     each = scratch.materialize(each.withColumn("fp", simhash(F.col("s"))))
 
     masks = [0, *(1 << i for i in range(8)), *((1 << i) | (1 << j) for i, j in combinations(range(8), 2))]

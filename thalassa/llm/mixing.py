@@ -139,7 +139,7 @@ def mix_sources(
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "mix_start")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", F.coalesce("mix_start", F.lit(-1).cast("long")).alias("mix_start"))
 
 
 SQL = r"""
@@ -165,7 +165,7 @@ e AS (SELECT p.*, turn, greatest(0, least(size, floor(target)::BIGINT - (start0
       FROM p, (VALUES (0), (1)) v(turn)),
 g AS (SELECT *, sum(words) OVER (ORDER BY (start0 + turn * source_size + words)::DOUBLE / target, sid, start0, turn, rn
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS start FROM e WHERE words > 0)
-SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(sum(g.words), 0)::BIGINT AS taken, min(g.start)::BIGINT AS mix_start
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(sum(g.words), 0)::BIGINT AS taken, coalesce(min(g.start), -1)::BIGINT AS mix_start
 FROM p LEFT JOIN g ON p.sid = g.sid AND p.rn = g.rn
 GROUP BY p.sid, p.rn, p.doc_id, p.size, p.source_size, p.target
 """

@@ -139,9 +139,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
            FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.rid AS qr, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
       FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 100 = 0)
 SELECT query_id, (row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
