@@ -27,4 +27,5 @@ def test_same_rows_as_sql(spark, con, name):
     a, b = plain(got.collect(), [got.columns.index(c) for c in cols]), plain(want.fetchall(), [want.columns.index(c) for c in cols])
     assert len(a) == len(b)
     for x, y in zip(a, b):
-        assert x == pytest.approx(y, rel=1e-6, abs=2e-6)
+        for u, v in zip(x, y):
+            assert u == (pytest.approx(v, rel=1e-6, abs=2e-6) if isinstance(v, float) else v)
