@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Number of distinct links and two sums of their hashes: one scan, equal for equal sets."""
+    of = [F.sum(F.xxhash64("u", "v", F.lit(i)).cast("decimal(38,0)")) for i in (0, 1)]
+    return tuple(edges.agg(F.count(F.lit(1)), *of).first())
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, c): the smallest node that links (a, b) reach, for each node that has a link.
 
@@ -15,7 +21,8 @@ def connected(links: DataFrame) -> DataFrame:
     grow with the logarithm of the longest path. Links of a node with itself are allowed.
     """
     edges = scratch.materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    seen = _digest(edges)
+    while seen[0]:
         # large star: every larger neighbour of u links to the least of u and its neighbours
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "w")
@@ -25,10 +32,9 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("w"))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         new = scratch.materialize(small.where("u != v").distinct())
-        changed = not new.exceptAll(edges).isEmpty() or new.count() != edges.count()
         scratch.drop(edges)
-        edges = new
-        if not changed:
+        edges, before, seen = new, seen, _digest(new)
+        if seen == before:
             break
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("c"))
     return scratch.materialize(out.unionByName(edges.select("v", "v").toDF("node", "c").distinct()))

@@ -59,6 +59,13 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.stack([got["s"].to_numpy(np.int64), got["c"].to_numpy(np.int64)])
 
 
+def set_key(x: np.ndarray) -> int:
+    """A hash of a set of shingle hashes: the finalizer of two sums, of the hashes and of their squares."""
+    with np.errstate(over="ignore"):
+        total = x.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (x * x).sum(dtype=np.uint64) + np.uint64(len(x))
+    return int(textnum.mix(np.array([total]))[0].view(np.int64))
+
+
 def bitmap(x: np.ndarray) -> bytes:
     """One bit per hashed shingle, in the smallest power of two of at least 4 n bits (64 to 65536)."""
     bits = 1 << min(16, max(6, int(4 * len(x) - 1).bit_length()))
@@ -91,7 +98,7 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarra
                 if not len(x):
                     k1.append(None), bits.append(None), prefix.append(None)
                     continue
-                k1.append(int(textnum.mix(np.array([textnum.mix(x).sum() + np.uint64(len(x))]))[0].view(np.int64)))
+                k1.append(set_key(x))
                 bits.append(bitmap(x))
                 p = len(x) - -(-num * len(x) // den) + 1
                 if len(known):
@@ -208,7 +215,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: in
     def sets(batches):
         for b in batches:
             x = list(textnum.shingle_sets(b.column(1), k))
-            key = [int(textnum.mix(np.array([textnum.mix(s).sum() + np.uint64(len(s))]))[0].view(np.int64)) for s in x]
+            key = [set_key(s) for s in x]
             ok = [p == q for p, q in zip(key, b.column(0).to_pylist())]
             yield pa.record_batch({"node": pa.array(key, pa.int64()).filter(pa.array(ok, pa.bool_())), "items": pa.array([s.tobytes() for s in x], pa.binary()).filter(pa.array(ok, pa.bool_()))})
 
