@@ -30,6 +30,9 @@ from .components import connected
 #: Entries of the list of frequent shingles that order last; only the speed depends on it.
 FREQUENT = 1 << 16
 _FLUSH = 1 << 22
+_BLOCK = 1 << 20
+#: Most rows of (node, doc_id) that are broadcast; above, they are joined by shuffling.
+BROADCAST_ROWS = 1 << 17
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -160,38 +163,43 @@ def _tiles(num: int, den: int):
 
 
 def _pairs(num: int, den: int):
-    """Over rows sorted by (token, n, node) with components: pairs of different components within the size and position bounds."""
-
-    def of(n, pos, node, comp):
-        out = []
-        for i in range(1, len(n)):
-            lo = int(np.searchsorted(n[:i] * den, n[i] * num))
-            need = -(-num * (n[lo:i] + n[i]) // (num + den))
-            ok = (comp[lo:i] != comp[i]) & (np.minimum(n[lo:i] - pos[lo:i], n[i] - pos[i]) >= need)
-            a = node[lo:i][ok]
+    """Over rows sorted by (token, n, node) with components: pairs of different components within the size and position bounds.
+
+    Of a tile that goes on in the next batch, only the rows within the size bound of its last row are kept.
+    """
+
+    def of(token, n, pos, node, comp, old):
+        """Pairs of each row from `old` on with the rows before it, in blocks of about _BLOCK candidates."""
+        tile = np.cumsum(np.append(0, token[1:] != token[:-1])) << 40
+        lo = np.searchsorted(tile + n * den, tile + n * num)
+        count = np.arange(len(n)) - lo
+        count[:old] = 0
+        ends = np.cumsum(count)
+        at = old
+        while at < len(n):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BLOCK, "right")))
+            c = count[at:upto]
+            i = np.repeat(np.arange(at, upto), c)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + lo[i]
+            i, j = (x[comp[i] != comp[j]] for x in (i, j))
+            need = -(-num * (n[i] + n[j]) // (num + den))
+            ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+            a, b = node[i[ok]], node[j[ok]]
             if len(a):
-                out.append(np.stack([np.minimum(a, node[i]), np.maximum(a, node[i])]))
-        return out
+                x = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.record_batch({"a": x[0], "b": x[1]})
+            at = upto
 
     def run(batches):
-        held = []
+        held = [np.zeros(0, np.int64)] * 5
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("token", "n", "pos", "node", "comp")]
-            if held:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
+            cols = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("token", "n", "pos", "node", "comp"))]
+            if not b.num_rows:
                 continue
-            cut = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
-            out = [x for lo, hi in zip(cut[:-1], cut[1:]) for x in of(*(c[lo:hi] for c in cols[1:]))]
-            held = [c[cut[-1] :] for c in cols]
-            if out:
-                x = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.record_batch({"a": x[0], "b": x[1]})
-        if held:
-            out = of(*held[1:])
-            if out:
-                x = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.record_batch({"a": x[0], "b": x[1]})
+            yield from of(*cols, len(held[0]))
+            token, n = cols[:2]
+            keep = (token == token[-1]) & (n * den >= n[-1] * num)
+            held = [c[keep] for c in cols]
 
     return run
 
@@ -219,6 +227,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: in
             ok = [p == q for p, q in zip(key, b.column(0).to_pylist())]
             yield pa.record_batch({"node": pa.array(key, pa.int64()).filter(pa.array(ok, pa.bool_())), "items": pa.array([s.tobytes() for s in x], pa.binary()).filter(pa.array(ok, pa.bool_()))})
 
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     arrays = scratch.materialize(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]))
 

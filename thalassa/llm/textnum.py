@@ -1,7 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns (numpy, no per-word Python work).
 
-Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word's hash is a
-tabulation hash of its bytes and positions, so equal words have equal 64-bit hashes on every machine.
+Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z. A word's hash chains
+a mixer over its eight-byte pieces, from its length, so equal words have equal 64-bit hashes on every machine.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_TABLE = mix(np.arange(1, 32 * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15)).reshape(32, 256)
-_TABLE[:, 65:91] = _TABLE[:, 97:123]
-_TABLE = np.ascontiguousarray(_TABLE).ravel()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 #: The hash of the end-of-text token of language models.
 END = int(mix(np.array([0xE0D], U))[0])
 
@@ -57,25 +58,29 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, its row, first word of each row as n+1 bounds)."""
     n = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
     solid = ~_SPACE[data]
-    first = solid.copy()
+    first, final = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
+    final[:-1] &= ~solid[1:]
     edge = offsets[:-1][offsets[:-1] < len(data)]
     first[edge] |= solid[edge]
-    at = np.flatnonzero(solid)
-    if not len(at):
+    edge = edge[edge > 0] - 1
+    final[edge] |= solid[edge]
+    starts = np.flatnonzero(first)
+    if not len(starts):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-    begin = np.flatnonzero(first[at])
-    length = np.diff(np.append(begin, len(at)))
-    pos = np.arange(len(at), dtype=np.int32) - np.repeat(begin.astype(np.int32), length)
-    part = _TABLE[((pos & 31) << 8) | data[at]]
-    far = np.flatnonzero(pos >= 32)
-    if len(far):
-        part[far] *= U(2) * (pos[far] >> 5).astype(U) + U(1)
-    h = mix(np.add.reduceat(part, begin) + length.astype(U) * U(0x9E3779B97F4A7C15))
-    starts = at[begin]
+    length = np.flatnonzero(final) + 1 - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data]
+    eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))
+    h = mix(length.astype(U) * U(0x9E3779B97F4A7C15))
+    h = mix(h ^ (eight[starts] & _FIRST[np.minimum(length, 8)]))
+    more = np.flatnonzero(length > 8)
+    done = 8
+    while len(more):
+        h[more] = mix(h[more] ^ (eight[starts[more] + done] & _FIRST[np.minimum(length[more] - done, 8)]))
+        done += 8
+        more = more[length[more] > done]
     bounds = np.searchsorted(starts, offsets)
     return h, np.repeat(np.arange(n), np.diff(bounds)), bounds
 
