@@ -143,6 +143,27 @@ def test_licenses_edges(spark):
     assert [[x.name for x in r.licenses] for r in licenses.scan(d).orderBy("doc_id").collect()] == [[], [], ["MIT"]]
 
 
+def test_licenses_of_other_list(spark, texts):
+    notes = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "licensed under a CC BY-NC-SA 4.0 license.": "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "Released under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Released under the MIT License.": "MIT",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "you are free to use it": "",
+    }
+    d = spark.createDataFrame([(i, f"so it is. {t} And more of it.") for i, t in enumerate(notes)], "doc_id long, text string")
+    assert [",".join(x.name for x in r.licenses) for r in licenses.scan(d).orderBy("doc_id").collect()] == list(notes.values())
+    got = {r.doc_id: r.licenses for r in rows(spark, "op10_license_scan")}
+    for k, t in texts.items():
+        if "Licensed under CC BY-NC 4.0." in (t or ""):
+            assert "CC-BY-NC-4.0" in got[k].split(",")
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there all.\nHow do we run it?"),

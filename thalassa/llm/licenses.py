@@ -6,6 +6,9 @@ probability 1 - (1 - J)^BANDS, 1 - 2e-8 at J = 2/3, the least that a containment
 equals the template's only if the template's minimal shingle stands in it, the windows of a band are found from the
 places of that shingle, and only those are looked at. Verification counts the template's shingles in the window.
 
+Licenses that differ in a number have like notices, so of overlapping notices only the one of most containment
+counts, of equal ones the longest.
+
 Everything is local to a text: no shuffle, and tasks hold one batch.
 
 Cases: a null or empty text has no licenses. Repeated rows are scanned each. Very long texts cost in proportion to their
@@ -23,15 +26,39 @@ from . import scratch, textnum
 
 BANDS = 16
 CONTAINMENT = 0.8
-#: Notices by which works name their license.
+#: Notices by which works name their license. A notice of fewer than five words has no shingle.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the BSD 2-Clause License."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "Licensed under the ISC License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, Version 2.0."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0.", "Licensed under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
 }
+for _code, _title in {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}.items():
+    for _v, _port in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES[f"CC-{_code}-{_v}"] = [
+            *(f"{x} under {y}CC {_code} {_v}{z}" for x in ("Licensed", "Released") for y in ("", "a ") for z in (".", "", " license.")),
+            f"This work is licensed under a Creative Commons {_title} {_v} {_port} License.",
+            f"Licensed under the Creative Commons {_title} {_v} {_port} License.",
+        ]
 
 
 class Index:
@@ -81,6 +108,18 @@ class Index:
                     done[t] = where + m
         return result
 
+    def apart(self, hits: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Of hits that overlap the one of most containment, then the longest; equal ones of different licenses all stay."""
+        taken = np.full(max((hi for _, _, hi, _ in hits), default=0), -1)
+        kept: list[tuple[int, int, int, float]] = []
+        for hit in sorted(hits, key=lambda x: (-x[3], x[1] - x[2], x[1])):
+            t, lo, hi, c = hit
+            over = [kept[k] for k in np.unique(taken[lo:hi]) if k >= 0]
+            if all((y - x, d) == (hi - lo, c) and self.names[u] != self.names[t] for u, x, y, d in over):
+                taken[lo:hi] = len(kept)
+                kept.append(hit)
+        return kept
+
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """docs with `licenses`: array<struct<name, first, last, containment>>, first and last word of each notice (from 0)."""
@@ -102,8 +141,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, contain
                 cut = np.searchsorted(r, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
                     hits = index.scan(s[cut[i] : cut[i + 1]], containment) if i in has else []
-                    best: dict[tuple, tuple] = {}
-                    for t, lo, hi, c in hits:
+                    best: dict[tuple, float] = {}
+                    for t, lo, hi, c in index.apart(hits):
                         best[index.names[t], lo, hi + 3] = c
                     found.append([{"name": k[0], "first": k[1], "last": k[2], "containment": c} for k, c in sorted(best.items(), key=lambda x: (x[0][1], x[0]))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*names, "licenses"])
