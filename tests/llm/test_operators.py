@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from thalassa.llm import leaks, licenses, quotes, registry, rnn, secrets, topk, toxicity  # noqa: E402
+from thalassa.llm import leaks, licenses, pii, quotes, registry, rnn, secrets, topk, toxicity  # noqa: E402
 
 DIR = "/root/testdata/sf0.01"
 
@@ -164,6 +164,32 @@ def test_licenses_of_other_list(spark, texts):
             assert "CC-BY-NC-4.0" in got[k].split(",")
 
 
+@pytest.fixture(scope="module")
+def told(spark):
+    """Sanitised texts: 400 of common words, one person's document with a hapax near and one far, an office's in 100, a copy of each."""
+    rng = np.random.default_rng(4)
+    fill = lambda n: " ".join(f"common{chr(97 + i)}" for i in rng.integers(0, 20, n))
+    d = [(i, fill(60)) for i in range(400)]
+    d += [(400, f"Zorblatt here: ann@x.example {fill(100)}. {fill(100)}\n\nthe quuxite of it"), (401, f"the frobnitz {fill(60)}")]
+    d += [(500 + i, f"{fill(40)} deskword {fill(40)} office@y.example") for i in range(100)]
+    return {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+
+
+def test_pii_terms_of_one_document(told):
+    assert "Zorblatt" not in told[400] and "ann@" not in told[400]
+    assert "frobnitz" in told[401]  # no entity there to protect
+
+
+def test_pii_spans_hold_all_terms(spark):
+    got = rows(spark, "op3_pii_sanitisation")
+    assert sum(r.n_terms for r in got) > 0
+    assert all(sum(x.split(":")[0] in ("remove", "general") for x in r.spans.split(",")) == r.n_terms for r in got)
+
+
+def test_pii_terms_of_hot_entity(told):
+    assert not any("deskword" in told[500 + i] for i in range(100))
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there all.\nHow do we run it?"),

@@ -1,19 +1,21 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal them (DataFrame functions only).
 
 The patterns find protected entities (email, ip, card, phone). A term discloses an entity if seeing it tells the
-entity: with N documents, n(e) that hold the entity, df(t) that hold the term and c(e, t) where the term stands within
-`REACH` code points of the entity,
-    PMI(t; e) = log2(N c / (n(e) df(t)))   and   IC(e) = log2(N / n(e)).
-PMI = IC means that every document with the term stands by the entity. For entities worth at least LEAST_BITS and terms
-seen by them in SUPPORT documents or more, a share PMI / IC of REMOVE or more has the term removed, of GENERALISE or
-more has it generalised to its kind, wherever it stands by that entity.
-
-Counts cover all documents. Co-occurrence is linear in the spans of a document (its neighbourhood, not pairs of all
-terms), and entity-term counts are aggregated before they are shuffled, so an entity in a third of the documents makes
-few rows; it is also worth too few bits to be private.
-
-Cases: a null text is empty; an empty text has no spans. Repeated rows share one verdict, as one document of the
-counts. Other columns are kept.
+entity: with N documents, n(e) that hold the entity, df(t) that hold the term and c(e, t) that hold both,
+    PMI(t; e) = log2(N P(e | t) / n(e))   and   IC(e) = log2(N / n(e)).
+P(e | t) is c / df where that is certain, and here the lower end of its interval (Wilson's, one-sided 95 %), so that any
+number of documents is judged: a term of one document says less than one of ten that all hold the entity, and a term that
+meets a common entity by chance says nothing. A share PMI / IC of REMOVE or more has the term removed, of GENERALISE or
+more has it generalised, wherever it stands in the documents that hold the entity. An entity also counts as one of its
+group (domain of an email, first three parts of an ip, first six digits of a card or phone).
+
+Terms are runs of letters or digits. Counts cover all documents and whole texts; a row is a document. Counts of entity
+and term are aggregated before they are shuffled. Entities and terms of a large part of the rows meet their counts in a
+broadcast (at most HOT of each per distinct one of a document), all others in a shuffle. Terms and entities travel as
+64-bit hashes.
+
+Cases: a null text is empty; an empty text has no spans. Repeated rows share one verdict. An entity in all documents has
+nothing to disclose. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -32,13 +34,11 @@ CARD_HINT = r"[0-9](?:[\x20-]?[0-9]){12}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "remove", "general")
 
-REACH = 64
-SUPPORT = 3
-LEAST_BITS = 4.0
+Z = 1.645
 REMOVE, GENERALISE = 0.9, 0.75
-TERM = r"\p{L}{4,}+"
-#: Terms to count over the corpus that may be broadcast; more are joined by shuffle.
-BROADCAST_TERMS = 500_000
+TERM = r"[\p{L}\p{N}]++"
+#: Keys of more than one in HOT rows are broadcast with their counts.
+HOT = 1000
 
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -76,20 +76,32 @@ def entities(text: Column) -> Column:
     return F.concat(*[kind(a, k) for k, a in enumerate((email, ip, card, phone))])
 
 
-def _near(df: DataFrame) -> DataFrame:
-    """(dk, ent, term, s, e) of the terms that stand within REACH of an entity, from (dk, text, found); one row without a term if there is none."""
-    x = df.select("dk", "_text", F.explode("found").alias("x")).select(
-        "dk",
-        F.md5(F.concat_ws(":", F.col("x.k").cast("string"), F.lower("x.m")).cast("binary")).alias("ent"),
-        F.greatest(F.col("x.s") - REACH, F.lit(0)).alias("lo"),
-        F.col("x.e").alias("hi"),
-        F.substring(F.col("_text"), F.greatest(F.col("x.s") - REACH, F.lit(0)) + 1, F.least(F.col("x.s"), F.lit(REACH))).alias("left"),
-        F.substring(F.col("_text"), F.col("x.e") + 1, F.lit(REACH)).alias("right"),
-    )
-    whole = lambda a, ok, base: F.transform(F.filter(a, ok), lambda t: F.struct(native.lowered(t["m"]).alias("term"), (t["s"] + base).alias("s"), (t["e"] + base).alias("e")))
-    left = whole(found_at(F.col("left"), TERM), lambda t: ((t["s"] > 0) | (F.col("lo") == 0)) & (t["e"] < F.length("left")), F.col("lo"))
-    right = whole(found_at(F.col("right"), TERM), lambda t: (t["s"] > 0) & ((t["e"] < F.length("right")) | (F.length("right") < REACH)), F.col("hi"))
-    return x.select("dk", "ent", F.explode_outer(F.concat(left, right)).alias("t")).select("dk", "ent", "t.term", "t.s", "t.e")
+def _ent(x: Column) -> list[Column]:
+    """Hashes of an entity and of its group."""
+    m, kind = F.lower(x["m"]), x["k"]
+    group = F.when(kind == 0, F.substring_index(m, "@", -1)).when(kind == 1, F.substring_index(m, ".", 3)).otherwise(F.substring(_digits(m), 1, 6))
+    return [F.xxhash64(F.lit("entity"), kind, m), F.xxhash64(F.lit("group"), kind, group)]
+
+
+def _held(known: DataFrame) -> DataFrame:
+    """(dk, ents, terms): hashes of the entities, and hash and place of each term, of the documents with entities."""
+    terms = F.transform(found_at(F.col("_text"), TERM), lambda t: F.struct(F.xxhash64(native.lowered(t["m"])).alias("term"), t["s"].alias("s"), t["e"].alias("e")))
+    ents = F.array_distinct(F.flatten(F.transform("found", lambda x: F.array(*_ent(x)))))
+    return known.where(F.size("found") > 0).select("dk", ents.alias("ents"), terms.alias("terms"))
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """(dk, ent, term) of each document once."""
+    x = held.select("dk", "ents", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+    return x.select("dk", F.explode("ents").alias("ent"), "term")
+
+
+def _with(df: DataFrame, counts: DataFrame, key: str, least: float) -> DataFrame:
+    """df joined with counts (key, value) of which one is for each key; keys of `least` or more by broadcast."""
+    value = next(c for c in counts.columns if c != key)
+    hot = df.join(F.broadcast(counts.where(F.col(value) >= least)), key, "left")
+    rest = hot.where(F.col(value).isNull()).drop(value).join(counts.where(F.col(value) < least), key)
+    return hot.where(F.col(value).isNotNull()).unionByName(rest)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -97,34 +109,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", text).withColumn("dk", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary")))
 
 
-def disclosures(docs: DataFrame, near: DataFrame, n_docs: int) -> DataFrame:
+def lower_bound(c: Column, n: Column, z: float = Z) -> Column:
+    """The lower end of Wilson's interval of a share c / n."""
+    p = c / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosures(docs: DataFrame, held: DataFrame, n_docs: int) -> DataFrame:
     """(ent, term, k): the terms to remove (4) or generalise (5) by each entity."""
-    each = near.groupBy("ent", "term", "dk").agg(F.lit(1).alias("one"))
-    held = near.select("ent", "dk").distinct().groupBy("ent").agg(F.count(F.lit(1)).alias("n"))
-    held = held.where(F.log2(F.lit(float(n_docs)) / F.col("n")) >= LEAST_BITS).withColumnRenamed("ent", "_ent")
-    both = each.where("term IS NOT NULL").groupBy("ent", "term").agg(F.sum("one").alias("c")).where(F.col("c") >= SUPPORT)
-    both = scratch.materialize(both.join(held, F.col("ent") == F.col("_ent")).drop("_ent"))
-    terms = scratch.materialize(both.select("term").distinct())
-    small = terms.count() <= BROADCAST_TERMS
-    used = docs.select(F.explode(F.array_distinct(native.found(native.lowered(native.text_of("text")), TERM))).alias("w"))
-    pick = terms.withColumnRenamed("term", "w")
-    df_ = (used.join(F.broadcast(pick), "w") if small else used.groupBy("w").agg(F.count(F.lit(1)).alias("df")).join(pick, "w")).groupBy("w").agg(
-        (F.count(F.lit(1)) if small else F.sum("df")).alias("df")
-    )
-    ic = F.log2(F.lit(float(n_docs)) / F.col("n"))
-    share = F.log2(F.lit(float(n_docs)) * F.col("c") / (F.col("n") * F.col("df"))) / ic
-    return both.join(df_, F.col("term") == F.col("w")).withColumn("share", share).where(F.col("share") >= GENERALISE).select(
-        "ent", "term", F.when(F.col("share") >= REMOVE, 4).otherwise(5).alias("k")
-    )
+    one = F.count(F.lit(1))
+    n = scratch.materialize(held.select(F.explode("ents").alias("ent")).groupBy("ent").agg(one.alias("n")))
+    each = F.array_distinct(F.transform(native.found(native.lowered(native.text_of("text")), TERM), lambda t: F.xxhash64(t)))
+    df_ = scratch.materialize(docs.select(F.explode(each).alias("term")).groupBy("term").agg(one.alias("df")))
+    both = scratch.materialize(_pairs(held).groupBy("ent", "term").agg(one.alias("c")))
+    least = max(2.0, n_docs / HOT)
+    both = _with(_with(both, n, "ent", least), df_, "term", least)
+    rate = F.lit(float(n_docs)) / F.col("n")
+    share = F.log2(rate * F.greatest(lower_bound(F.col("c"), F.col("df")), F.lit(1e-12))) / F.log2(rate)
+    return both.where(F.col("n") < n_docs).withColumn("share", share).where(F.col("share") >= GENERALISE).select("ent", "term", F.when(F.col("share") >= REMOVE, 4).otherwise(5).alias("k"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with `found` (entities by kind and start) and `terms` (array<struct<s, e, k>> by start) of terms that disclose them."""
     known = _keyed(docs).withColumn("found", entities(F.col("_text")))
-    near = scratch.materialize(_near(known.where(F.size("found") > 0)))
-    flagged = disclosures(docs, near, docs.count())
-    hit = near.where("term IS NOT NULL").join(flagged.withColumnsRenamed({"ent": "_ent", "term": "_term"}), (F.col("ent") == F.col("_ent")) & (F.col("term") == F.col("_term")))
-    by = hit.groupBy("dk", "s", "e").agg(F.min("k").alias("k")).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("s", "e", "k"))).alias("terms"))
+    held = scratch.materialize(_held(known))
+    flagged = disclosures(docs, held, docs.count())
+    told = _pairs(held).join(flagged, ["ent", "term"]).groupBy("dk", "term").agg(F.min("k").alias("k"))
+    places = held.select("dk", F.explode("terms").alias("t")).select("dk", "t.term", "t.s", "t.e")
+    by = places.join(told, ["dk", "term"]).groupBy("dk", "s", "e").agg(F.min("k").alias("k")).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("s", "e", "k"))).alias("terms"))
     out = known.drop("_text").join(by.withColumnRenamed("dk", "_dk"), F.col("dk") == F.col("_dk"), "left").drop("_dk", "dk")
     none = F.array().cast("array<struct<s:int,e:int,k:int>>")
     # a term within another entity's span is covered already
@@ -149,7 +161,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found, terms = F.col("found"), F.col("terms")
     n = lambda k: F.size(F.filter(found, lambda x: x["k"] == k)).cast("long")
-    by_kind = F.concat(*[F.filter(terms, lambda x, k=k: x["k"] == k) for k in (4, 5)])
+    of = lambda k: F.filter(terms, lambda x: x["k"] == k)
+    by_kind = F.concat(of(4), of(5))
     return scan(docs).select(
         "doc_id",
         *[n(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])],
