@@ -190,6 +190,11 @@ def test_pii_terms_of_hot_entity(told):
     assert not any("deskword" in told[500 + i] for i in range(100))
 
 
+def test_pii_terms_far_from_entity(told):
+    assert "quuxite" not in told[400]
+    assert all(f"common{c}" in told[400] for c in "abcdefghij")
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there all.\nHow do we run it?"),
