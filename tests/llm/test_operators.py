@@ -74,6 +74,16 @@ def test_lm_outputs_sum_to_one_and_carry_state():
     assert np.allclose(m.score(place, np.array([0, len(place)])), want, atol=1e-4)
 
 
+def test_lm_trains_on_all_texts(spark, docs):
+    m = rnn.Gru(np.ones(rnn.VOCABULARY + 1))
+    before = m.flat()
+    assert m.train(np.array([5, 6, 7, 0], np.int32), 0.01) == 4
+    assert not np.array_equal(before, m.flat())
+    train = docs.where("doc_id < 300").select("doc_id", "text").repartition(7)
+    _, total, _, counts = rnn.counted(train)
+    assert rnn.fit(train, counts).seen == total
+
+
 def test_topk_brute(spark):
     v = [(i, [float(x) for x in row]) for i, row in enumerate(np.random.default_rng(3).normal(size=(450, 8)).astype(np.float32))]
     v += [(7, v[0][1]), (900, None), (901, [float("nan")] * 8), (100, v[5][1])]

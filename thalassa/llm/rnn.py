@@ -7,8 +7,9 @@ vocabulary. A text starts from a zero state with the end as input; the state is
 
 Word counts are those of all training rows, summed in each task before they are shuffled; the counts of the FREQUENT
 most frequent words (a fixed number) travel with the tasks, all other words of a text meet their counts in a join.
-Training: every SHARE-th training text (by hash) gives windows of WINDOW steps in LANES lanes, state carried over; each
-task trains from the same start and ROUNDS times the parameters (a fixed number, about 70,000) are averaged by tokens.
+Training: every training text is seen once, in one of ROUNDS rounds by its hash. A task folds its texts into LANES lanes
+of windows of WINDOW steps, state carried over, the last ones padded; each task trains from the same start, and after
+each round the parameters are averaged by tokens.
 
 Cases: a null or empty text has the end alone. A null doc_id trains and is not held out. Repeated rows are scored each,
 and each counts. Without training rows the counts are 0 and the outputs uniform. Other columns are ignored.
@@ -28,7 +29,7 @@ from . import scratch, textnum
 VOCABULARY, CLASS, HIDDEN = 1024, 32, 16
 FREQUENT = 1 << 17
 FOLDS, HELD = 7, 2
-SHARE, ROUNDS = 12, 2
+ROUNDS = 2
 WINDOW, LANES = 16, 64
 SCORE_WINDOW = 32
 _FLUSH = 1 << 22
@@ -169,13 +170,16 @@ class Gru:
         return out, dh
 
     def train(self, stream: np.ndarray, rate: float) -> int:
-        """One pass over a stream of places, folded into lanes. Returns the number of tokens."""
-        width = (len(stream) - 1) // LANES // WINDOW * WINDOW
-        if not width:
+        """One pass over a stream of places (whole texts), folded into lanes and padded. Returns the number of tokens."""
+        if not len(stream):
             return 0
         end = 0
-        x = stream[: LANES * width].reshape(LANES, width)
-        y = stream[1 : LANES * width + 1].reshape(LANES, width)
+        width = -(-len(stream) // (LANES * WINDOW)) * WINDOW
+        y = np.zeros(LANES * width, stream.dtype)
+        y[: len(stream)] = stream
+        x = np.append(end, y[:-1]).astype(stream.dtype).reshape(LANES, width)
+        real = (np.arange(LANES * width) < len(stream)).reshape(LANES, width)
+        y = y.reshape(LANES, width)
         h = np.zeros((LANES, HIDDEN), np.float32)
         if not hasattr(self, "m"):
             self.m, self.v, self.t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
@@ -188,7 +192,9 @@ class Gru:
                 states.append(new)
                 h = new
             g = {k: np.zeros_like(a) for k, a in self.p.items()}
-            _, dout = self.outputs(np.concatenate(states), y[:, lo : lo + WINDOW].T.ravel(), g)
+            on = real[:, lo : lo + WINDOW].T.ravel()
+            dout = np.zeros((WINDOW * LANES, HIDDEN), np.float32)
+            _, dout[on] = self.outputs(np.concatenate(states)[on], y[:, lo : lo + WINDOW].T.ravel()[on], g)
             dout = dout.reshape(WINDOW, LANES, HIDDEN)
             dh, dx = np.zeros_like(h), np.zeros((WINDOW, LANES, 3 * HIDDEN), np.float32)
             for t in reversed(range(WINDOW)):
@@ -211,7 +217,7 @@ class Gru:
                 self.m[k] += np.float32(0.1) * (d - self.m[k])
                 self.v[k] += np.float32(0.001) * (d * d - self.v[k])
                 a -= np.float32(warm) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-7))
-        return LANES * width
+        return len(stream)
 
     def score(self, place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The natural log-probability of each place, texts by bounds; states are carried across windows."""
@@ -238,8 +244,10 @@ class Gru:
 
 
 def fit(docs: DataFrame, counts: Counts) -> Gru:
+    """The network of all texts of docs; `seen` has the number of tokens trained on."""
     model = Gru(counts.mass)
-    sample = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE * ROUNDS)).alias("h"))
+    model.seen = 0
+    dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).alias("h"))
     for turn in range(ROUNDS):
         rate = 0.01 / (1 + 2 * turn)
 
@@ -259,22 +267,29 @@ def fit(docs: DataFrame, counts: Counts) -> Gru:
                 flat = model.flat().astype(np.float64)
                 yield pa.record_batch({"i": np.arange(len(flat), dtype=np.int32), "v": flat * seen, "n": np.full(len(flat), float(seen))})
 
-        new = sample.where(F.col("h") == turn * SHARE).select("text").mapInArrow(run, "i int, v double, n double")
-        flat = new.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas().sort_values("i")["v"].to_numpy()
-        if len(flat):
-            model.load(flat)
+        new = dealt.where(F.col("h") == turn).select("text").mapInArrow(run, "i int, v double, n double")
+        mean = new.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"), F.sum("n").alias("n")).toPandas().sort_values("i")
+        if len(mean):
+            model.load(mean["v"].to_numpy())
+            model.seen += int(mean["n"].iloc[0])
     return model
 
 
+def counted(train: DataFrame) -> tuple[DataFrame, int, int, Counts]:
+    """(all word counts, their sum, the number of words, what travels of them)."""
+    all_ = scratch.materialize(word_counts(train))
+    total, distinct = all_.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    top = all_.orderBy(F.desc("c"), "w").limit(FREQUENT).toPandas()
+    counts = Counts(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total, distinct)
+    return all_, total, distinct, counts
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs (doc_id, text)."""
     scratch.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     train = docs.where(~held_out())
-    all_ = scratch.materialize(word_counts(train))
-    total, distinct = all_.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = all_.orderBy(F.desc("c"), "w").limit(FREQUENT).toPandas()
-    counts = Counts(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total, distinct)
+    all_, total, distinct, counts = counted(train)
     model = fit(train, counts)
     whole = distinct <= FREQUENT
 
