@@ -84,6 +84,18 @@ def test_lm_trains_on_all_texts(spark, docs):
     assert rnn.fit(train, counts).seen == total
 
 
+def test_lm_rare_words_have_places(spark, docs):
+    all_, total, distinct, counts = rnn.counted(docs.select("doc_id", "text"))
+    w = all_.toPandas()
+    c, place = counts.look(w["w"].to_numpy(np.int64).view(np.uint64))
+    assert (c == w["c"]).all()
+    tail = place >= rnn.VOCABULARY
+    assert len(set(place[tail])) > distinct**0.5 / 2
+    assert counts.mass.sum() == total
+    share = np.bincount(place[tail] - rnn.VOCABULARY, (c[tail] + 1) / counts.rest[place[tail] - rnn.VOCABULARY], counts.buckets)
+    assert np.allclose(share + 1 / counts.rest, 1)  # and one for unseen words
+
+
 def test_topk_brute(spark):
     v = [(i, [float(x) for x in row]) for i, row in enumerate(np.random.default_rng(3).normal(size=(450, 8)).astype(np.float32))]
     v += [(7, v[0][1]), (900, None), (901, [float("nan")] * 8), (100, v[5][1])]

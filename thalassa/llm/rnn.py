@@ -2,8 +2,10 @@
 
 Tokens are words (A-Z as a-z) and one end per text. The VOCABULARY - most frequent training words and the end have
 outputs of their own, in classes of CLASS words by frequency: P(word) = P(class | state) P(word | class, state). All
-other words share one output, and share it by their counts: (c + 1) / (N' + V' + 1) over the words outside the
-vocabulary. A text starts from a zero state with the end as input; the state is carried across windows to its end.
+other words are dealt by hash to buckets with an input and an output each, in classes likewise; there are as many buckets
+as the root of the number of words, so they grow with the corpus. A bucket's words share its output by their counts:
+(c + 1) / (N' + V' + 1) over the words of the bucket. A text starts from a zero state with the end as input; the state
+is carried across windows to its end.
 
 Word counts are those of all training rows, summed in each task before they are shuffled; the counts of the FREQUENT
 most frequent words (a fixed number) travel with the tasks, all other words of a text meet their counts in a join.
@@ -72,11 +74,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def buckets(distinct: int) -> int:
+    """The number of buckets for the words outside the vocabulary, of `distinct` words in all."""
+    return CLASS * max(1, -int(-(distinct**0.5) // CLASS))
+
+
+def bucket(w: np.ndarray, n: int) -> np.ndarray:
+    return ((w >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
+
+
 class Counts:
-    """The totals of all words and the counts of the most frequent ones."""
+    """The totals of all words, the counts of the most frequent ones, and by bucket the sum (tail_c) and number (tail_n) of all."""
 
-    def __init__(self, w: np.ndarray, c: np.ndarray, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
+    def __init__(self, w: np.ndarray, c: np.ndarray, tail_c: np.ndarray, tail_n: np.ndarray):
+        self.buckets = len(tail_c)
         rank = np.argsort(-c, kind="stable")
         ends = np.flatnonzero(w[rank] == _END)
         if len(ends):  # the end always has an output
@@ -84,21 +95,23 @@ class Counts:
         vocabulary = rank[:VOCABULARY]
         order = np.argsort(w)
         self.w, self.c = w[order], c[order]
-        place = np.full(len(w), VOCABULARY, np.int32)
+        place = VOCABULARY + bucket(w, self.buckets)
         place[vocabulary] = np.arange(len(vocabulary))
         self.place = place[order]
-        self.mass = np.zeros(VOCABULARY + 1)
+        own = bucket(w[vocabulary], self.buckets)
+        self.mass = np.zeros(VOCABULARY + self.buckets)
         self.mass[: len(vocabulary)] = c[vocabulary]
-        self.mass[VOCABULARY] = total - c[vocabulary].sum()
-        self.rest = self.mass[VOCABULARY] + max(0, distinct - len(vocabulary)) + 1
+        self.mass[VOCABULARY:] = tail_c - np.bincount(own, c[vocabulary], self.buckets)
+        self.rest = self.mass[VOCABULARY:] + tail_n - np.bincount(own, minlength=self.buckets) + 1
 
     def look(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, -1 if it must be joined; place in the vocabulary, VOCABULARY for all others)."""
+        """(count, -1 if it must be joined; place: below VOCABULARY in the vocabulary, else that of the bucket)."""
+        other = VOCABULARY + bucket(t, self.buckets)
         if not len(self.w):
-            return np.full(len(t), -1), np.where(t == _END, 0, VOCABULARY).astype(np.int32)
+            return np.full(len(t), -1), np.where(t == _END, 0, other).astype(np.int32)
         at = np.minimum(np.searchsorted(self.w, t), len(self.w) - 1)
         known = self.w[at] == t
-        return np.where(known, self.c[at], -1), np.where(known, self.place[at], VOCABULARY).astype(np.int32)
+        return np.where(known, self.c[at], -1), np.where(known, self.place[at], other).astype(np.int32)
 
 
 def _sigmoid(x):
@@ -108,22 +121,24 @@ def _sigmoid(x):
 class Gru:
     """Input table, recurrence, and the two layers of the factored softmax."""
 
-    CLASSES = VOCABULARY // CLASS + 1
-    SHAPES = {"x": (VOCABULARY + 1, 3 * HIDDEN), "uzr": (HIDDEN, 2 * HIDDEN), "un": (HIDDEN, HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (VOCABULARY, HIDDEN), "bw": (VOCABULARY,)}
-
     def __init__(self, mass: np.ndarray):
+        """mass: the count of each place."""
+        n = len(mass)
+        self.classes = -(-n // CLASS)
+        full = self.classes * CLASS
+        self.shapes = {"x": (n, 3 * HIDDEN), "uzr": (HIDDEN, 2 * HIDDEN), "un": (HIDDEN, HIDDEN), "wc": (HIDDEN, self.classes), "bc": (self.classes,), "ww": (full, HIDDEN), "bw": (full,)}
         rng = np.random.default_rng(5)
-        self.p = {k: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in self.SHAPES.items()}
-        by_class = np.append(mass[:VOCABULARY].reshape(-1, CLASS).sum(1), mass[VOCABULARY])
-        self.p["bc"][:] = np.log(by_class + 0.5)
-        self.p["bw"][:] = np.log(mass[:VOCABULARY] + 0.5)
+        self.p = {k: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in self.shapes.items()}
+        self.p["bc"][:] = np.log(np.append(mass, np.zeros(full - n)).reshape(-1, CLASS).sum(1) + 0.5)
+        self.p["bw"][:n] = np.log(np.asarray(mass) + 0.5)
+        self.p["bw"][n:] = -1e9  # no place
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for k, s in self.SHAPES.items():
+        for k, s in self.shapes.items():
             n = int(np.prod(s))
             self.p[k] = flat[at : at + n].reshape(s).astype(np.float32)
             at += n
@@ -152,8 +167,8 @@ class Gru:
             grad["bc"] += pc.sum(0)
             dh = pc @ self.p["wc"].T
         order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.CLASSES))
-        for k in range(self.CLASSES - 1):
+        cut = np.searchsorted(c[order], np.arange(self.classes + 1))
+        for k in range(self.classes):
             rows = order[cut[k] : cut[k + 1]]
             if not len(rows):
                 continue
@@ -280,7 +295,11 @@ def counted(train: DataFrame) -> tuple[DataFrame, int, int, Counts]:
     all_ = scratch.materialize(word_counts(train))
     total, distinct = all_.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = all_.orderBy(F.desc("c"), "w").limit(FREQUENT).toPandas()
-    counts = Counts(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total, distinct)
+    n = buckets(distinct)
+    by = all_.groupBy((F.shiftrightunsigned("w", 40) % n).alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
+    tail_c, tail_n = np.zeros(n), np.zeros(n)
+    tail_c[by["b"].to_numpy(np.int64)], tail_n[by["b"].to_numpy(np.int64)] = by["c"], by["n"]
+    counts = Counts(top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), tail_c, tail_n)
     return all_, total, distinct, counts
 
 
@@ -300,7 +319,7 @@ def score(docs: DataFrame) -> DataFrame:
                 c, place = counts.look(t)
                 p = model.score(place, bounds) / np.log(10)
                 local = np.log10(np.maximum(c, 0) + 1.0)
-                p += np.where(place == VOCABULARY, local - np.log10(counts.rest), 0)
+                p += np.where(place >= VOCABULARY, local - np.log10(counts.rest[np.maximum(place - VOCABULARY, 0)]), 0)
                 lo = bounds[:-1]
                 n_all.append(np.diff(bounds))
                 known.append(np.add.reduceat((c > 0).astype(np.int64), lo))
