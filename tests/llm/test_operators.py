@@ -235,6 +235,16 @@ def test_quotes(spark):
     assert d.parent_turn is None
 
 
+def test_random_tokens_without_digits(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+    d = [(i, f"the key is {''.join(rng.choice(letters, 48))} and no more") for i in range(40)]
+    d += [(100 + i, "an internationalisation-of-the-interoperability of Donaudampfschifffahrtsgesellschaft") for i in range(40)]
+    got = {r.doc_id: [x.k for x in r.secrets] for r in secrets.scan(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert sum(got[i] == [3] for i in range(40)) >= 30
+    assert all(got[100 + i] == [] for i in range(40))
+
+
 def test_redact_edges(spark):
     d = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, 'x password="abcdef12" y', 0)], "doc_id long, text string, n_chars long")
     assert [r.text for r in secrets.redact(d).orderBy("doc_id").collect()][:2] == [None, ""]
