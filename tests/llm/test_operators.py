@@ -245,6 +245,14 @@ def test_random_tokens_without_digits(spark):
     assert all(got[100 + i] == [] for i in range(40))
 
 
+def test_quotes_of_least_owner(spark):
+    rows = [(1, 0, "> the shared passage\nyes"), (1, 1, "the shared passage"), (4, 3, "the shared passage"), (3, 2, "the shared passage"), (3, 1, "> The shared passage\nno")]
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got[1, 0] == (3, 2)
+    assert got[3, 1] == (1, 1)
+    assert got[4, 3] == (None, None)
+
+
 def test_redact_edges(spark):
     d = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, 'x password="abcdef12" y', 0)], "doc_id long, text string, n_chars long")
     assert [r.text for r in secrets.redact(d).orderBy("doc_id").collect()][:2] == [None, ""]

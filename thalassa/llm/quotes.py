@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, textnum
@@ -147,14 +147,18 @@ def links(messages: DataFrame) -> DataFrame:
     own = _keys(messages, True).select("conv_id", "turn", "key")
     own = own.join(F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted, "key", "left_semi")
     first = scratch.materialize(own.groupBy("key", "conv_id").agg(F.min("turn").alias("own_turn")))
-    far = first.groupBy("key").agg(F.min(F.struct("conv_id", "own_turn")).alias("far"))
+    # the two least owners, one of which is another conversation; tasks keep two rows of a key before the shuffle
+    two = first.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("conv_id"))).where("place <= 2")
+    at = F.struct("conv_id", "own_turn")
+    far = two.groupBy("key").agg(F.min(at).alias("far"), F.max(at).alias("next"))
     each = quoted.dropDuplicates(["conv_id", "turn", "key", "level"])
     each = each.join(first, ["key", "conv_id"], "left").join(far, "key", "left")
     here = F.col("own_turn") < F.col("turn")
+    there = lambda f: F.when(F.col("far.conv_id") != F.col("conv_id"), F.col(f"far.{f}")).when(F.col("next.conv_id") != F.col("conv_id"), F.col(f"next.{f}"))
     each = each.select(
         "conv_id", "turn", "level", "words",
-        F.when(here, F.col("conv_id")).when(F.col("far.conv_id") != F.col("conv_id"), F.col("far.conv_id")).alias("parent_conv"),
-        F.when(here, F.col("own_turn")).when(F.col("far.conv_id") != F.col("conv_id"), F.col("far.own_turn")).alias("parent_turn"),
+        F.when(here, F.col("conv_id")).otherwise(there("conv_id")).alias("parent_conv"),
+        F.when(here, F.col("own_turn")).otherwise(there("own_turn")).alias("parent_turn"),
     ).where("parent_conv IS NOT NULL")
     votes = each.groupBy("conv_id", "turn", "level", "parent_conv", "parent_turn").agg(F.sum("words").alias("words"))
     best = votes.groupBy("conv_id", "turn").agg(
