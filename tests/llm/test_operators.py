@@ -123,6 +123,13 @@ def test_toxicity_edges(spark):
     assert [r.toxic_score for r in toxicity.score(d, None).collect()] == [0.0] * 3
 
 
+def test_toxicity_same_epochs_for_all_sizes():
+    for n in (100, 5000):
+        m = toxicity.FactorizationMachine(np.arange(4))
+        m.fit([np.array([i % 4], np.int32) for i in range(n)], np.arange(n) % 2, epochs=8)
+        assert m.steps == 8 * n
+
+
 def shingles(w):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 

@@ -50,6 +50,7 @@ class FactorizationMachine:
         self.index = np.full(1 << BITS, -1, np.int32)
         self.index[features] = np.arange(len(features))
         self.w0, self.w = 0.0, np.zeros(len(features))
+        self.steps = 0
         self.v = rng.normal(0, 0.02, (len(features), rank))
 
     def active(self, buckets: np.ndarray) -> np.ndarray:
@@ -65,8 +66,8 @@ class FactorizationMachine:
         rng = np.random.default_rng(11)
         g0, gw, gv = 1e-6, np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6)
         self.w0 = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        # a pass costs rows * active features; large samples need fewer passes for as many steps
-        for _ in range(max(4, min(epochs, epochs * 2000 // len(y)))):
+        for _ in range(epochs):
+            self.steps += len(y)
             for r in rng.permutation(len(y)):
                 i = x[r]
                 s = self.v[i].sum(0)
