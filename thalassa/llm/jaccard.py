@@ -3,21 +3,31 @@
 A document's set is its distinct k-word shingles. Equal sets become one node (copies are never expanded to pairs).
 A node's shingles are ordered rarest first (a fixed-size list of frequent shingles last); two sets with Jaccard >= t
 share one of the first n - ceil(t n) + 1, so each node is listed under those. A tile is the nodes of one such shingle
-and one band of set sizes; tiles stream through sorted partitions and are never gathered.
+and one band of set sizes; tiles are range-sorted by (shingle, size), so that a tile of a third of all nodes lies in
+many partitions.
 
-Round 1 proposes, per tile, the link of each node to the tile's first node and to its neighbour in size. Round 2 takes
-the tiles that still hold more than one component and proposes every pair of different components that sizes and
-positions allow. Proposals of either round pass the bitmap bound, then the exact intersection. As every pair that may
-link is either proposed or already within one component, the components are those of all links.
+Signatures are bitmaps of one parity bit per hash value: a bit that differs between two sets stands for an element of
+one set only, so the bit count of their exclusive or bounds the overlap from above, and folding a bitmap to half its
+length keeps that true.
+
+Round 1 proposes one partner per node: of the first node of its tiles and of its neighbours in size the one it shares
+most tiles with. Rounds 2 and 3 take the tiles that still hold several components. Round 2 proposes all pairs of
+different components of those of at most SMALL nodes. Larger tiles go in blocks of at most TILE nodes; the nodes outside
+a tile's largest component stand in each of its blocks, so that every pair of different components meets. Within a block
+sizes, positions and bitmap bounds are tested. Of the pairs that pass, round 2 proposes a spanning forest, closest first,
+which joins a group of near copies by as many rows as it has nodes; round 3 all between the components of then. Proposals of every round are verified by exact intersection. As every pair that may link is
+either proposed in round 3 or already within one component, the components are those of all links.
 
 Cases: null, empty and blank texts have no shingles, link with nothing and are their own component; a text of fewer
 than k words has its whole sequence as one shingle; a null doc_id keeps its row; repeated rows are copies. Other
-columns are ignored. Ties and order do not matter: the component id is the smallest doc_id.
+columns are ignored. Ties and order do not matter: the component id is the smallest doc_id. Shingles and sets are known
+by 64-bit hashes: among 10^9 different sets two share one with a chance of about 3 in 100.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +40,14 @@ from .components import connected
 #: Entries of the list of frequent shingles that order last; only the speed depends on it.
 FREQUENT = 1 << 16
 _FLUSH = 1 << 22
-_BLOCK = 1 << 20
+#: Pairs that are tested at a time.
+_BLOCK = 1 << 17
+#: Rows on either side that are looked at for a partner.
+REACH = 8
+#: Rows up to which a tile's pairs are proposed without bitmaps.
+SMALL = 8
+#: Most nodes of a block of a tile.
+TILE = 1 << 14
 #: Most rows of (node, doc_id) that are broadcast; above, they are joined by shuffling.
 BROADCAST_ROWS = 1 << 17
 
@@ -70,23 +87,63 @@ def set_key(x: np.ndarray) -> int:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """One bit per hashed shingle, in the smallest power of two of at least 4 n bits (64 to 65536)."""
-    bits = 1 << min(16, max(6, int(4 * len(x) - 1).bit_length()))
-    m = np.zeros(bits, np.uint8)
-    m[(x & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(m, bitorder="little").tobytes()
-
-
-def _fold(m: np.ndarray, size: int) -> np.ndarray:
-    return np.bitwise_or.reduce(m.reshape(-1, size), axis=0)
-
-
-def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
-    """An upper bound of |A & B|: a bit set in only one bitmap stands for an element of one set only."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    x, y = _fold(x, size), _fold(y, size)
-    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+    """One parity bit per hash value, in the smallest power of two of at least 1.5 n bits (64 to 65536)."""
+    bits = 1 << min(16, max(6, int(1.5 * len(x) - 1).bit_length()))
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """The bitmaps of some nodes, as rows of a matrix per length."""
+
+    def __init__(self, column: pa.Array):
+        off = column.offsets.to_numpy() if isinstance(column, pa.LargeBinaryArray) else np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)
+        self.length = np.diff(off)
+        self.place = {}
+        for size in np.unique(self.length):
+            # bitmaps of this length, and those of twice the length folded
+            at = np.full(len(self.length), -1)
+            rows = [np.flatnonzero(self.length == size), np.flatnonzero(self.length == 2 * size)]
+            own = data[off[rows[0]][:, None] + np.arange(size)].view(np.uint64)
+            two = data[off[rows[1]][:, None] + np.arange(2 * size)].view(np.uint64)
+            at[rows[0]], at[rows[1]] = np.arange(len(rows[0])), len(rows[0]) + np.arange(len(rows[1]))
+            half = size // 8
+            self.place[int(size)] = at, np.concatenate([own, two[:, :half] ^ two[:, half:]])
+
+    def difference(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of elements that are in one of the sets i, j only."""
+        size = np.minimum(self.length[i], self.length[j])
+        out = np.zeros(len(i), np.int64)
+        for s, (at, rows) in self.place.items():
+            mine = np.flatnonzero((size == s) & (at[i] >= 0) & (at[j] >= 0))
+            if len(mine):
+                out[mine] = np.bitwise_count(rows[at[i[mine]]] ^ rows[at[j[mine]]]).sum(1)
+        return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Indices of links (a, b) between n components that span all that the links join, nearest first."""
+    live = np.argsort(far, kind="stable")
+    label, picked = np.arange(n), [np.zeros(0, np.int64)]
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return np.concatenate(picked)
+        best = np.full(n, len(live))
+        np.minimum.at(best, x, np.arange(len(live)))
+        np.minimum.at(best, y, np.arange(len(live)))
+        chosen = np.unique(best[best < len(live)])
+        picked.append(live[chosen])
+        x, y, to = x[chosen], y[chosen], np.arange(n)
+        while (to[x] != to[y]).any():
+            low = np.minimum(to[x], to[y])
+            np.minimum.at(to, x, low)
+            np.minimum.at(to, y, low)
+            to = to[to]
+        label = to[label]
 
 
 def _signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
@@ -124,54 +181,72 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarra
 
 
 def _tiles(num: int, den: int):
-    """Over rows sorted by (token, n, node): drops tokens with one node, adds the tile's first node and the previous node."""
+    """Over rows sorted by (token, n, node): drops rows without a partner, adds the tile's first node and the previous node.
+
+    A partner is a row of the same token whose size and position allow a link. It is looked for among the REACH rows on
+    either side; rows with more rows within their size bound stay, and so do a partition's first and last token, which
+    may go on in another partition.
+    """
     step = np.log(den / num)
 
+    def partnered(token, n, pos):
+        """Whether each row has a partner, or may have one beyond reach."""
+        n, pos, out = n.astype(np.int64), pos.astype(np.int64), np.zeros(len(n), bool)
+        for d in range(1, REACH + 2):
+            i, j = slice(0, -d), slice(d, None)
+            ok = (token[i] == token[j]) & (n[i] * den >= n[j] * num)
+            if d <= REACH:
+                ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= -(-num * (n[i] + n[j]) // (num + den))
+            out[i] |= ok
+            out[j] |= ok
+        return out
+
     def run(batches):
-        last = None  # the last row, not given out yet: (token, n, pos, node, head, prev, shared)
-        for b in batches:
-            token, n, pos, node = (b.column(c).to_numpy() for c in ("token", "n", "pos", "node"))
-            if not len(token):
+        names = ("token", "n", "pos", "node")
+        held = [np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64)]
+        edge = None
+        for b in chain(batches, [None]):
+            if b is not None:
+                rows = [np.append(h, b.column(c).to_numpy()) for h, c in zip(held, names)]
+                if not len(rows[0]):
+                    continue
+                # the last token goes on in the next batch, if it is not of many rows
+                token = rows[0]
+                edge = token[0] if edge is None else edge
+                whole = int(np.searchsorted(token, token[-1])) if token[0] != token[-1] or len(token) < _FLUSH >> 6 else len(token)
+                held = [x[whole:] for x in rows]
+                rows = [x[:whole] for x in rows]
+            else:
+                rows, whole = held, len(held[0])
+            if not whole:
                 continue
-            if last is not None:
-                token, n, pos, node = np.append(last[0], token), np.append(last[1], n), np.append(last[2], pos), np.append(last[3], node)
-            same = np.append(last is not None and last[6], token[1:] == token[:-1])
+            token, n, pos, node = rows
+            same = np.append(False, token[1:] == token[:-1])
             band = np.floor(np.log(n) / step)
             new = ~same
             new[1:] |= band[1:] != band[:-1]
-            at = np.where(new, np.arange(len(token)), 0)
-            if last is not None:
-                new[0] = False
-            head = node[np.maximum.accumulate(at)]
-            if last is not None:
-                upto = np.argmax(new) if new.any() else len(new)
-                head[:upto] = last[4]
-            prev = np.append(last[5] if last is not None else node[0], node[:-1])
-            prev = np.where(same, prev, node)
-            shared = same.copy()
-            shared[:-1] |= same[1:]
-            keep = shared[:-1]
-            if keep.any():
-                yield pa.record_batch(
-                    {"token": token[:-1][keep], "n": n[:-1][keep], "pos": pos[:-1][keep], "node": node[:-1][keep], "head": head[:-1][keep], "prev": prev[:-1][keep]}
-                )
-            last = (token[-1], n[-1], pos[-1], node[-1], head[-1], prev[-1], bool(same[-1]))
-        if last is not None and last[6]:
-            yield pa.record_batch({c: np.array([v]) for c, v in zip(("token", "n", "pos", "node", "head", "prev"), last)})
+            head = node[np.maximum.accumulate(np.where(new, np.arange(whole), 0))]
+            prev = np.where(same, np.append(node[:1], node[:-1]), node)
+            keep = partnered(token, n, pos) | (token == edge)
+            if b is None or not len(held[0]):
+                keep |= token == token[-1]
+            yield pa.record_batch({k: v[keep] for k, v in zip((*names, "head", "prev"), (token, n, pos, node, head, prev))})
 
     return run
 
 
-def _pairs(num: int, den: int):
-    """Over rows sorted by (token, n, node) with components: pairs of different components within the size and position bounds.
+def _pairs(num: int, den: int, span: bool):
+    """Over rows sorted by (token, block, n, node): pairs of different components within the bounds of size, position and,
+    where the rows have them, bitmaps.
 
-    Of a tile that goes on in the next batch, only the rows within the size bound of its last row are kept.
+    With span, only a spanning forest of each batch's components. Of a block that goes on in the next batch, only the
+    rows within the size bound of its last row are kept.
     """
+    names = ("token", "block", "n", "pos", "node", "comp")
 
-    def of(token, n, pos, node, comp, old):
-        """Pairs of each row from `old` on with the rows before it, in blocks of about _BLOCK candidates."""
-        tile = np.cumsum(np.append(0, token[1:] != token[:-1])) << 40
-        lo = np.searchsorted(tile + n * den, tile + n * num)
+    def of(tile, n, pos, comp, bits, old):
+        """Places, and lower bounds of the difference, of the pairs of each row from `old` on with the rows before it."""
+        lo = np.searchsorted((tile << 40) + n * den, (tile << 40) + n * num)
         count = np.arange(len(n)) - lo
         count[:old] = 0
         ends = np.cumsum(count)
@@ -181,44 +256,84 @@ def _pairs(num: int, den: int):
             c = count[at:upto]
             i = np.repeat(np.arange(at, upto), c)
             j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + lo[i]
-            i, j = (x[comp[i] != comp[j]] for x in (i, j))
+            at = upto
+            ok = comp[i] != comp[j]
+            i, j = i[ok], j[ok]
             need = -(-num * (n[i] + n[j]) // (num + den))
             ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-            a, b = node[i[ok]], node[j[ok]]
-            if len(a):
-                x = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.record_batch({"a": x[0], "b": x[1]})
-            at = upto
+            i, j, need = i[ok], j[ok], need[ok]
+            if len(i):
+                far = bits.difference(i, j) if bits else np.zeros(len(i), np.int64)
+                ok = (n[i] + n[j] - far) // 2 >= need
+                if ok.any():
+                    yield i[ok], j[ok], far[ok]
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 5
+        held = None
         for b in batches:
-            cols = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("token", "n", "pos", "node", "comp"))]
             if not b.num_rows:
                 continue
-            yield from of(*cols, len(held[0]))
-            token, n = cols[:2]
-            keep = (token == token[-1]) & (n * den >= n[-1] * num)
-            held = [c[keep] for c in cols]
+            t = pa.Table.from_batches([b])
+            old = held.num_rows if held is not None else 0
+            t = (pa.concat_tables([held, t]) if old else t).combine_chunks()
+            token, block, n, pos, node, comp = (t.column(c).to_numpy().astype(np.int64) for c in names)
+            tile = np.cumsum(np.append(0, (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
+            which, label = np.unique(comp, return_inverse=True)
+            bits = Bitmaps(t.column("bits").combine_chunks()) if "bits" in t.column_names else None
+            for i, j, far in of(tile, n, pos, comp, bits, old):
+                if span:
+                    keep = forest(label[i], label[j], far, len(which))
+                    i, j = i[keep], j[keep]
+                x = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+                yield pa.record_batch({"a": x[0], "b": x[1]})
+            held = t.filter(pa.array((tile == tile[-1]) & (n * den >= n[-1] * num)))
 
     return run
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
-    need = f"n{{0}} * {den} >= n{{1}} * {num}"
-    sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"), F.col("rep").alias(f"rep{s}")) for s in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").where(need.format("a", "b")).where(need.format("b", "a"))
+def _open_tiles(tiles: DataFrame, nodes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of tiles that hold several components, with components, sorted: those of at most SMALL rows, and the
+    others with bitmaps and dealt to blocks."""
+    label = F.coalesce("c", "node").alias("comp")
+    left = tiles.select("token", "n", "pos", "node").join(comp.select(F.col("node").alias("m"), "c"), F.col("node") == F.col("m"), "left").select("token", "n", "pos", "node", label)
+    by = left.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    by = by.groupBy("token").agg(F.max_by("comp", "rows").alias("most"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    by = by.select(F.col("token").alias("t"), "most", F.when(F.col("rows") > SMALL, F.ceil(F.col("rows") / TILE).cast("int")).otherwise(0).alias("blocks"))
+    held = scratch.materialize(left.join(by, F.col("token") == F.col("t")).drop("t"))
+    sort = lambda x: x.repartition("token", "block").sortWithinPartitions("token", "block", "n", "node")
+    small = held.where("blocks = 0").select("token", F.lit(0).alias("block"), "n", "pos", "node", "comp")
+    large = held.where("blocks > 0")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    block = F.when(F.col("comp") == F.col("most"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = large.select("token", "n", "pos", "node", "comp", F.explode(block).alias("block"))
+    # bitmaps of the nodes in question only
+    some = nodes.join(large.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select(F.col("node").alias("k"), "bits")
+    dealt = dealt.join(some, F.col("node") == F.col("k")).select("token", "block", "n", "pos", "node", "comp", "bits")
+    return sort(small), sort(dealt)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes that sizes and bitmap bounds let link."""
+    a, b = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}")) for s in "ab")
+    near = lambda x, y: F.col(x) * den >= F.col(y) * num
+    both = pairs.join(a, "a").join(b, "b").where(near("na", "nb") & near("nb", "na"))
 
     def bound(batches):
-        for b in batches:
-            na, nb, x, y = (b.column(c).to_pylist() for c in ("na", "nb", "bitsa", "bitsb"))
-            keep = [den * (o := overlap_bound(p, m, q, n)) >= num * (m + n - o) for p, m, q, n in zip(x, na, y, nb)]
-            if any(keep):
-                yield b.filter(pa.array(keep)).select(["a", "b", "repa", "repb"])
+        for x in batches:
+            if not x.num_rows:
+                continue
+            n = x.column("na").to_numpy() + x.column("nb").to_numpy()
+            place = np.arange(x.num_rows)
+            far = Bitmaps(pa.concat_arrays([x.column("bitsa"), x.column("bitsb")])).difference(place, place + x.num_rows)
+            yield x.filter(pa.array((n - far) // 2 >= -(-num * n // (num + den)))).select(["a", "b"])
+
+    return both.mapInArrow(bound, "a long, b long")
 
-    likely = scratch.materialize(both.mapInArrow(bound, "a long, b long, repa long, repb long"))
-    wanted = likely.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("repa").alias("rep")), F.struct(F.col("b").alias("node"), F.col("repb").alias("rep")))).alias("x")).select("x.*").distinct()
+
+def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link, by exact intersection."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
+    wanted = scratch.materialize(nodes.join(wanted, F.col("node") == F.col("m")).select("node", "rep"))
 
     def sets(batches):
         for b in batches:
@@ -227,9 +342,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: in
             ok = [p == q for p, q in zip(key, b.column(0).to_pylist())]
             yield pa.record_batch({"node": pa.array(key, pa.int64()).filter(pa.array(ok, pa.bool_())), "items": pa.array([s.tobytes() for s in x], pa.binary()).filter(pa.array(ok, pa.bool_()))})
 
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    near = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda x: x
+    texts = docs.select("doc_id", "text").join(near(wanted), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
     arrays = scratch.materialize(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]))
 
     def verify(batches):
@@ -247,13 +361,13 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: in
 
     x = arrays.select(F.col("node").alias("a"), F.col("items").alias("x"))
     y = arrays.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    out = scratch.materialize(likely.select("a", "b").join(x, "a").join(y, "b").mapInArrow(verify, "a long, b long"))
-    scratch.drop(likely, arrays)
+    out = scratch.materialize(pairs.join(x, "a").join(y, "b").mapInArrow(verify, "a long, b long"))
+    scratch.drop(arrays, wanted)
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id per document; documents link when den * |A & B| >= num * |A | B|."""
+def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node and more per row; node, component of the nodes): component is the least doc_id."""
     docs = docs.select("doc_id", "text")
     scratch.ship(docs.sparkSession)
     signed = scratch.materialize(_signatures(docs, k, num, den, _frequent(docs, k)))
@@ -261,40 +375,61 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     nodes = scratch.materialize(
         some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     )
-    listed = nodes.select("n", "node", F.posexplode("prefix").alias("pos", "token"))
-    listed = listed.select("token", F.col("n").cast("int"), "pos", "node").repartition("token").sortWithinPartitions("token", "n", "node")
+    listed = nodes.select(F.posexplode("prefix").alias("pos", "token"), F.col("n").cast("int"), "node")
+    listed = listed.select("token", "n", "pos", "node").repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
     tiles = scratch.materialize(listed.mapInArrow(_tiles(num, den), "token long, n int, pos int, node long, head long, prev long"))
-    first = tiles.select(F.explode(F.array("head", "prev")).alias("o"), "node").where("o != node")
+    first = tiles.select(F.explode(F.array("head", "prev")).alias("o"), "node").where("o != node").groupBy("node", "o").agg(F.count(F.lit(1)).alias("c"))
+    first = first.groupBy("node").agg(F.max_by("o", F.struct("c", "o")).alias("o"))
     first = first.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
+    first = scratch.materialize(_likely(first, nodes, num, den))
     links = _linked(first, nodes, docs, k, num, den)
+    scratch.drop(first)
+    for span in (True, False):
+        comp = connected(links)
+        small, large = _open_tiles(tiles, nodes, comp)
+        held = large.mapInArrow(_pairs(num, den, span), "a long, b long")
+        if span:  # all pairs of small tiles, once
+            pairs = small.mapInArrow(_pairs(num, den, False), "a long, b long").distinct()
+            held = held.unionByName(_likely(pairs, nodes, num, den))
+        held = scratch.materialize(held.distinct())
+        links = scratch.materialize(links.unionByName(_linked(held, nodes, docs, k, num, den)))
+        scratch.drop(held, comp)
     comp = connected(links)
-    label = F.coalesce("c", "node")
-    left = tiles.select("token", "n", "pos", "node").join(comp.select(F.col("node").alias("m"), "c"), F.col("node") == F.col("m"), "left").select("token", "n", "pos", "node", label.alias("comp"))
-    open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    left = left.join(open_, "token").repartition("token").sortWithinPartitions("token", "n", "node")
-    second = scratch.materialize(left.mapInArrow(_pairs(num, den), "a long, b long").distinct())
     scratch.drop(tiles)
-    more = _linked(second, nodes, docs, k, num, den)
-    if not more.isEmpty():
-        comp = connected(links.unionByName(more))
-    named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", label.alias("c"))
+    named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("c", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component"))
-    named = named.join(least, "c").select(F.col("node").alias("m"), "component")
+    return signed, scratch.materialize(named.join(least, "c").select(F.col("node").alias("m"), "component"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id per document; documents link when den * |A & B| >= num * |A | B|."""
+    signed, named = _nodes(docs, k, num, den)
     return signed.join(named, F.col("node") == F.col("m"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id. Documents without words all stay."""
-    found = jaccard_components(docs)
-    # per doc_id, so that a row is judged by id; rows that share an id and a set are copies
-    mine = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.max("n_shingles").alias("_n"), F.count(F.lit(1)).alias("_rows"))
-    mine = mine.withColumnRenamed("doc_id", "_id")
-    kept = docs.join(mine, F.col("doc_id").eqNullSafe(F.col("_id")))
-    alone = kept.where("_rows = 1 OR _n = 0")
-    several = kept.where("_rows > 1 AND _n > 0").dropDuplicates(["doc_id", "text"])
-    return alone.unionByName(several).select(*docs.columns)
+def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each component: of those of the smallest doc_id one. Documents without words all stay."""
+    signed, named = _nodes(docs, k, num, den)
+    id_, node_, rows_ = scratch.fresh(docs.columns, "id", "node", "rows")
+    # rows that share doc_id and set are copies; of the sets of a component's least doc_id the least stays
+    mine = signed.where("n > 0").join(named, F.col("node") == F.col("m")).groupBy("component", "node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    best = mine.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "node", "rows")).alias("x"))
+    best = scratch.materialize(best.select(F.col("x.doc_id").alias(id_), F.col("x.node").alias(node_), F.col("x.rows").alias(rows_)))
+    mark = f"_{node_}"
+    at = docs.columns.index("text")
+    schema = docs.select("*", F.lit(None).cast("long").alias(mark)).schema
+
+    def keyed(batches):
+        for b in batches:
+            key = [set_key(x) if len(x) else None for x in textnum.shingle_sets(b.column(at), k)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64())], schema=pa.schema([*b.schema, pa.field(mark, pa.int64())]))
+
+    marked = docs.mapInArrow(keyed, schema)
+    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(node_)))
+    several = kept.where(F.col(rows_) > 1).dropDuplicates(["doc_id", mark])
+    return kept.where(F.col(rows_) == 1).select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(marked.where(F.col(mark).isNull()).select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -43,6 +43,15 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as keep them apart from the columns."""
+    taken = {c.lower() for c in columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 _shipped: set[str] = set()
 
 
