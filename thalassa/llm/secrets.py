@@ -2,19 +2,24 @@
 
 Battery. A token's encoding is inferred from its letters (decimal, hex, base32, base36, base64); a token of letters of
 one case, or with one capital first, is a word and not tested. Over the encoding's alphabet of k symbols:
-  chi-squared   X2 = k/n * sum(count^2) - n, the uniformity of the symbols
-  runs          Wald-Wolfowitz on symbols below and above the middle of the alphabet
-  serial        lag-1 correlation of the symbols' ranks, times sqrt(n)
-The last two, with the upper tail of the first, are combined by Fisher's method into a p-value for "random". The lower
-tail of sum(count^2) under repeated letters as in written text gives a p-value for "text". A token is a secret if
-"random" is kept and "text" is rejected by Benjamini-Hochberg over all tokens of its encoding and length class in the
-whole corpus: short tokens, which say little, are judged among short ones.
+  chi-squared   X2 = k/n * sum(count^2) - n, the uniformity of the symbols, both tails
+  runs          Wald-Wolfowitz on symbols below and above the middle of the alphabet, both tails
+  serial        lag-1 correlation of the symbols' ranks, times sqrt(n), both tails
+Fisher's method combines the three into one p-value, `random`, that is uniform for uniformly random tokens.
 
-The false-discovery threshold needs only a histogram of p-values: (encoding, length class, bin) counts, at most
-5 * 6 * 200 rows, whatever the corpus. The corpus is scanned twice and nothing else is shuffled.
+False-discovery control. Tokens are judged among those of their encoding and length class in the whole corpus, so short
+tokens, which say little, meet short ones. With A(t) the tokens of `random` >= t, the random ones are estimated as
+R = (A(1/2) + 1) / (1/2), so that A(t) - (1 - t) R of the tokens above t are not random. The least t from RANDOM_LEAST
+on at which these are at most RATE of A(t) is the threshold. Encodings that can hold words (base32, base36, base64) must
+also be told from written text: the lower tail of sum(count^2) under the repeated letters of written text gives a second
+p-value, `text`, of which Benjamini-Hochberg at RATE takes the discoveries.
+
+The thresholds need only histograms of p-values: (encoding, length class, kind, bin) counts, at most 5 * 6 * 2 * BINS
+rows, whatever the corpus. The corpus is scanned twice and nothing else is shuffled.
 
 Cases: a null text is empty; an empty text has no spans, and the digest of the empty string. Repeated rows are judged
-alike, each. Very long texts and tokens cost in proportion to their length. Other columns are kept.
+alike, each. Very long texts and tokens cost in proportion to their length. Other columns are kept; scan() replaces a
+column of the name of its result, redact() adds none. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import native
+from . import native, scratch
 
 #: The contract's patterns. Bounded repeats that equal "match, then drop if shorter" are written as such.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,6 +43,9 @@ RANDOM_LEAST = 0.01
 #: The chance that two letters of written text are equal.
 TEXT_MATCH = 0.066
 BINS = 200
+CLASSES = 6
+#: Encodings (by place in ALPHABETS) that can hold words.
+WORDY = (2, 3, 4)
 ALPHABETS = {
     "decimal": ("^[0-9]+$", "0123456789"),
     "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -52,6 +60,11 @@ def _normal(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.least(F.greatest(1.5976 * z + 0.070565 * z * z * z, F.lit(-500.0)), F.lit(500.0))))
 
 
+def bind(f, **values: Column) -> Column:
+    """f of a struct of values that are computed once: a plain column in a lambda is computed for each element."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f)[0]
+
+
 def battery(token: Column) -> Column:
     """struct<code, size, text, random>: index of the encoding, length class, and the two p-values of a token."""
     body = F.translate(token, "-_", "+/")
@@ -59,49 +72,59 @@ def battery(token: Column) -> Column:
     for i, (_, (shape, _)) in reversed(list(enumerate(list(ALPHABETS.items())[:-1]))):
         code = F.when(body.rlike(shape), F.lit(i)).otherwise(code)
     alphabets = F.array(*[F.lit(a) for _, a in ALPHABETS.values()])
+    zero = F.lit(0.0)
 
     def of(x: Column) -> Column:
         alphabet = F.element_at(alphabets, x["code"] + 1)
-        k = F.length(alphabet)
-        s = F.when(x["code"].isin(1, 3), F.lower(x["body"])).otherwise(x["body"])
-        return F.transform(F.array(F.struct(x["code"].alias("code"), s.alias("s"), alphabet.alias("alphabet"), k.cast("double").alias("k"), F.length(s).cast("double").alias("n"))), measure)[0]
+        return bind(measure, code=x["code"], s=F.when(x["code"].isin(1, 3), F.lower(x["body"])).otherwise(x["body"]), alphabet=alphabet)
 
     def measure(x: Column) -> Column:
-        chars = F.split(x["s"], "")
-        count = lambda c: (x["n"] - F.length(F.replace(x["s"], c, F.lit("")))).cast("double")
-        squares = F.aggregate(F.array_distinct(F.filter(chars, lambda c: c != "")), F.lit(0.0), lambda a, c: a + count(c) * count(c))
-        ranks = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(x["alphabet"], c).cast("double"))
-        return F.transform(F.array(F.struct(*[x[f].alias(f) for f in ("code", "n", "k")], squares.alias("squares"), ranks.alias("ranks"))), judge)[0]
-
-    def judge(x: Column) -> Column:
-        n, k, r = x["n"], x["k"], x["ranks"]
+        chars = F.filter(F.split(x["s"], ""), lambda c: c != "")
+        count = lambda c: F.length(x["s"]) - F.length(F.replace(x["s"], c, F.lit("")))
+        counts = F.transform(F.array_distinct(chars), lambda c: count(c).cast("double"))
+        ranks = F.transform(chars, lambda c: F.instr(x["alphabet"], c).cast("double"))
+        n, k = F.length(x["s"]).cast("double"), F.length(x["alphabet"]).cast("double")
+        return bind(sums, code=x["code"], n=n, k=k, squares=F.aggregate(counts, zero, lambda a, c: a + c * c), ranks=ranks)
+
+    def sums(x: Column) -> Column:
+        high = F.transform(x["ranks"], lambda v: v > x["k"] / 2)
+        mu = F.aggregate(x["ranks"], zero, lambda a, v: a + v) / x["n"]
+        same = {c: x[c] for c in ("code", "n", "k", "squares")}
+        return bind(turned, **same, high=high, above=F.aggregate(high, zero, lambda a, v: a + v.cast("double")), mu=mu, ranks=x["ranks"])
+
+    def turned(x: Column) -> Column:
+        turns = F.aggregate(F.zip_with(F.slice(x["high"], F.lit(2), F.size(x["high"])), x["high"], lambda a, b: F.coalesce((a != b).cast("double"), zero)), F.lit(1.0), lambda a, v: a + v)
+        off = F.transform(x["ranks"], lambda v: v - x["mu"])
+        same = {c: x[c] for c in ("code", "n", "k", "squares", "above")}
+        return bind(spread, **same, turns=turns, off=off)
+
+    def spread(x: Column) -> Column:
+        var = F.aggregate(x["off"], zero, lambda a, v: a + v * v)
+        lag = F.aggregate(F.zip_with(F.slice(x["off"], F.lit(2), F.size(x["off"])), x["off"], lambda a, b: F.coalesce(a * b, zero)), zero, lambda a, v: a + v)
+        same = {c: x[c] for c in ("code", "n", "k", "squares", "above", "turns")}
+        return bind(tests, **same, var=var, lag=lag, mean=2 * x["above"] * (x["n"] - x["above"]) / x["n"] + 1)
+
+    def tests(x: Column) -> Column:
+        n, k, pairs = x["n"], x["k"], x["n"] * (x["n"] - 1) / 2
         uniform = (k / n * x["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        pairs, same = n * (n - 1) / 2, (x["squares"] - n) / 2
-        text = (same - pairs * TEXT_MATCH) / F.sqrt(pairs * TEXT_MATCH)
-        high = F.transform(r, lambda v: (v > k / 2).cast("int"))
-        above = F.aggregate(high, F.lit(0.0), lambda a, v: a + v)
-        below = n - above
-        turns = 1 + F.aggregate(F.zip_with(F.slice(high, F.lit(2), F.size(high)), high, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-        mean = 2 * above * below / n + 1
-        spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-        runs = F.when((above == 0) | (below == 0), F.lit(9.0)).otherwise(F.abs(turns - mean) / spread)
-        total = F.aggregate(r, F.lit(0.0), lambda a, v: a + v)
-        mu = total / n
-        var = F.aggregate(r, F.lit(0.0), lambda a, v: a + (v - mu) * (v - mu))
-        lag = F.aggregate(F.zip_with(F.slice(r, F.lit(2), F.size(r)), r, lambda a, b: (a - mu) * (b - mu)), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-        serial = F.when(var == 0, F.lit(9.0)).otherwise(F.abs(lag / var) * F.sqrt(n))
-        tails = [1 - _normal(uniform), 2 * (1 - _normal(runs)), 2 * (1 - _normal(serial))]
-        t = sum((-F.log(F.greatest(p, F.lit(1e-12))) for p in tails), F.lit(0.0))
-        fisher = F.exp(-t) * (1 + t + t * t / 2)
-        size = F.least(F.floor(F.log2(n / 20) * 2), F.lit(5)).cast("int")
-        return F.struct(x["code"].alias("code"), size.alias("size"), _normal(text).alias("text"), fisher.alias("random"))
-
-    return F.transform(F.array(F.struct(code.alias("code"), body.alias("body"))), of)[0]
-
-
-def _bin(p: Column) -> Column:
-    """0 (least) to BINS - 1 by the logarithm of p down to 1e-10."""
-    return F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.log10(F.greatest(p, F.lit(1e-10))) / 10 + 1) * BINS))).cast("int")
+        text = ((x["squares"] - n) / 2 - pairs * TEXT_MATCH) / F.sqrt(pairs * TEXT_MATCH)
+        wide = F.sqrt(F.greatest((x["mean"] - 1) * (x["mean"] - 2) / (n - 1), F.lit(1e-9)))
+        runs = F.when((x["above"] == 0) | (x["above"] == n), F.lit(9.0)).otherwise(F.abs(x["turns"] - x["mean"]) / wide)
+        serial = F.when(x["var"] == 0, F.lit(9.0)).otherwise(F.abs(x["lag"] / x["var"]) * F.sqrt(n))
+        return bind(combined, code=x["code"], n=n, text=_normal(text), z=F.array(F.abs(uniform), runs, serial))
+
+    def combined(x: Column) -> Column:
+        t = F.aggregate(x["z"], zero, lambda a, z: a - F.log(F.greatest(2 * (1 - _normal(z)), F.lit(1e-12))))
+        size = F.least(F.floor(F.log2(x["n"] / 20) * 2), F.lit(CLASSES - 1)).cast("int")
+        return bind(lambda y: F.struct(y["code"].alias("code"), y["size"].alias("size"), y["text"].alias("text"), (F.exp(-y["t"]) * (1 + y["t"] + y["t"] * y["t"] / 2)).alias("random")), code=x["code"], size=size, text=x["text"], t=t)
+
+    return bind(of, code=code, body=body)
+
+
+def _bins(x: Column) -> tuple[Column, Column]:
+    """Bins of the p-values, 0 to BINS - 1: of `text` by its logarithm down to 1e-10, of `random` as it is."""
+    low = F.floor((F.log10(F.greatest(x["text"], F.lit(1e-10))) / 10 + 1) * BINS)
+    return tuple(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), b)).cast("int") for b in (low, F.floor(x["random"] * BINS)))
 
 
 def _tokens(text: Column) -> Column:
@@ -117,49 +140,62 @@ def found_at(text: Column, pattern: str) -> Column:
     return native.spans(native.found(text, pattern), F.split(text, pattern, -1))
 
 
-def thresholds(docs: DataFrame, rate: float = RATE) -> list[tuple[int, int, int]]:
-    """(encoding, length class, highest bin that is still a discovery): at most 30 rows."""
+def benjamini_hochberg(counts: list[int], rate: float) -> int:
+    """The highest bin of `text` that is a discovery, -1 if none is."""
+    m, seen, top = sum(counts), 0, -1
+    for b, n in enumerate(counts):
+        seen += n
+        if n and 10 ** (10 * ((b + 1) / BINS - 1)) <= rate * seen / m:
+            top = b
+    return top
+
+
+def least_random(counts: list[int], rate: float) -> int:
+    """The lowest bin of `random` from which on at most `rate` of the tokens are estimated not to be random."""
+    above = lambda b: sum(counts[b:])
+    random = (above(BINS // 2) + 1) * 2
+    for b in range(round(RANDOM_LEAST * BINS), BINS // 2):
+        if above(b) - (1 - b / BINS) * random <= rate * above(b):
+            return b
+    return BINS // 2
+
+
+def thresholds(docs: DataFrame, rate: float = RATE) -> dict[tuple[int, int], tuple[int, int]]:
+    """(encoding, length class): (highest bin of `text`, lowest bin of `random`) of a discovery; at most 30."""
     tested = docs.select(F.explode(F.transform(_tokens(native.text_of("text")), lambda x: battery(x["m"]))).alias("t"))
-    counts = tested.select("t.code", "t.size", _bin(F.col("t.text")).alias("bin")).groupBy("code", "size", "bin").count().collect()
-    out = []
-    for stratum in sorted({(r["code"], r["size"]) for r in counts}):
-        bins = sorted((r["bin"], r["count"]) for r in counts if (r["code"], r["size"]) == stratum)
-        m, seen, top = sum(n for _, n in bins), 0, -1
-        for b, n in bins:
-            seen += n
-            if 10 ** (10 * ((b + 1) / BINS - 1)) <= rate * seen / m:
-                top = b
-        out.append((*stratum, top))
-    return out
+    text, random = _bins(F.col("t"))
+    both = tested.select("t.code", "t.size", F.explode(F.array(F.struct(F.lit(0).alias("kind"), text.alias("bin")), F.struct(F.lit(1).alias("kind"), random.alias("bin")))).alias("b"))
+    held: dict[tuple[int, int], list[list[int]]] = {}
+    for r in both.groupBy("code", "size", "b.kind", "b.bin").count().collect():
+        held.setdefault((r["code"], r["size"]), [[0] * BINS, [0] * BINS])[r["kind"]][r["bin"]] = r["count"]
+    return {k: (benjamini_hochberg(t, rate) if k[0] in WORDY else BINS, least_random(r, rate)) for k, (t, r) in held.items()}
 
 
-def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs with `secrets`: array<struct<s, e, k>> sorted by start and kind (k indexes KINDS); e exclusive, code points."""
+def scan(docs: DataFrame, rate: float = RATE, out: str = "secrets") -> DataFrame:
+    """docs with `out`: array<struct<s, e, k>> sorted by start and kind (k indexes KINDS); e exclusive, code points."""
     limits = thresholds(docs, rate)
-    text = F.col("_text")
-    df = docs.withColumn("_text", native.text_of("text"))
-    df = df.withColumn("_assign", F.when(text.rlike(ASSIGN), F.arrays_zip(found_at(text, ASSIGN).alias("x"), native.found(text, ASSIGN, 2).alias("v"))))
-    df = df.withColumn("_access", F.when(text.contains("AKIA"), found_at(text, ACCESS)))
-    df = df.withColumn("_hex", F.when(text.rlike(HEX), found_at(text, HEX)))
-    df = df.withColumn("_token", _tokens(text))
+    text_, assign_, access_, hex_, token_, base_ = scratch.fresh([*docs.columns, out], "text", "assign", "access", "hex", "token", "base")
+    text = F.col(text_)
+    df = docs.withColumn(text_, native.text_of("text"))
+    df = df.withColumn(assign_, F.when(text.rlike(ASSIGN), F.arrays_zip(found_at(text, ASSIGN).alias("x"), native.found(text, ASSIGN, 2).alias("v"))))
+    df = df.withColumn(access_, F.when(text.contains("AKIA"), found_at(text, ACCESS)))
+    df = df.withColumn(hex_, F.when(text.rlike(HEX), found_at(text, HEX)))
+    df = df.withColumn(token_, _tokens(text))
     kind = lambda a, k: F.coalesce(F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))), F.array().cast("array<struct<s:int,e:int,k:int>>"))
-    assign = F.transform(F.filter(F.col("_assign"), lambda x: F.length(x["v"]) >= ASSIGN_LEAST), lambda x: x["x"])
-    df = df.withColumn("_base", F.concat(kind(assign, 0), kind(F.col("_access"), 1), kind(F.col("_hex"), 2)))
-    limit = F.lit(-1)
-    for code, size, top in limits:
-        limit = F.when((F.col("x.code") == code) & (F.col("x.size") == size), F.lit(top)).otherwise(limit)
+    assign = F.transform(F.filter(F.col(assign_), lambda x: F.length(x["v"]) >= ASSIGN_LEAST), lambda x: x["x"])
+    df = df.withColumn(base_, F.concat(kind(assign, 0), kind(F.col(access_), 1), kind(F.col(hex_), 2)))
+    cells = [(c, z) for c in range(len(ALPHABETS)) for z in range(CLASSES)]
+    top, least = (F.array(*[F.lit(limits.get(c, (-1, BINS))[i]) for c in cells]) for i in (0, 1))
 
-    def discovered(t: Column) -> Column:
-        x = battery(t["m"])
-        top = F.lit(-1)
-        for code, size, b in limits:
-            top = F.when((x["code"] == code) & (x["size"] == size), F.lit(b)).otherwise(top)
-        return (_bin(x["text"]) <= top) & (x["random"] >= RANDOM_LEAST)
+    def discovered(x: Column) -> Column:
+        at = x["t"]["code"] * CLASSES + x["t"]["size"] + 1
+        text, random = _bins(x["t"])
+        return (random >= F.element_at(least, at)) & (text <= F.element_at(top, at))
 
-    free = F.filter(F.col("_token"), lambda t: ~F.exists(F.col("_base"), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    df = df.withColumn("_free", free)
-    df = df.withColumn("secrets", F.array_sort(F.concat(F.col("_base"), kind(F.filter(F.col("_free"), discovered), 3)), _by_start))
-    return df.drop("_text", "_assign", "_access", "_hex", "_token", "_base", "_free")
+    free = F.filter(F.col(token_), lambda t: ~F.exists(F.col(base_), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    tested = F.transform(free, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), battery(t["m"]).alias("t")))
+    df = df.withColumn(out, F.array_sort(F.concat(F.col(base_), kind(F.filter(tested, discovered), 3)), _by_start))
+    return df.drop(text_, assign_, access_, hex_, token_, base_)
 
 
 def _by_start(a: Column, b: Column) -> Column:
@@ -177,11 +213,12 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark; n_chars, if there, counts the new text."""
-    df = scan(docs, rate)
-    cuts = F.transform(_merged(F.col("secrets")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(mark).alias("by")))
-    df = df.withColumn("text", F.when(F.size("secrets") > 0, native.replaced(F.col("text"), cuts)).otherwise(F.col("text")))
+    (found,) = scratch.fresh(docs.columns, "secrets")
+    df = scan(docs, rate, found)
+    cuts = F.transform(_merged(F.col(found)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(mark).alias("by")))
+    df = df.withColumn("text", F.when(F.size(found) > 0, native.replaced(F.col("text"), cuts)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        df = df.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return df.select(*docs.columns)
 
 
