@@ -126,7 +126,7 @@ def test_toxicity_edges(spark):
 def test_toxicity_same_epochs_for_all_sizes():
     for n in (100, 5000):
         m = toxicity.FactorizationMachine(np.arange(4))
-        m.fit([np.array([i % 4], np.int32) for i in range(n)], np.arange(n) % 2, epochs=8)
+        m.fit(np.arange(n) % 4, np.arange(n + 1), np.arange(n) % 2, epochs=8)
         assert m.steps == 8 * n
 
 
