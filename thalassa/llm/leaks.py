@@ -11,7 +11,7 @@ values within one bit of every block finds all of them. Random pairs meet in 1 o
 
 Candidates are verified by the exact weighted Jaccard similarity of the shingle multisets, sum of the smaller over sum
 of the larger counts, of LEAST or more. At a similarity of 0.8 a print differs in 9.7 bits on average and in at most 11
-in about three of four cases, so that all PRINTS of a window miss in about one of 4,000 (a test measures it).
+in more than half of the cases, so that all PRINTS of a window miss in less than one of 4,000 (a test measures it).
 
 Cases: a null or empty text has no windows; items with fewer than five words are too short to tell and never match.
 Repeated rows give one result row. A null doc_id keeps its rows apart by text. A text with less words than an item is
@@ -27,7 +27,7 @@ from . import native, scratch
 
 K = 5
 LEAST = 0.8
-PRINTS = 6
+PRINTS = 12
 RADIUS = 11
 #: Rows up to which item shingles, listed items and windows are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
