@@ -28,13 +28,17 @@ from pyspark.sql import functions as F
 
 from . import scratch, textnum
 
-VOCABULARY, CLASS, HIDDEN = 1024, 32, 16
+VOCABULARY, CLASS, HIDDEN = 1024, 64, 16
 FREQUENT = 1 << 17
 FOLDS, HELD = 7, 2
 ROUNDS = 2
-WINDOW, LANES = 16, 64
+WINDOW, LANES = 16, 768
 SCORE_WINDOW = 32
+#: Tokens that are scored together: long texts share their steps with as many others as may be.
+SCORE_TOKENS = 1 << 20
 _FLUSH = 1 << 22
+#: Multiplications of one product.
+_SINGLE = 1 << 17
 _END = np.uint64(textnum.END)
 
 
@@ -51,6 +55,12 @@ def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield out, bounds + np.arange(n + 1)
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and bounds of several runs of texts as one."""
+    ends = np.cumsum([0] + [len(t) for t, _ in parts])
+    return np.concatenate([t for t, _ in parts]), np.append(np.concatenate([b[:-1] + e for (_, b), e in zip(parts, ends)]), ends[-1])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, c): the count of each token hash."""
 
@@ -114,6 +124,26 @@ class Counts:
         return np.where(known, self.c[at], -1), np.where(known, self.place[at], other).astype(np.int32)
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in runs of rows small enough that no BLAS starts threads for them: tasks share the cores already."""
+    step = max(1, _SINGLE // (a.shape[1] * b.shape[1]))
+    if len(a) <= step:
+        return a @ b
+    out = np.empty((len(a), b.shape[1]), a.dtype)
+    for lo in range(0, len(a), step):
+        np.dot(a[lo : lo + step], b, out=out[lo : lo + step])
+    return out
+
+
+def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b likewise."""
+    step = max(1, _SINGLE // (a.shape[1] * b.shape[1]))
+    out = a[:step].T @ b[:step]
+    for lo in range(step, len(a), step):
+        out += a[lo : lo + step].T @ b[lo : lo + step]
+    return out
+
+
 def _sigmoid(x):
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
@@ -128,110 +158,146 @@ class Gru:
         full = self.classes * CLASS
         self.shapes = {"x": (n, 3 * HIDDEN), "uzr": (HIDDEN, 2 * HIDDEN), "un": (HIDDEN, HIDDEN), "wc": (HIDDEN, self.classes), "bc": (self.classes,), "ww": (full, HIDDEN), "bw": (full,)}
         rng = np.random.default_rng(5)
-        self.p = {k: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in self.shapes.items()}
-        self.p["bc"][:] = np.log(np.append(mass, np.zeros(full - n)).reshape(-1, CLASS).sum(1) + 0.5)
-        self.p["bw"][:n] = np.log(np.asarray(mass) + 0.5)
+        self.all, self.p = self._space()
+        for k, s in self.shapes.items():
+            if len(s) > 1:
+                self.p[k][:] = rng.normal(0, 0.1, s)
+        whole = np.append(mass, np.zeros(full - n)).reshape(-1, CLASS).sum(1) + 0.5
+        self.p["bc"][:] = np.log(whole / whole.sum())
+        self.p["bw"][:n] = np.log((np.asarray(mass) + 0.5) / np.repeat(whole, CLASS)[:n])
         self.p["bw"][n:] = -1e9  # no place
 
+    def _space(self) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """One vector, and the parameters as views of it."""
+        size = {k: int(np.prod(s)) for k, s in self.shapes.items()}
+        one = np.zeros(sum(size.values()), np.float32)
+        ends = np.cumsum(list(size.values()))
+        return one, {k: one[e - size[k] : e].reshape(s) for e, (k, s) in zip(ends, self.shapes.items())}
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()])
+        return self.all.copy()
 
     def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, s in self.shapes.items():
-            n = int(np.prod(s))
-            self.p[k] = flat[at : at + n].reshape(s).astype(np.float32)
-            at += n
+        self.all[:] = flat
+
+    def __getstate__(self):
+        return {"shapes": self.shapes, "classes": self.classes, "all": self.all}
+
+    def __setstate__(self, state):
+        self.shapes, self.classes = state["shapes"], state["classes"]
+        self.all, self.p = self._space()
+        self.all[:] = state["all"]
 
     def step(self, x: np.ndarray, h: np.ndarray):
         g = self.p["x"][x]
-        zr = _sigmoid(g[:, : 2 * HIDDEN] + h @ self.p["uzr"])
+        zr = _sigmoid(g[:, : 2 * HIDDEN] + _dot(h, self.p["uzr"]))
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(g[:, 2 * HIDDEN :] + (r * h) @ self.p["un"])
+        n = np.tanh(g[:, 2 * HIDDEN :] + _dot(r * h, self.p["un"]))
         return n + z * (h - n), z, r, n
 
     def _softmax(self, a: np.ndarray) -> np.ndarray:
-        a = np.exp(a - a.max(1, keepdims=True))
-        return a / a.sum(1, keepdims=True)
+        """Biases are logarithms of shares, so that no row needs its maximum taken off."""
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        a /= _dot(a, np.ones((a.shape[1], 1), a.dtype)) + np.float32(1e-30)
+        return a
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
         """Natural log-probabilities of targets y from states h; with grad, adds its gradients and returns that of h."""
+        order = np.argsort((y // CLASS).astype(np.int16), kind="stable")
+        h, y = h[order], y[order]
         c = y // CLASS
-        pc = self._softmax(h @ self.p["wc"] + self.p["bc"])
+        pc = self._softmax(_dot(h, self.p["wc"]) + self.p["bc"])
         i = np.arange(len(y))
-        out = np.log(np.maximum(pc[i, c], 1e-30)).astype(np.float64)
-        dh = None
+        chance, dh = pc[i, c], None
         if grad is not None:
             pc[i, c] -= 1
-            grad["wc"] += h.T @ pc
+            grad["wc"] += _outer(h, pc)
             grad["bc"] += pc.sum(0)
-            dh = pc @ self.p["wc"].T
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            rows = order[cut[k] : cut[k + 1]]
-            if not len(rows):
-                continue
-            s = slice(k * CLASS, (k + 1) * CLASS)
+            dh = _dot(pc, self.p["wc"].T)
+        cut = np.searchsorted(c, np.arange(self.classes + 1))
+        within = np.empty_like(chance)
+        for k in np.flatnonzero(np.diff(cut)):
+            s, rows = slice(k * CLASS, (k + 1) * CLASS), slice(cut[k], cut[k + 1])
             hk = h[rows]
-            p = self._softmax(hk @ self.p["ww"][s].T + self.p["bw"][s])
-            j, at = np.arange(len(rows)), y[rows] - k * CLASS
-            out[rows] += np.log(np.maximum(p[j, at], 1e-30))
+            p = self._softmax(_dot(hk, self.p["ww"][s].T) + self.p["bw"][s])
+            j, at = i[: len(p)], y[rows] - k * CLASS
+            within[rows] = p[j, at]
             if grad is not None:
                 p[j, at] -= 1
-                grad["ww"][s] += p.T @ hk
+                grad["ww"][s] += _outer(p, hk)
                 grad["bw"][s] += p.sum(0)
-                dh[rows] += p @ self.p["ww"][s]
+                dh[rows] += _dot(p, self.p["ww"][s])
+        out = np.empty(len(y))
+        out[order] = np.log(np.maximum(chance, 1e-30)) + np.log(np.maximum(within, 1e-30))
+        if grad is not None:
+            dh[order] = dh.copy()
         return out, dh
 
+    def backward(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, h: np.ndarray, grad: dict) -> tuple[float, np.ndarray]:
+        """A window of inputs x and targets y (lanes, steps; `on` where real) from states h: adds the gradients of the
+        negative log-likelihood to grad, returns its sum and the states after the window."""
+        end, steps = 0, x.shape[1]
+        past, states = [], np.empty((steps, *h.shape), np.float32)
+        for t in range(steps):
+            h = h * (x[:, t, None] != end)
+            new, z, r, n = self.step(x[:, t], h)
+            past.append((h, z, r, n))
+            states[t] = h = new
+        on = on.T.ravel()
+        dout = np.zeros((steps * len(h), HIDDEN), np.float32)
+        got, dout[on] = self.outputs(states.reshape(-1, HIDDEN)[on], y.T.ravel()[on], grad)
+        dout = dout.reshape(states.shape)
+        dh, dx = np.zeros_like(h), np.empty((steps, len(h), 3 * HIDDEN), np.float32)
+        for t in reversed(range(steps)):
+            hp, z, r, n = past[t]
+            d = dh + dout[t]
+            dn = d * (1 - z) * (1 - n * n)
+            drh = _dot(dn, self.p["un"].T)
+            dzr = dx[t, :, : 2 * HIDDEN]
+            dzr[:, :HIDDEN] = d * (hp - n) * z * (1 - z)
+            dzr[:, HIDDEN:] = drh * hp * r * (1 - r)
+            dx[t, :, 2 * HIDDEN :] = dn
+            grad["un"] += _outer(r * hp, dn)
+            grad["uzr"] += _outer(hp, dzr)
+            dh = (d * z + drh * r + _dot(dzr, self.p["uzr"].T)) * (x[:, t, None] != end)
+        at = x.T.ravel()
+        order = np.argsort(at.astype(np.uint16) if len(self.p["x"]) <= 1 << 16 else at, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+        grad["x"][at[order][first]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        return -float(got.sum()), h
+
     def train(self, stream: np.ndarray, rate: float) -> int:
         """One pass over a stream of places (whole texts), folded into lanes and padded. Returns the number of tokens."""
         if not len(stream):
             return 0
         end = 0
         width = -(-len(stream) // (LANES * WINDOW)) * WINDOW
-        y = np.zeros(LANES * width, stream.dtype)
+        lanes = -(-len(stream) // width)
+        y = np.zeros(lanes * width, stream.dtype)
         y[: len(stream)] = stream
-        x = np.append(end, y[:-1]).astype(stream.dtype).reshape(LANES, width)
-        real = (np.arange(LANES * width) < len(stream)).reshape(LANES, width)
-        y = y.reshape(LANES, width)
-        h = np.zeros((LANES, HIDDEN), np.float32)
+        x = np.append(end, y[:-1]).astype(stream.dtype).reshape(lanes, width)
+        real = (np.arange(lanes * width) < len(stream)).reshape(lanes, width)
+        y = y.reshape(lanes, width)
+        h = np.zeros((lanes, HIDDEN), np.float32)
         if not hasattr(self, "m"):
-            self.m, self.v, self.t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
+            self.m, self.v, self.t = np.zeros_like(self.all), np.zeros_like(self.all), 0
+        grad, views = self._space()
         for lo in range(0, width, WINDOW):
-            past, states = [], []
-            for t in range(lo, lo + WINDOW):
-                h = np.where(x[:, t, None] == end, np.float32(0), h)
-                new, z, r, n = self.step(x[:, t], h)
-                past.append((h, z, r, n))
-                states.append(new)
-                h = new
-            g = {k: np.zeros_like(a) for k, a in self.p.items()}
-            on = real[:, lo : lo + WINDOW].T.ravel()
-            dout = np.zeros((WINDOW * LANES, HIDDEN), np.float32)
-            _, dout[on] = self.outputs(np.concatenate(states)[on], y[:, lo : lo + WINDOW].T.ravel()[on], g)
-            dout = dout.reshape(WINDOW, LANES, HIDDEN)
-            dh, dx = np.zeros_like(h), np.zeros((WINDOW, LANES, 3 * HIDDEN), np.float32)
-            for t in reversed(range(WINDOW)):
-                hp, z, r, n = past[t]
-                d = dh + dout[t]
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (hp - n) * z * (1 - z)
-                drh = dn @ self.p["un"].T
-                dr = drh * hp * r * (1 - r)
-                g["un"] += (r * hp).T @ dn
-                dzr = np.concatenate([dz, dr], 1)
-                g["uzr"] += hp.T @ dzr
-                dx[t] = np.concatenate([dzr, dn], 1)
-                dh = np.where(x[:, lo + t, None] == end, np.float32(0), d * z + drh * r + dzr @ self.p["uzr"].T)
-            np.add.at(g["x"], x[:, lo : lo + WINDOW].T, dx)
+            grad[:] = 0
+            w = slice(lo, lo + WINDOW)
+            _, h = self.backward(x[:, w], y[:, w], real[:, w], h, views)
             self.t += 1
             warm = rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
-            for k, a in self.p.items():
-                d = g[k] / np.float32(LANES * WINDOW)
-                self.m[k] += np.float32(0.1) * (d - self.m[k])
-                self.v[k] += np.float32(0.001) * (d * d - self.v[k])
-                a -= np.float32(warm) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-7))
+            grad /= np.float32(lanes * WINDOW)
+            self.m += np.float32(0.1) * (grad - self.m)
+            grad *= grad
+            self.v += np.float32(0.001) * (grad - self.v)
+            np.sqrt(self.v, out=grad)
+            grad += np.float32(1e-7)
+            np.divide(self.m, grad, out=grad)
+            grad *= np.float32(warm)
+            self.all -= grad
         return len(stream)
 
     def score(self, place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -313,23 +379,30 @@ def score(docs: DataFrame) -> DataFrame:
     whole = distinct <= FREQUENT
 
     def run(batches):
+        def scored(t, bounds):
+            """Per text: tokens, known ones, base and model sums of log10, and the hashes of the words to be joined."""
+            c, place = counts.look(t)
+            p = model.score(place, bounds) / np.log(10)
+            local = np.log10(np.maximum(c, 0) + 1.0)
+            p += np.where(place >= VOCABULARY, local - np.log10(counts.rest[np.maximum(place - VOCABULARY, 0)]), 0)
+            lo = bounds[:-1]
+            far = np.zeros(len(t), bool) if whole else c < 0
+            return np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), lo), np.add.reduceat(local, lo), np.add.reduceat(p, lo), [t[i:j][far[i:j]].view(np.int64) for i, j in zip(lo, bounds[1:])]
+
         for b in batches:
-            n_all, known, base, got, tail = [], [], [], [], []
+            parts, held, size = [], [], 0
             for t, bounds in tokens(b.column(1)):
-                c, place = counts.look(t)
-                p = model.score(place, bounds) / np.log(10)
-                local = np.log10(np.maximum(c, 0) + 1.0)
-                p += np.where(place >= VOCABULARY, local - np.log10(counts.rest[np.maximum(place - VOCABULARY, 0)]), 0)
-                lo = bounds[:-1]
-                n_all.append(np.diff(bounds))
-                known.append(np.add.reduceat((c > 0).astype(np.int64), lo))
-                base.append(np.add.reduceat(local, lo))
-                got.append(np.add.reduceat(p, lo))
-                far = np.zeros(len(t), bool) if whole else c < 0
-                tail += [t[i:j][far[i:j]].view(np.int64) for i, j in zip(lo, bounds[1:])]
-            if n_all:
+                if held and size + len(t) > SCORE_TOKENS:
+                    parts.append(scored(*_joined(held)))
+                    held, size = [], 0
+                held.append((t, bounds))
+                size += len(t)
+            if held:
+                parts.append(scored(*_joined(held)))
+            if parts:
+                tail = [x for p in parts for x in p[4]]
                 yield pa.record_batch(
-                    [b.column(0), b.column(2), *(pa.array(np.concatenate(x)) for x in (n_all, known, base, got)), pa.array(tail, pa.list_(pa.int64()))],
+                    [b.column(0), b.column(2), *(pa.array(np.concatenate([p[i] for p in parts])) for i in range(4)), pa.array(tail, pa.list_(pa.int64()))],
                     names=["doc_id", "rid", "n_tokens", "n_known", "base", "model", "tail"],
                 )
 
