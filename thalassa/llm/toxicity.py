@@ -32,7 +32,7 @@ TRAIN_ROWS = 20_000
 TRAIN_TERMS = 20_000_000
 BITS = 20
 RANK = 4
-EPOCHS = 60
+EPOCHS = 24
 BATCH = 64
 RATE, L2 = 1.0, 1e-2
 #: The L1 term is this over the root of the number of rows, as the noise of a weight.
@@ -56,8 +56,11 @@ def _buckets(column: pa.Array):
 
 def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Sums of the segments of x that begin at cut[:-1]; empty ones give 0."""
-    total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0, dtype=np.float64)])
-    return total[cut[1:]] - total[cut[:-1]]
+    out = np.zeros((len(cut) - 1, *x.shape[1:]))
+    full = np.flatnonzero(cut[1:] > cut[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(x, cut[full], axis=0)
+    return out
 
 
 class FactorizationMachine:
@@ -93,9 +96,12 @@ class FactorizationMachine:
         s = _sums(v, cut)
         return self.w0 + _sums(self.w[i], cut) + 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), cut))
 
-    def loss(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray) -> float:
-        m = self.margins(i, cut)
-        return float((np.logaddexp(0, m) - y * m).mean())
+    def loss(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: int = 512) -> float:
+        total = 0.0
+        for lo in range(0, len(y), rows):
+            m = self.margins(i[cut[lo] : cut[min(lo + rows, len(y))]], cut[lo : lo + rows + 1] - cut[lo])
+            total += float((np.logaddexp(0, m) - y[lo : lo + rows] * m).sum())
+        return total / len(y)
 
     def fit(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> None:
         """Half of the epochs fit the single weights, the others weights and factors. Of all epochs the one is found that
@@ -183,8 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factoriza
     x = [np.frombuffer(t.as_buffer(), np.int32) for t in got.column("terms")]
     cut = np.append(0, np.cumsum([len(t) for t in x]))
     x = np.concatenate(x)
+    del got
     model = FactorizationMachine(np.flatnonzero(np.bincount(x, minlength=1 << BITS) > 1))
-    model.fit(*model.active(x, cut), y)
+    x, cut = model.active(x, cut)
+    model.fit(x, cut, y)
     return model
 
 
