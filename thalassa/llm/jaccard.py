@@ -39,7 +39,7 @@ from .components import connected
 
 #: Entries of the list of frequent shingles that order last; only the speed depends on it.
 FREQUENT = 1 << 16
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 #: Pairs that are tested at a time.
 _BLOCK = 1 << 17
 #: Rows on either side that are looked at for a partner.
@@ -146,6 +146,10 @@ def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
         label = to[label]
 
 
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     order = np.argsort(frequent[0].view(np.uint64))
     known, rank = frequent[0].view(np.uint64)[order], frequent[1][order]
@@ -169,15 +173,16 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarra
             yield pa.record_batch(
                 [
                     b.column(0),
+                    b.column(2),
                     pa.array(n, pa.int64()),
                     pa.array(k1, pa.int64()),
                     pa.array(bits, pa.binary()),
                     pa.array(prefix, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "node", "bits", "prefix"],
+                names=["doc_id", "hash", "n", "node", "bits", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, node long, bits binary, prefix array<long>")
+    return docs.select("doc_id", "text", _text_hash().alias("hash")).mapInArrow(sign, "doc_id long, hash long, n long, node long, bits binary, prefix array<long>")
 
 
 def _tiles(num: int, den: int):
@@ -410,26 +415,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component: of those of the smallest doc_id one. Documents without words all stay."""
-    signed, named = _nodes(docs, k, num, den)
-    id_, node_, rows_ = scratch.fresh(docs.columns, "id", "node", "rows")
-    # rows that share doc_id and set are copies; of the sets of a component's least doc_id the least stays
-    mine = signed.where("n > 0").join(named, F.col("node") == F.col("m")).groupBy("component", "node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    best = mine.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "node", "rows")).alias("x"))
-    best = scratch.materialize(best.select(F.col("x.doc_id").alias(id_), F.col("x.node").alias(node_), F.col("x.rows").alias(rows_)))
-    mark = f"_{node_}"
-    at = docs.columns.index("text")
-    schema = docs.select("*", F.lit(None).cast("long").alias(mark)).schema
-
-    def keyed(batches):
-        for b in batches:
-            key = [set_key(x) if len(x) else None for x in textnum.shingle_sets(b.column(at), k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64())], schema=pa.schema([*b.schema, pa.field(mark, pa.int64())]))
+    """docs with one document of each component: of those of the smallest doc_id one. Documents without words all stay.
 
-    marked = docs.mapInArrow(keyed, schema)
-    kept = marked.join(best, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(node_)))
-    several = kept.where(F.col(rows_) > 1).dropDuplicates(["doc_id", mark])
-    return kept.where(F.col(rows_) == 1).select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(marked.where(F.col(mark).isNull()).select(*docs.columns))
+    The rows that go are looked for by doc_id and a hash of the text; texts do not pass through Python again.
+    """
+    id_, text_ = scratch.fresh(docs.columns, "id", "hash")
+    signed, named = _nodes(docs, k, num, den)
+    # rows that share doc_id and text are copies; of the texts of a component's least doc_id the least stays
+    mine = signed.where("n > 0").join(named, F.col("node") == F.col("m")).groupBy("component", "node", "doc_id", "hash").agg(F.count(F.lit(1)).alias("rows"))
+    best = mine.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "node", "hash")).alias("x"))
+    judged = mine.join(best.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c"))
+    stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("hash") == F.col("x.hash")) & (F.col("node") == F.col("x.node"))
+    judged = scratch.materialize(judged.select(F.col("doc_id").alias(id_), F.col("hash").alias(text_), stays.alias("stays"), "rows").where("NOT stays OR rows > 1"))
+    near = F.broadcast if judged.count() <= BROADCAST_ROWS else lambda x: x
+    gone, several = near(judged.where("NOT stays").select(id_, text_).distinct()), judged.where("stays").select(id_, text_)
+    (mark,) = scratch.fresh([*docs.columns, id_, text_], "mark")
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(text_))
+    left = docs.withColumn(mark, _text_hash()).join(gone, on, "left_anti")
+    if several.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(near(several), on, "left_semi").dropDuplicates(["doc_id", mark])
+    return left.join(near(several), on, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

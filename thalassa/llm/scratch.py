@@ -52,14 +52,22 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return [f"{mark}{n}" for n in names]
 
 
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application, unless their path has it already."""
+    """Send this package to the executors' Python workers, once per application, unless their path has it already.
+
+    Also sets the session to batches of at most BATCH_BYTES between executors and Python, if it allows more: texts and
+    sets of shingles are long, and batches of 10,000 of them would fill the workers.
+    """
     import os
     from pathlib import Path
 
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     package = Path(__file__).resolve().parents[1]
     app = spark.sparkContext.applicationId
     if app in _shipped or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
