@@ -4,7 +4,7 @@ import pytest
 from thalassa.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "part orders lineitem events embeddings".split()
+TABLES = "customer part orders lineitem events embeddings".split()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def plain(rows, at):
     return sorted((tuple(r[i] for i in at) for r in rows), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows_as_sql(spark, con, name):
     got, want = catalog.QUERIES[name](spark, DIR), con.sql(catalog.ORACLES[name])
     cols = sorted(got.columns)
@@ -28,4 +28,4 @@ def test_same_rows_as_sql(spark, con, name):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         for u, v in zip(x, y):
-            assert u == (pytest.approx(v, rel=1e-6, abs=2e-6) if isinstance(v, float) else v)
+            assert u == (pytest.approx(v, rel=1e-6, abs=2e-6, nan_ok=True) if isinstance(v, float) else v)

@@ -1,8 +1,8 @@
-"""Electrical power, blade loads, point-velocity turbulence, rotations."""
+"""Electrical power of devices."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -15,37 +15,3 @@ def dc_power(pairs: list[tuple[Column, Column]]) -> Column:
 
 def ac_power_three_phase(pairs: list[tuple[Column, Column]], power_factor: float, line_to_line: bool = False) -> Column:
     return F.abs(dc_power(pairs)) * power_factor * (3**0.5 if line_to_line else 1)
-
-
-def blade_moments(matrix: list[float], flap_offset: float, flap: Column, edge_offset: float, edge: Column) -> tuple[Column, Column]:
-    a, b = flap - flap_offset, edge - edge_offset
-    return matrix[0] * a + matrix[1] * b, matrix[2] * a + matrix[3] * b
-
-
-def turbulence(df: DataFrame, by: list[str], u: str, v: str, w: str) -> DataFrame:
-    """Mean speed, turbulent kinetic energy, Reynolds stresses and intensity per group, in one aggregation."""
-    return df.groupBy(*by).agg(
-        F.sqrt(F.avg(u) ** 2 + F.avg(v) ** 2).alias("speed"),
-        (0.5 * (F.var_pop(u) + F.var_pop(v) + F.var_pop(w))).alias("tke"),
-        F.covar_pop(u, v).alias("uv"),
-        F.covar_pop(u, w).alias("uw"),
-        F.covar_pop(v, w).alias("vw"),
-        (F.stddev_pop(u) / F.abs(F.avg(u))).alias("intensity"),
-    )
-
-
-def detrended_variance(df: DataFrame, by: list[str], t: str, x: str) -> DataFrame:
-    """Variance about the line fitted per group."""
-    return df.groupBy(*by).agg(((F.regr_syy(x, t) - F.regr_sxy(x, t) ** 2 / F.regr_sxx(x, t)) / F.count(F.lit(1))).alias("variance"))
-
-
-def rotate(u: Column, v: Column, degrees: Column) -> tuple[Column, Column]:
-    """Components along and across a heading, clockwise from north."""
-    a = F.radians(90 - degrees)
-    return u * F.cos(a) + v * F.sin(a), v * F.cos(a) - u * F.sin(a)
-
-
-def principal_heading(df: DataFrame, by: list[str], u: str, v: str) -> DataFrame:
-    """Heading (0 to 180 degrees) of the axis of most variance."""
-    s = df.groupBy(*by).agg(F.covar_pop(u, v).alias("c"), (F.var_pop(u) - F.var_pop(v)).alias("d"))
-    return s.select(*by, F.pmod(90 - F.degrees(F.atan2(2 * F.col("c"), F.col("d")) / 2), F.lit(180.0)).alias("heading"))

@@ -7,13 +7,33 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thalassa.functions import arrays
+
 G, RHO = 9.80665, 1025.0
 
 
-def moment(n: int, f: str = "f", s: str = "s") -> Column:
-    """Sum of s f^n df; the width of a bin is the backward difference, that of the first the second's. f = 0 is left out."""
-    x = F.arrays_zip(F.col(f).alias("f"), F.col(s).alias("s"), F.transform(F.col(f), lambda v, i: F.when(i == 0, F.get(F.col(f), F.lit(1)) - v).otherwise(v - F.get(F.col(f), i - 1))).alias("d"))
-    return F.aggregate(x, F.lit(0.0), lambda a, p: a + F.when(p["f"] > 0, p["s"] * F.pow(p["f"], F.lit(float(n))) * p["d"]).otherwise(0.0))
+def widths(f: Column) -> Column:
+    """Backward differences of an array of frequencies; the first is the second's. One frequency alone has no width."""
+    return F.transform(f, lambda v, i: F.when(i == 0, F.get(f, F.lit(1)) - v).otherwise(v - F.get(f, i - 1)))
+
+
+def moment(n: int, f: str | Column = "f", s: str | Column = "s", width: Column | None = None) -> Column:
+    """Sum of s f^n df over the frequencies above 0, df their backward differences or the given widths.
+
+    Missing values of s count as nothing; without frequencies above 0 the moment is 0.
+    """
+    f, s = (F.col(c) if isinstance(c, str) else c for c in (f, s))
+    zipped = F.zip_with(f, s, lambda x, y: F.struct(x.alias("f"), y.alias("s")))
+    if width is not None:
+        zipped = F.zip_with(zipped, width, lambda p, d: F.struct(p["f"].alias("f"), p["s"].alias("s"), d.alias("d")))
+
+    def of(b: Column) -> Column:
+        p = b["p"]
+        d = F.transform(p, lambda q: q["d"]) if width is not None else widths(F.transform(p, lambda q: q["f"]))
+        term = lambda q, w: F.coalesce(F.nanvl(q["s"], F.lit(0.0)) * F.pow(q["f"], F.lit(float(n))) * w, F.lit(0.0))
+        return arrays.total(F.zip_with(p, d, term))
+
+    return arrays.bind(of, p=F.filter(zipped, lambda q: q["f"] > 0))
 
 
 def moments(spectra: DataFrame, orders=(-2, -1, 0, 1, 2, 4)) -> DataFrame:
@@ -84,9 +104,45 @@ def depth_regime(length: Column, h: Column, ratio: float = 2) -> Column:
     return h / length > ratio
 
 
-def wave_celerity(k: Column, h: Column, g: float = G) -> Column:
-    """Group velocity at any depth."""
-    return F.sqrt(g * k * F.tanh(k * h)) / k / 2 * (1 + 2 * k * h / F.sinh(2 * k * h))
+def wave_celerity(f: Column, k: Column, h: Column, depth_check: bool = False, ratio: float = 2) -> Column:
+    """Group velocity; with depth_check the deep-water form where h is more than `ratio` wave lengths."""
+    any_ = math.pi * f / k * (1 + 2 * h * k / F.sinh(2 * h * k))
+    return F.when(depth_regime(wave_length(k), h, ratio), math.pi * f / k).otherwise(any_) if depth_check else any_
+
+
+def energy_flux(f: Column, s: Column, h: Column, rho: float = RHO, g: float = G, ratio: float = 2) -> Column:
+    """Energy flux of a spectrum (arrays f > 0 and s) in water of depth h: rho g times the sum of s, width and group velocity."""
+
+    def of(b: Column) -> Column:
+        at = F.transform(b["f"], lambda x: arrays.bind(lambda c: wave_celerity(c["f"], c["k"], c["h"], True, ratio), f=x, k=wave_number(x, b["h"], g), h=b["h"]))
+        terms = F.zip_with(F.zip_with(b["s"], widths(b["f"]), lambda x, d: x * d), at, lambda x, c: F.coalesce(x * c, F.lit(0.0)))
+        return rho * g * arrays.total(terms)
+
+    return arrays.bind(of, f=f, s=s, h=h)
+
+
+def surface_elevation(t: Column, f: Column, s: Column, phase: Column, width: Column | None = None) -> Column:
+    """Elevation at time t of a spectrum (arrays) with given phases: the sum of sines of amplitude sqrt(2 s df).
+
+    df is one width for all, by default the first difference. For even frequencies from 0 on this is what the inverse
+    transform gives at the transform's own times.
+    """
+
+    def of(b: Column) -> Column:
+        wave = F.zip_with(F.zip_with(b["f"], b["s"], lambda x, y: F.struct(x.alias("f"), F.sqrt(2 * y * b["d"]).alias("a"))), b["p"], lambda q, p: F.coalesce(q["a"] * F.cos(2 * math.pi * q["f"] * b["t"] + p), F.lit(0.0)))
+        return arrays.total(wave)
+
+    return arrays.bind(of, f=f, s=s, p=phase, t=t, d=F.get(f, F.lit(1)) - F.get(f, F.lit(0)) if width is None else width)
+
+
+def spread_function(direction: Column, r1: Column, r2: Column, a1: Column, a2: Column) -> Column:
+    """Share per degree of a direction, of the first two Fourier terms of a buoy (angles in degrees)."""
+    return F.degrees((0.5 + r1 * F.cos(F.radians(direction - a1)) + r2 * F.cos(2 * F.radians(direction - a2))) / math.pi)
+
+
+def chakrabarti(height: Column, length: Column, diameter: Column) -> dict[str, Column]:
+    """What places a device in the chart of wave forces: Keulegan-Carpenter number and diffraction parameter."""
+    return {"keulegan_carpenter": math.pi * height / diameter, "diffraction": math.pi * diameter / length, "height_ratio": height / diameter}
 
 
 def energy_period_to_peak_period(te: Column, gamma: Column) -> Column:
@@ -119,3 +175,47 @@ def statistics(df: DataFrame, z: str) -> DataFrame:
 def annual_energy(df: DataFrame, cw: str, j: str) -> DataFrame:
     """Mean annual energy production of a series: 8766 / n * sum of capture width times flux."""
     return df.agg((8766 / F.count(F.lit(1)) * F.sum(F.col(cw) * F.col(j))).alias("maep"))
+
+
+def capture_width(power: Column, flux: Column) -> Column:
+    """Power over energy flux (also called capture length)."""
+    return power / flux
+
+
+def power_matrix(capture: DataFrame, flux: DataFrame, value: str = "mean") -> DataFrame:
+    """x_center, y_center, power: the product of two matrices, cell by cell."""
+    b = flux.select("x_center", "y_center", F.col(value).alias("_j"))
+    return capture.join(b, ["x_center", "y_center"]).select("x_center", "y_center", (F.col(value) * F.col("_j")).alias("power"))
+
+
+def annual_energy_of_matrices(capture: DataFrame, flux: DataFrame, share: DataFrame, value: str = "mean") -> DataFrame:
+    """maep of matrices of capture width, flux and frequency, and `total`, the sum of frequencies, which is to be 1."""
+    both = power_matrix(capture, flux, value).join(share.select("x_center", "y_center", "frequency"), ["x_center", "y_center"], "full_outer")
+    return both.agg((8766 * F.sum(F.col("power") * F.col("frequency"))).alias("maep"), F.sum("frequency").alias("total"))
+
+
+def annual_energy_matrix(df: DataFrame, ts: str, hm0: str, te: str, j: str, dh: float, dt: float) -> DataFrame:
+    """te_bin, hm0_bin, count, share: rows and share of the year's energy per cell, averaged over all years (none counts as 0)."""
+    cell = lambda x, w: F.floor(F.col(x) / w).cast("long")
+    year = df.select(F.year(ts).alias("year"), cell(te, dt).alias("te_bin"), cell(hm0, dh).alias("hm0_bin"), F.col(j).alias("j"))
+    cells = year.groupBy("year", "te_bin", "hm0_bin").agg(F.count(F.lit(1)).alias("n"), F.sum("j").alias("j"))
+    whole = cells.groupBy(F.col("year").alias("_y")).agg(F.sum("j").alias("_j"))
+    years = whole.agg(F.count(F.lit(1)).alias("_years"))
+    shares = cells.join(F.broadcast(whole), F.col("year") == F.col("_y")).withColumn("share", F.col("j") / F.col("_j"))
+    out = shares.groupBy("te_bin", "hm0_bin").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
+    return out.join(F.broadcast(years)).select("te_bin", "hm0_bin", (F.col("n") / F.col("_years")).alias("count"), (F.col("share") / F.col("_years")).alias("share"))
+
+
+def monthly_statistics(df: DataFrame, ts: str, x: str) -> DataFrame:
+    """month, n, mean and quartiles of x: what a boxplot by month shows."""
+    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    s = df.groupBy(F.month(ts).alias("month")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q.alias("q"))
+    return s.select("month", "n", "mean", *[F.col("q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
+
+
+def power_performance(spectra: DataFrame, depth: float, power: str, dh: float = 0.5, dt: float = 1.0, rho: float = 1205.0) -> dict[str, DataFrame]:
+    """Of spectra (arrays f, s) with a power per row: capture width matrix, flux matrix, power matrix and annual energy."""
+    s = sea_state(spectra).withColumn("j", energy_flux(F.col("f"), F.col("s"), F.lit(float(depth)), rho))
+    s = s.withColumn("cw", capture_width(F.col(power), F.col("j")))
+    capture, flux = performance_matrix(s, "hm0", "te", "cw", dh, dt), performance_matrix(s, "hm0", "te", "j", dh, dt)
+    return {"capture_width": capture, "flux": flux, "power": power_matrix(capture, flux), "annual_energy": annual_energy_of_matrices(capture, flux, flux)}

@@ -5,26 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thalassa.operators import devices, flow, series, wave
+from thalassa.plans.registry import ORACLES, QUERIES, query, rounded
 from thalassa.sources.tables import spectra, table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df, *columns, digits: int = 6):
-    """df with these columns rounded, as summation order differs between engines."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
+__all__ = ["ORACLES", "QUERIES"]
 
 _MOMENTS = """
 WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -137,50 +121,86 @@ def joint_probability(spark, sf_dir):
     return rounded(flow.joint_probability(line, "l_partkey", "l_quantity", 10.0, 5.0), "percent", digits=9)
 
 
-@query("SELECT (abs((l_partkey - 80 + 180) % 360 - 180) < abs((l_partkey - 250 + 180 + 360) % 360 - 180)) AS flood, count(*)::BIGINT AS n FROM (SELECT l_partkey % 360 + 360 AS l_partkey FROM lineitem) GROUP BY 1")
+@query("SELECT (d >= 175 AND d < 355) AS ebb, count(*)::BIGINT AS n FROM (SELECT l_partkey % 360 AS d FROM lineitem) GROUP BY 1")
 def flood_or_ebb(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem", "l_partkey")
-    return line.groupBy(flow.flood_or_ebb(F.col("l_partkey") % 360, 80, 250).alias("flood")).agg(F.count(F.lit(1)).alias("n"))
+    return line.groupBy(flow.is_ebb(F.col("l_partkey") % 360, 80, 250).alias("ebb")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_BLOCKS = """WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    b AS (SELECT *, i // 25 AS block FROM a WHERE i < n // 25 * 25)"""
+
+
+@query(f"{_BLOCKS} SELECT event_type, block::BIGINT AS block, min(ts) AS begin, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_samp(value), 6) AS std FROM b GROUP BY 1, 2")
+def block_statistics(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_type", "ts", "value")
+    return rounded(series.block_statistics(e, ["event_type"], "ts", "value", 25), "mean", "std")
 
 
 @query(
-    """SELECT user_id, floor(epoch_us(ts) / 1000000 / 86400)::BIGINT AS block, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1, 2"""
+    f"""{_BLOCKS}, s AS (SELECT event_type, block, avg(sin(radians(value))) AS s, avg(cos(radians(value))) AS c FROM b GROUP BY 1, 2), e AS (SELECT *, sqrt(greatest(1 - round(s * s + c * c, 8), 0)) AS e FROM s)
+    SELECT event_type, block::BIGINT AS block, round((degrees(atan2(s, c)) + 360) % 360, 5) AS mean, round(degrees(asin(e) * (1 + 0.1547 * e ** 3)), 4) AS std FROM e"""
 )
-def block_statistics(spark, sf_dir):
-    e = table(spark, sf_dir, "events", "user_id", "ts", "value")
-    return rounded(series.block_statistics(e, ["user_id"], "ts", "value", 86400), "mean", "std")
+def block_statistics_circular(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_type", "ts", "value")
+    return rounded(rounded(series.block_statistics(e, ["event_type"], "ts", "value", 25, circular=True).select("event_type", "block", "mean", "std"), "mean", digits=5), "std", digits=4)
 
 
 @query(
-    """WITH s AS (SELECT event_type, avg(sin(radians(value))) AS s, avg(cos(radians(value))) AS c FROM events GROUP BY 1), e AS (SELECT *, sqrt(greatest(1 - (s * s + c * c), 0)) AS e FROM s)
-    SELECT event_type, round((degrees(atan2(s, c)) + 360) % 360, 5) AS direction, round(degrees(asin(e) * (1 + (2 / sqrt(3) - 1) * e ** 3)), 5) AS spread FROM e"""
+    """WITH s AS (SELECT event_type, avg(sin(radians(value))) AS s, avg(cos(radians(value))) AS c FROM events GROUP BY 1), e AS (SELECT *, sqrt(greatest(1 - round(s * s + c * c, 8), 0)) AS e FROM s)
+    SELECT event_type, round((degrees(atan2(s, c)) + 360) % 360, 5) AS direction, round(degrees(asin(e) * (1 + 0.1547 * e ** 3)), 4) AS spread FROM e"""
 )
 def vector_statistics(spark, sf_dir):
-    return rounded(series.vector_statistics(table(spark, sf_dir, "events", "event_type", "value"), ["event_type"], "value"), "direction", "spread", digits=5)
+    return rounded(series.vector_statistics(table(spark, sf_dir, "events", "event_type", "value"), ["event_type"], "value").withColumn("spread", F.round("spread", 4)), "direction", digits=5)
+
+
+_UP = """WITH a AS (SELECT user_id, ts, round(value) - 50 AS x FROM events), u AS (SELECT *, coalesce(sign(lead(x) OVER w) - sign(x), 0) IN (1, 2) AS up, lead(ts) OVER w AS next FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, x)),
+    c AS (SELECT *, sum(up::INT) OVER (PARTITION BY user_id ORDER BY ts, x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS wave FROM u)"""
+
+
+def _waves(spark, sf_dir):
+    return table(spark, sf_dir, "events", "user_id", "ts", "value").select("user_id", "ts", (F.round("value") - 50).alias("x"))
 
 
 @query(
-    """WITH a AS (SELECT user_id, ts, value - 50 AS x FROM events), b AS (SELECT *, CASE WHEN x > 0 AND lag(x) OVER (PARTITION BY user_id ORDER BY ts) <= 0 THEN 1 ELSE 0 END AS up FROM a),
-    c AS (SELECT *, sum(up) OVER (PARTITION BY user_id ORDER BY ts)::BIGINT AS wave FROM b)
-    SELECT user_id, wave, count(*)::BIGINT AS n, max(x) AS peak, min(x) AS trough, round(max(x) - min(x), 6) AS height FROM c WHERE wave > 0 GROUP BY 1, 2"""
+    f"""{_UP}, g AS (SELECT user_id, wave, min(ts) AS begin, count(*)::BIGINT AS n, max(x) AS peak, min(x) AS trough FROM c WHERE wave > 0 GROUP BY 1, 2),
+    p AS (SELECT *, round((epoch_us(lead(begin) OVER (PARTITION BY user_id ORDER BY wave)) - epoch_us(begin)) / 1000000, 6) AS period FROM g)
+    SELECT user_id, wave, begin, n, peak, trough, period, peak - trough AS height FROM p WHERE period IS NOT NULL"""
 )
-def zero_upcrossing(spark, sf_dir):
-    e = table(spark, sf_dir, "events", "user_id", "ts", "value").select("user_id", "ts", (F.col("value") - 50).alias("x"))
-    return rounded(series.upcrossings(e, ["user_id"], "ts", "x").drop("begin"), "height")
+def upcrossing_waves(spark, sf_dir):
+    return rounded(series.waves(_waves(spark, sf_dir), ["user_id"], "ts", "x"), "period")
+
 
+@query(f"{_UP}, m AS (SELECT user_id, max(wave) AS last FROM c GROUP BY 1) SELECT user_id, wave, round(sqrt(avg(x * x)), 6) AS value FROM c JOIN m USING (user_id) WHERE wave > 0 AND wave < last GROUP BY 1, 2")
+def upcrossing_custom(spark, sf_dir):
+    return rounded(series.custom_waves(_waves(spark, sf_dir), ["user_id"], "ts", "x", F.sqrt(F.avg(F.col("x") * F.col("x")))), "value")
 
-@query("SELECT event_type, floor(epoch_us(ts) / 1000000 / 3600)::BIGINT AS block, max(value) AS peak FROM events GROUP BY 1, 2")
+
+@query(f"{_UP} SELECT user_id, wave, arg_min(ts, (-x, ts)) AS time, max(x) AS peak FROM c WHERE wave > 0 AND next IS NOT NULL GROUP BY 1, 2")
+def global_peaks(spark, sf_dir):
+    return series.global_peaks(_waves(spark, sf_dir), ["user_id"], "ts", "x")
+
+
+@query(
+    """WITH a AS (SELECT event_type, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) / 1000000 AS t, value FROM events), m AS (SELECT event_type, floor(max(t) / 3600) AS last FROM a GROUP BY 1)
+    SELECT event_type, floor(t / 3600)::BIGINT AS block, max(value) AS peak FROM a JOIN m USING (event_type) WHERE floor(t / 3600) < last GROUP BY 1, 2"""
+)
 def block_maxima(spark, sf_dir):
-    return series.block_maxima(table(spark, sf_dir, "events", "event_type", "ts", "value"), ["event_type"], "ts", "value", 3600)
+    e = table(spark, sf_dir, "events", "event_type", "ts", "value")
+    start = e.agg(F.min(series.micros("ts")).alias("start"))
+    e = e.join(F.broadcast(start)).select("event_type", ((series.micros("ts") - F.col("start")) / 1e6).alias("t"), "value")
+    return series.block_maxima(e, ["event_type"], "t", "value", 3600)
 
 
 @query(
-    """SELECT floor(l_quantity / 10.0)::BIGINT AS bin, signal, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM
-    (SELECT l_quantity, unnest(['l_extendedprice', 'l_discount', 'l_tax']) AS signal, unnest([l_extendedprice, l_discount, l_tax]) AS value FROM lineitem) GROUP BY 1, 2"""
+    """WITH e AS (SELECT * FROM (VALUES (0, 0.0, 10.0), (1, 10.0, 25.0), (2, 25.0, 26.0), (3, 26.0, 50.0), (4, 50.0, 60.0)) e(bin, lo, hi)), n AS (SELECT unnest(['l_extendedprice', 'l_discount', 'l_tax']) AS signal),
+    v AS (SELECT l_quantity AS q, unnest(['l_extendedprice', 'l_discount', 'l_tax']) AS signal, unnest([l_extendedprice, l_discount, l_tax]) AS value FROM lineitem),
+    s AS (SELECT bin, signal, avg(value) AS mean, stddev_pop(value) AS std FROM v JOIN e ON q >= lo AND (q < hi OR (bin = 4 AND q = hi)) GROUP BY 1, 2)
+    SELECT e.bin::INTEGER AS bin, n.signal, round(s.mean, 6) AS mean, round(s.std, 6) AS std FROM e CROSS JOIN n LEFT JOIN s ON e.bin = s.bin AND n.signal = s.signal"""
 )
 def bin_statistics(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return rounded(series.bin_statistics(line, "l_quantity", 10.0, ["l_extendedprice", "l_discount", "l_tax"]), "mean", "std")
+    return rounded(series.bin_statistics(line, "l_quantity", [0.0, 10.0, 25.0, 26.0, 50.0, 60.0], ["l_extendedprice", "l_discount", "l_tax"]), "mean", "std")
 
 
 @query(
@@ -195,12 +215,39 @@ def fillgaps_linear(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT event_id, value - lag(value) OVER w AS a, value - lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
-    SELECT event_id, coalesce((a > 40 AND b > 40) OR (a < -40 AND b < -40), false) AS spike FROM a"""
+    """WITH a AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 5 > 1 THEN value END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    b AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER p AS i0, last_value(x IGNORE NULLS) OVER p AS v0, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER q AS i1, first_value(x IGNORE NULLS) OVER q AS v1 FROM a
+      WINDOW p AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    SELECT event_id, round(CASE WHEN x IS NOT NULL THEN x WHEN i0 IS NOT NULL AND i1 IS NOT NULL THEN CASE WHEN i1 - i0 <= 3 THEN v0 + (v1 - v0) * (i - i0) / (i1 - i0) END
+      WHEN i0 IS NULL AND i1 - 1 <= 2 THEN v1 WHEN i1 IS NULL AND n - i0 <= 2 THEN v0 END, 6) AS filled FROM b"""
 )
+def fillgaps_by_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value").withColumn("x", F.when(F.col("event_id") % 5 > 1, F.col("value")))
+    return rounded(series.fill_gaps(e, ["user_id"], "ts", "x", max_gap=2, by_time=False, extrapolate=True).select("event_id", "filled"), "filled")
+
+
+@query(
+    """WITH a AS (SELECT event_id, event_type, CASE WHEN event_id % 5 > 1 THEN value END AS x, (row_number() OVER (PARTITION BY event_type ORDER BY ts, CASE WHEN event_id % 5 > 1 THEN value END) - 1) // 20 AS b FROM events)
+    SELECT event_id, round(coalesce(x, avg(x) OVER (PARTITION BY event_type, b)), 6) AS filled FROM a"""
+)
+def fill_with_mean(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_id", "event_type", "ts", "value").withColumn("x", F.when(F.col("event_id") % 5 > 1, F.col("value")))
+    return rounded(series.fill_with_mean(e, ["event_type"], "ts", "x", 20).select("event_id", "filled"), "filled")
+
+
+@query("SELECT event_id, abs(value - lag(value, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, value)) > 40 AS spike, value < 5 OR value > 90 AS outside FROM events")
 def despike_threshold(spark, sf_dir):
     e = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
-    return series.despike(e, ["user_id"], "ts", "value", 40).select("event_id", "spike")
+    return series.spikes(e, ["user_id"], "ts", "value", 40).select("event_id", "spike", series.outside(F.col("value"), 5, 90).alias("outside"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, ts, value > 40 AS high, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), b AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY ts) AS g FROM a WHERE high)
+    SELECT user_id, min(ts) AS begin, max(ts) AS end, count(*)::BIGINT AS n FROM b GROUP BY user_id, g HAVING count(*) >= 2"""
+)
+def segments(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "user_id", "ts", "value").withColumn("high", F.col("value") > 40)
+    return series.segments(e, ["user_id"], "ts", "high", 2)
 
 
 @query("SELECT event_id, (value BETWEEN 1 AND 200 AND value <> 1.63) AS ok FROM events")
@@ -219,6 +266,18 @@ def interp_asof(spark, sf_dir):
     return series.as_of(left, right, ["user_id"], "ts", "power").select("event_id", "power")
 
 
+@query(
+    """WITH r AS (SELECT user_id, epoch_us(ts) AS t, value AS v FROM events WHERE event_type = 'view'), l AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click'),
+    p AS (SELECT l.*, a.t AS t0, a.v AS v0 FROM l ASOF LEFT JOIN r a ON l.user_id = a.user_id AND l.t >= a.t), q AS (SELECT p.*, b.t AS t1, b.v AS v1 FROM p ASOF LEFT JOIN r b ON p.user_id = b.user_id AND p.t <= b.t)
+    SELECT event_id, round(CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS power FROM q"""
+)
+def interp_linear(spark, sf_dir):
+    e = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value", "event_type")
+    left = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("power"))
+    return rounded(series.interpolated(left, right, ["user_id"], "ts", "power").select("event_id", "power"), "power")
+
+
 @query("SELECT user_id, round(10 * log10(avg(10 ** (value / 100))), 6) AS average, round(10 * log10(sum(10 ** (value / 100))), 6) AS total FROM events GROUP BY 1")
 def time_average_db(spark, sf_dir):
     e = table(spark, sf_dir, "events", "user_id", "value").withColumn("level", F.col("value") / 10)
@@ -232,18 +291,4 @@ def electrical_power(spark, sf_dir):
     return o.select("o_orderkey", F.round(devices.dc_power(pairs), 4).alias("dc"), F.round(devices.ac_power_three_phase(pairs, 0.9, True), 4).alias("ac"))
 
 
-@query(
-    """SELECT l_shipyear, round(sqrt(avg(u) ** 2 + avg(v) ** 2), 6) AS speed, round(0.5 * (var_pop(u) + var_pop(v) + var_pop(w)), 6) AS tke, round(covar_pop(u, v), 6) AS uv, round(covar_pop(u, w), 6) AS uw,
-    round(covar_pop(v, w), 6) AS vw, round(stddev_pop(u) / abs(avg(u)), 6) AS intensity FROM (SELECT year(l_shipdate)::INTEGER AS l_shipyear, l_quantity AS u, l_discount * 100 AS v, l_tax * 100 AS w FROM lineitem) GROUP BY 1"""
-)
-def turbulence(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem", "l_shipdate", "l_quantity", "l_discount", "l_tax")
-    line = line.select(F.year("l_shipdate").alias("l_shipyear"), F.col("l_quantity").alias("u"), (F.col("l_discount") * 100).alias("v"), (F.col("l_tax") * 100).alias("w"))
-    return rounded(devices.turbulence(line, ["l_shipyear"], "u", "v", "w"), "speed", "tke", "uv", "uw", "vw", "intensity")
-
-
-@query("SELECT user_id, round((regr_syy(value, event_id) - regr_sxy(value, event_id) ** 2 / regr_sxx(value, event_id)) / count(*), 4) AS variance FROM events GROUP BY 1 HAVING count(*) > 2")
-def detrended_variance(spark, sf_dir):
-    e = table(spark, sf_dir, "events", "user_id", "event_id", "value")
-    e = e.join(e.groupBy("user_id").count().where("count > 2").select("user_id"), "user_id")
-    return rounded(devices.detrended_variance(e, ["user_id"], "event_id", "value"), "variance", digits=4)
+from thalassa.plans import doppler_queries, flow_queries, sound_queries, time_queries, wave_queries  # noqa: E402, F401

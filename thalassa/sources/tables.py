@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df by way of a reliable checkpoint in spark.checkpoint.dir: cuts lineage and survives lost executors.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not where:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="thalassa-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        sc.setCheckpointDir(where)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
