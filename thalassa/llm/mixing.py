@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIG
 
     sid numbers the sources by code point, null last; weights repeat over it. Targets share `share` of all words by
     weight; those above `copies` times their source stop there and the rest is shared again until none is above.
-    Each round asks the executors for two sums; no list of sources reaches the driver.
+    Sums are decimals, so that sources may hold any number of words; no list of sources reaches the driver.
     """
     spark = sizes.sparkSession
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -57,26 +57,37 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIG
     at = F.row_number().over(Window.partitionBy("pid").orderBy(F.col("source").asc_nulls_last()))
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
     listed = ranged.withColumn("at", at).join(F.broadcast(first), F.col("pid") == F.col("p")).withColumn("sid", (F.col("at") + F.col("skip") - 1).cast("long"))
-    listed = scratch.materialize(listed.select("source", "sid", "source_size", pick.cast("long").alias("w"), (F.col("source_size") * copies).alias("cap")))
+    wide = lambda c: c.cast("decimal(38,0)")
+    listed = listed.select("source", "sid", "source_size", pick.cast("long").alias("w"), wide(F.col("source_size") * copies).alias("cap"))
+    listed = scratch.materialize(listed.withColumn("fill", F.col("cap").cast("double") / F.col("w")))
 
+    # Sources stop at their cap in the order of cap / weight: with those before it at their caps, a source stops if its
+    # cap does not exceed its share of the rest. One sort, prefix sums over ranges, and no round per source.
     # share = num / den exactly, so that both this and SQL compute targets from integers with one division
     den = 1 << 20
     num = round(share * den)
     total = listed.agg(F.sum("source_size")).first()[0] or 0
-    full, parted, done = 0, 1, -1
-    while True:
-        over = F.col("cap") * F.lit(den * parted) <= F.col("w") * F.lit(full) if done >= 0 else F.lit(False)
-        n, held, free = listed.agg(
-            F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0))
-        ).first()
-        if n == done or not free:
-            break
-        done, full, parted = n, num * total - den * held, free
-    over = F.col("cap").cast("decimal(38,0)") * F.lit(den * parted).cast("decimal(20,0)") <= F.col("w").cast("decimal(38,0)") * F.lit(full)
-    fair = F.col("w").cast("double") * F.lit(float(full)) / F.lit(float(den * parted))
-    if not done and not free:
-        over, fair = F.lit(True), F.lit(0.0)
-    return listed.select("source", "sid", "source_size", F.when(over, F.col("cap").cast("double")).otherwise(fair).alias("target"))
+    ordered = scratch.materialize(listed.repartitionByRange(parts, "fill", "sid").withColumn("pid", F.spark_partition_id()))
+    sums = ordered.groupBy("pid").agg(F.sum("cap").alias("c"), F.sum("w").alias("v"))
+    w = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("decimal(38,0)")
+    before = sums.select(F.col("pid").alias("p"), F.coalesce(wide(F.sum("c").over(w)), zero).alias("c0"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("v0"))
+    w = Window.partitionBy("pid").orderBy("fill", "sid").rowsBetween(Window.unboundedPreceding, -1)
+    each = ordered.join(F.broadcast(before), F.col("pid") == F.col("p"))
+    weights_ = ordered.agg(F.sum("w")).first()[0] or 0
+    held = wide(F.col("c0") + F.coalesce(wide(F.sum("cap").over(w)), zero))
+    each = each.withColumn("rest", F.lit(str(num * total)).cast("decimal(38,0)") - wide(held * den)).withColumn("left", F.lit(weights_) - F.col("v0") - F.coalesce(F.sum("w").over(w), F.lit(0)))
+    # the first source that does not stop sets the rate of all after it
+    stops = wide(F.col("cap") * den).cast("double") * F.col("left") <= F.col("w") * F.col("rest").cast("double")
+    exact = wide(F.col("cap") * den) * F.col("left").cast("decimal(19,0)") <= F.col("w").cast("decimal(19,0)") * F.col("rest")
+    each = each.withColumn("stops", F.coalesce(exact, stops))
+    rate = each.where("NOT stops").orderBy("fill", "sid").select("fill", "sid", "rest", "left").first()
+    cap = F.col("cap").cast("double")
+    if rate is None:
+        return listed.select("source", "sid", "source_size", cap.alias("target"))
+    first_ = (F.col("fill") < rate["fill"]) | ((F.col("fill") == rate["fill"]) & (F.col("sid") < rate["sid"]))
+    fair = F.col("w").cast("double") * F.lit(float(int(rate["rest"]))) / F.lit(float(den * rate["left"]))
+    return listed.select("source", "sid", "source_size", F.when(first_, cap).otherwise(fair).alias("target"))
 
 
 def mix_sources(
