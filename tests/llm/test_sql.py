@@ -24,3 +24,13 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, DIR).collect()
     assert 0 < len(rows) <= spark.read.parquet(f"{DIR}/documents.parquet").count()
+
+
+def test_mix_has_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    out = corpus_pipeline.mix(spark, docs, DIR)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = out.collect()
+    assert len(rows) == len(texts) and all(r.text == texts[r.doc_id] for r in rows)

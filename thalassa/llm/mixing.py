@@ -90,6 +90,12 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIG
     return listed.select("source", "sid", "source_size", F.when(first_, cap).otherwise(fair).alias("target"))
 
 
+def key(seed: str = SEED):
+    """The hash that orders the queue: equal for rows of equal doc_id and text."""
+    text = F.md5(native.text_of("text").cast("binary"))
+    return F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+
+
 def mix_sources(
     docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, copies: int = COPIES, seed: str = SEED, per_bucket: int = 256
 ) -> DataFrame:
@@ -104,7 +110,7 @@ def mix_sources(
             "doc_id",
             "source",
             native.n_words(text).alias("size"),
-            F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary")).alias("key"),
+            key(seed).alias("key"),
         )
     )
     n = queue.count()
