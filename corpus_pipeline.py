@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from thalassa.llm import jaccard, leaks, mixing, scratch, secrets, toxicity
 
@@ -24,7 +25,10 @@ def redact_secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "mix_start")
+    """The mix: each document with its text, the words taken of it and where they start in the mix."""
+    plan = mixing.mix_sources(docs)
+    texts = docs.select(mixing.key().alias("_k"), "text").groupBy("_k").agg(F.first("text").alias("text"))
+    return plan.join(texts, F.col("key") == F.col("_k")).select("doc_id", "text", "source", "size", "source_size", "target", "taken", "mix_start")
 
 
 STAGES = [
