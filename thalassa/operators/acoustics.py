@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalassa.functions import arrays
+from thalassa.sources.audio import full_scale
 
 REFERENCE = 1e-12
 
@@ -168,8 +169,8 @@ def band_aggregate(df: DataFrame, by: list[str], f: str, level: str, per_octave:
 
 
 def volts(count: Column, bits: int, peak: float) -> Column:
-    """Volts of a sample of 16, 24 or 32 bits."""
-    return count * (peak / 2 ** (bits - 1))
+    """Volts of a sample of 12, 16, 24 or 32 bits; see full_scale()."""
+    return count / full_scale(bits) * peak
 
 
 def pressure(volt: Column, sensitivity_db: float, gain_db: float = 0) -> Column:
