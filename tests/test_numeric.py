@@ -207,3 +207,33 @@ def test_bands():
     assert b[0][1] == pytest.approx(10) and all(x[2] == pytest.approx(y[0]) for x, y in zip(b, b[1:]))
     with pytest.raises(ValueError):
         acoustics.aggregate(F.lit(1), "nothing")
+
+
+def test_spline_of_a_cubic_and_gaps(spark):
+    x = np.array([0.0, 1, 2, 4, 7, 8])
+    f = lambda t: 2 - t + 0.5 * t**2 - 0.1 * t**3
+    assert np.allclose(doppler.spline(x, f(x), np.array([3.0, 5, 6])), f(np.array([3.0, 5, 6])))
+    assert np.allclose(doppler.spline(x[:2], x[:2] * 2, np.array([0.5])), [1])
+    v = [float(f(t)) if t not in (3, 5, 6, 0) else float("nan") for t in range(9)]
+    r = one(spark, doppler.fill_cubic(arr(v), most=1)).c0
+    lost = lambda v: v is None or math.isnan(v)
+    assert lost(r[0]) and r[3] == pytest.approx(f(3)) and r[5] == pytest.approx(f(5)) and lost(r[6])
+
+
+def test_rotations_there_and_back(spark):
+    m = angles.orientation(F.lit(33.0), F.lit(-5.0), F.lit(12.0))
+    v = (F.lit(1.0), F.lit(-2.0), F.lit(0.5))
+    beam = ((1.0, 2.0, 0.0), (0.0, 1.0, -1.0), (1.0, 0.0, 1.0))
+    way = doppler.rotated(v, "beam", "principal", beam=beam, orient=m, heading=F.lit(70.0))
+    back = doppler.rotated(way, "principal", "beam", beam=beam, orient=m, heading=F.lit(70.0))
+    assert np.allclose(one(spark, *back), [1, -2, 0.5])
+    with pytest.raises(ValueError):
+        doppler.rotated(v, "beam", "ship")
+
+
+def test_nearest_points_without_neighbours(spark):
+    from thalassa.operators import grids
+
+    d = spark.createDataFrame([(0.0, 0.0, "a"), (1.0, 0.0, "b")], "x double, y double, v string")
+    w = spark.createDataFrame([(0.4, 0.0), (0.6, 0.1), (9.0, 9.0)], "x double, y double")
+    assert sorted(((r.x, r.v) for r in grids.to_nearest_points(d, w, ["x", "y"], 1.0).collect()), key=str) == [(0.4, "a"), (0.6, "b"), (9.0, None)]

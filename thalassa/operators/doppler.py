@@ -419,3 +419,102 @@ def discharge(df: DataFrame, by: list[str], x: str, z: str, v: str, rho: float,
     flow = across.groupBy(*by).agg(F.sum("_dq").alias("q"), (0.5 * rho * F.sum("_dc")).alias("p"))
     mean = d.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.avg(0.5 * rho * known(v) ** 3).alias("j"))
     return flow.join(mean, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True)).select(*by, "q", "p", "j")
+
+
+def stresses_5beam(variances: list[Column], beam_angle: float, pitch: Column, roll: Column, upvp: Column, noise: float = 0) -> dict[str, Column]:
+    """The six stresses of the variances of four slanted beams and a vertical one, and small tilts (radians).
+
+    vpvp has the variance of the first beam where symmetry asks for the third, as published results have it.
+    """
+    s, c = math.sin(math.radians(beam_angle)), math.cos(math.radians(beam_angle))
+    b0, b1, b2, b3, b4 = (v - noise**2 for v in variances)
+    x, y = b1 - b0, b3 - b2
+    return {
+        "upup": (b1 + b0 - 2 * c * c * b4) / (2 * s * s) - roll * x / (2 * s * c),
+        "vpvp": (b3 + b0 - 2 * c * c * b4) / (2 * s * s) + roll * x / (2 * s * s) - roll * x * c / (2 * s**3) + pitch * y / (2 * s * c),
+        "wpwp": (x + 2 * s**5 * c * pitch * y - 4 * s**6 * c * c * b4) / (2 * s * c),
+        "upvp": upvp,
+        "upwp": -x / (4 * s * c) - roll * (b1 + b0 - 2 * b4) / (s * s * c) + 2 * pitch * upvp / c,
+        "vpwp": -y / (4 * s * c) + pitch * (b3 + b2 - 2 * b4) / (s * s * c) - 2 * roll * upvp / c,
+    }
+
+
+FRAMES = ("beam", "inst", "earth", "principal")
+
+
+def rotated(vector: tuple[Column, ...], start: str, end: str, beam=None, orient: angles.Matrix | None = None, heading: Column | None = None) -> tuple[Column, ...]:
+    """A velocity taken from one frame to another by way of those between.
+
+    beam: rows of constants from beams to instrument axes; orient: rows are earth axes in instrument axes; heading: the
+    principal heading. A fourth component goes with the first three from beams to instrument axes only.
+    """
+    i, j = FRAMES.index(start), FRAMES.index(end)
+    while i != j:
+        step = min(i, i + (1 if j > i else -1))
+        back = j < i
+        if step == 0:
+            m = np.linalg.inv(np.asarray(beam, float)) if back else np.asarray(beam, float)
+            vector = tuple(sum((float(a) * v for a, v in zip(row[1:], vector[1:])), float(row[0]) * vector[0]) for row in m)
+        elif step == 1:
+            vector = (*angles.dot(angles.transposed(orient) if back else orient, vector[:3]), *vector[3:])
+        else:
+            vector = (*to_principal(vector[0], vector[1], heading, back), *vector[2:])
+        i += -1 if back else 1
+    return vector
+
+
+def four_components_to_earth(vector: tuple[Column, Column, Column, Column], m: angles.Matrix, down: bool = False) -> tuple[Column, ...]:
+    """East, north and two vertical velocities of x, y and two vertical ones, by an orientation matrix (rows earth axes)."""
+    x, y, z, w = vector if not down else (vector[0], -vector[1], -vector[2], -vector[3])
+    both = (z + w) / 2
+    east, north = (m[k][0] * x + m[k][1] * y + m[k][2] * both for k in (0, 1))
+    flat = m[2][0] * x + m[2][1] * y
+    return east, north, flat + m[2][2] * z, flat + m[2][2] * w
+
+
+def motion_corrected(velocity: Column, turning: Column, moving: Column) -> Column:
+    """Velocity of the water: that measured and those of the probe, by its turning and by its moving."""
+    return velocity + turning + moving
+
+
+def fill_cubic(x: Column, most: int = 6, context: int = 12) -> Column:
+    """An array with missing samples on the cubic spline through up to `context` known ones on either side.
+
+    Of a longer gap only the first `most` samples are filled; before the first and after the last known one none are.
+    """
+
+    @F.pandas_udf("array<double>")
+    def of(s: pd.Series) -> pd.Series:
+        out = []
+        for v in s:
+            v = np.asarray([] if v is None else v, float).copy()
+            good = np.flatnonzero(np.isfinite(v))
+            for a, b in zip(good, good[1:]):
+                if b - a > 1:
+                    k = np.searchsorted(good, a)
+                    near = good[max(0, k - context + 1) : k + 1 + context]
+                    at = np.arange(a + 1, min(b, a + 1 + most))
+                    v[at] = spline(near.astype(float), v[near], at.astype(float))
+            out.append(v)
+        return pd.Series(out)
+
+    return of(x)
+
+
+def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through points whose third derivative is the same on the first two and the last two pieces; a
+    polynomial through fewer than four."""
+    n = len(x)
+    if n < 4:
+        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    a, r = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        r[i] = 6 * (d[i] - d[i - 1])
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, r)
+    i = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    t, u = at - x[i], x[i + 1] - at
+    return (m[i] * u**3 + m[i + 1] * t**3) / (6 * h[i]) + (y[i] / h[i] - m[i] * h[i] / 6) * u + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * t

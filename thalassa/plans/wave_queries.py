@@ -208,3 +208,15 @@ def extreme_fits(spark, sf_dir):
     h = _histories(spark, sf_dir)
     up = F.transform("x", lambda v: F.abs(v) + 0.001)
     return h.select("vec_id", loads.gumbel_of(F.col("x")).alias("gumbel"), loads.gev_of(F.col("x")).alias("gev"), loads.weibull_of(up).alias("weibull"), loads.weibull_tail_of(up).alias("tail"), loads.over_threshold_of(up).alias("over"))
+
+
+@query()
+def environmental_contours(spark, sf_dir):
+    """By site (line status): contours of one in 50 years by three methods, of records as arrays."""
+    from thalassa.operators import contours
+
+    line = table(spark, sf_dir, "lineitem", "l_linestatus", "l_quantity", "l_tax", "l_discount", "l_orderkey").where("l_orderkey % 7 = 0")
+    h, t = F.col("l_quantity") / 10 + F.col("l_discount"), F.col("l_quantity") / 8 + F.col("l_tax") * 100 + 1
+    site = line.groupBy("l_linestatus").agg(F.array_sort(F.collect_list(F.struct(h.alias("h"), t.alias("t")))).alias("r"))
+    c = lambda m: contours.environmental_contour(F.transform("r", lambda x: x["h"]), F.transform("r", lambda x: x["t"]), 3600, 50, m, 90)
+    return site.select("l_linestatus", *[c(m).alias(m) for m in ("pca", "gaussian", "rosenblatt")])
