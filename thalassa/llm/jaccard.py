@@ -42,6 +42,8 @@ FREQUENT = 1 << 16
 _FLUSH = 1 << 21
 #: Pairs that are tested at a time.
 _BLOCK = 1 << 17
+#: Bytes of bitmaps that are compared at a time.
+_BITMAP_BYTES = 4 << 20
 #: Rows on either side that are looked at for a partner.
 REACH = 8
 #: Rows up to which a tile's pairs are proposed without bitmaps.
@@ -105,8 +107,11 @@ class Bitmaps:
             # bitmaps of this length, and those of twice the length folded
             at = np.full(len(self.length), -1)
             rows = [np.flatnonzero(self.length == size), np.flatnonzero(self.length == 2 * size)]
-            own = data[off[rows[0]][:, None] + np.arange(size)].view(np.uint64)
-            two = data[off[rows[1]][:, None] + np.arange(2 * size)].view(np.uint64)
+            own, two = (np.empty((len(r), n), np.uint8) for r, n in zip(rows, (size, 2 * size)))
+            for out, r in ((own, rows[0]), (two, rows[1])):
+                for k, i in enumerate(r):
+                    out[k] = data[off[i] : off[i + 1]]
+            own, two = own.view(np.uint64), two.view(np.uint64)
             at[rows[0]], at[rows[1]] = np.arange(len(rows[0])), len(rows[0]) + np.arange(len(rows[1]))
             half = size // 8
             self.place[int(size)] = at, np.concatenate([own, two[:, :half] ^ two[:, half:]])
@@ -117,8 +122,10 @@ class Bitmaps:
         out = np.zeros(len(i), np.int64)
         for s, (at, rows) in self.place.items():
             mine = np.flatnonzero((size == s) & (at[i] >= 0) & (at[j] >= 0))
-            if len(mine):
-                out[mine] = np.bitwise_count(rows[at[i[mine]]] ^ rows[at[j[mine]]]).sum(1)
+            step = max(1, _BITMAP_BYTES // s)
+            for lo in range(0, len(mine), step):
+                part = mine[lo : lo + step]
+                out[part] = np.bitwise_count(rows[at[i[part]]] ^ rows[at[j[part]]]).sum(1)
         return out
 
 
