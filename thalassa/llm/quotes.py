@@ -11,11 +11,13 @@ parents come before replies, (conv_id, thread_turn, turn) is a reply order; conv
 conversation may span partitions and none is gathered. The own text has no quotes and no "... wrote:" lines before them.
 
 Only messages with '>' are parsed line by line, and own passages are aggregated by key before they are shuffled, so a
-passage that stands in a third of all messages is one row per task. Quoted keys travel with a broadcast only up to
-BROADCAST_KEYS; more are joined by shuffle.
+passage that stands in a third of all messages is one row per task. A passage that is quoted in a third of all messages
+meets its owner in a broadcast (see HOT). Quoted keys travel with a broadcast only up to BROADCAST_KEYS; more are joined
+by shuffle.
 
 Cases: a null text is empty; an empty text has an empty reply. A null conv_id or turn keeps its row and links with
-nothing. Repeated (conv_id, turn) rows link as one message and keep a row each. Other columns are kept. An empty table
+nothing. Repeated (conv_id, turn) rows link as one message and keep a row each. Other columns are kept, but for those
+of the names that link() adds. An empty table
 gives no rows.
 """
 
@@ -31,6 +33,10 @@ from pyspark.sql import functions as F
 from . import scratch, textnum
 
 BROADCAST_KEYS = 200_000
+#: Keys of more than one in HOT quoted passages are broadcast with their owners.
+HOT = 1000
+#: What link() adds.
+ADDED = ("reply", "n_quotes", "max_level", "parent_conv", "parent_turn", "n_linked", "thread_turn", "depth")
 _MARK = re.compile(r"^(?:[ \t]{0,3}>)+")
 _WROTE = re.compile(r"(?:^On .*|^Am .*|^Le .*)?(?:wrote|writes|schrieb[^:]*|a écrit)\s?:\s*$")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -137,6 +143,18 @@ def _keys(messages: DataFrame, own: bool) -> DataFrame:
     return plain.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text").mapInArrow(run, "conv_id long, turn long, key long, level int, words int")
 
 
+def _by_key(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """left with the one row of right per key, if there is one. Keys of more than one in HOT rows of left, at most HOT of
+    them, meet right in a broadcast; all others in a shuffle that no key fills."""
+    names = [f"_{k}" for k in keys]
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(100, total // HOT)).drop("_n")
+    hot = scratch.materialize(hot.withColumnsRenamed(dict(zip(keys, names))))
+    on = [F.col(k) == F.col(n) for k, n in zip(keys, names)]
+    known = right.join(F.broadcast(hot), on, "left_semi").withColumnsRenamed(dict(zip(keys, names)))
+    often = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(known), on, "left").drop(*names)
+    return often.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, keys, "left"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent_conv, parent_turn, n_linked of the messages with a linked quote."""
     quoted = scratch.materialize(_keys(messages, False))
@@ -151,8 +169,9 @@ def links(messages: DataFrame) -> DataFrame:
     two = first.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("conv_id"))).where("place <= 2")
     at = F.struct("conv_id", "own_turn")
     far = two.groupBy("key").agg(F.min(at).alias("far"), F.max(at).alias("next"))
-    each = quoted.dropDuplicates(["conv_id", "turn", "key", "level"])
-    each = each.join(first, ["key", "conv_id"], "left").join(far, "key", "left")
+    each = scratch.materialize(quoted.dropDuplicates(["conv_id", "turn", "key", "level"]))
+    total = each.count()
+    each = _by_key(_by_key(each, first, ["key", "conv_id"], total), scratch.materialize(far), ["key"], total)
     here = F.col("own_turn") < F.col("turn")
     there = lambda f: F.when(F.col("far.conv_id") != F.col("conv_id"), F.col(f"far.{f}")).when(F.col("next.conv_id") != F.col("conv_id"), F.col(f"next.{f}"))
     each = each.select(
@@ -184,7 +203,8 @@ def _threads(found: DataFrame) -> DataFrame:
 def link(messages: DataFrame) -> DataFrame:
     """messages with reply, n_quotes, max_level, parent_conv, parent_turn, n_linked, thread_turn, depth."""
     scratch.ship(messages.sparkSession)
-    names = messages.columns
+    names = [c for c in messages.columns if c not in ADDED]
+    messages = messages.select(*names)
     at = names.index("text")
     schema = messages.select("*", F.lit("").alias("reply"), F.lit(0).cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("max_level")).schema
 
@@ -201,13 +221,14 @@ def link(messages: DataFrame) -> DataFrame:
                     reply.append(t), n.append(0), level.append(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(reply, pa.string()), pa.array(n, pa.int64()), pa.array(level, pa.int64())], names=[*names, "reply", "n_quotes", "max_level"])
 
+    c, t, c2, t2 = scratch.fresh([*names, *ADDED], "c", "t", "c2", "t2")
     found = scratch.materialize(links(messages))
-    parts = found.withColumnsRenamed({"conv_id": "_c", "turn": "_t"})
-    tops = _threads(found).withColumnsRenamed({"conv_id": "_c2", "turn": "_t2"})
+    parts = found.withColumnsRenamed({"conv_id": c, "turn": t})
+    tops = _threads(found).withColumnsRenamed({"conv_id": c2, "turn": t2})
     out = messages.mapInArrow(run, schema)
     # one row per message on the right; the left side may hold a conversation with a third of all rows, keys include turn
-    out = out.join(parts, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
-    out = out.join(tops, (F.col("conv_id") == F.col("_c2")) & (F.col("turn") == F.col("_t2")), "left")
+    out = out.join(parts, (F.col("conv_id") == F.col(c)) & (F.col("turn") == F.col(t)), "left")
+    out = out.join(tops, (F.col("conv_id") == F.col(c2)) & (F.col("turn") == F.col(t2)), "left")
     return out.select(*names, "reply", "n_quotes", "max_level", "parent_conv", "parent_turn", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce("thread_turn", F.col("turn").cast("long")).alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
