@@ -91,3 +91,16 @@ def test_forest():
 def test_set_key_ignores_order():
     x = textnum.mix(np.arange(9, dtype=np.uint64))
     assert jaccard.set_key(x) == jaccard.set_key(x[::-1].copy()) != jaccard.set_key(x[:8])
+
+
+def test_components_with_more_links(spark):
+    from thalassa.llm.components import connected, extended
+
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (230, 2))]
+    of = lambda x: spark.createDataFrame(x, "a long, b long")
+    whole = {r.node: r.c for r in connected(of(links)).collect()}
+    parts = extended(extended(connected(of(links[:90])), of(links[90:150])), of(links[150:]))
+    got = parts.collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.c for r in got} == whole
+    assert extended(connected(of([])), of([])).count() == 0

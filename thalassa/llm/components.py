@@ -38,3 +38,15 @@ def connected(links: DataFrame) -> DataFrame:
             break
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("c"))
     return scratch.materialize(out.unionByName(edges.select("v", "v").toDF("node", "c").distinct()))
+
+
+def extended(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of connected() with more links (a, b): only the links between components are gone through."""
+    known = comp.select(F.col("node").alias("m"), "c")
+    at = lambda df, s: df.join(known, F.col(s) == F.col("m"), "left").withColumn(s, F.coalesce("c", s)).drop("m", "c")
+    new = connected(at(at(links.select("a", "b"), "a"), "b"))
+    moved = comp.join(new.select(F.col("node").alias("m"), F.col("c").alias("d")), F.col("c") == F.col("m"), "left").select("node", F.coalesce("d", "c").alias("c"))
+    alone = new.join(known, F.col("node") == F.col("m"), "left_anti")
+    out = scratch.materialize(moved.unionByName(alone))
+    scratch.drop(new)
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, textnum
-from .components import connected
+from .components import connected, extended
 
 #: Entries of the list of frequent shingles that order last; only the speed depends on it.
 FREQUENT = 1 << 16
@@ -303,15 +303,15 @@ def _pairs(num: int, den: int, span: bool):
     return run
 
 
-def _open_tiles(tiles: DataFrame, nodes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open_tiles(tiles: DataFrame, nodes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows of tiles that hold several components, with components, sorted: those of at most SMALL rows, and the
-    others with bitmaps and dealt to blocks."""
+    others with bitmaps and dealt to blocks. The third table is what both are of, to be dropped after them."""
     label = F.coalesce("c", "node").alias("comp")
     left = tiles.select("token", "n", "pos", "node").join(comp.select(F.col("node").alias("m"), "c"), F.col("node") == F.col("m"), "left").select("token", "n", "pos", "node", label)
     by = left.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
     by = by.groupBy("token").agg(F.max_by("comp", "rows").alias("most"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     by = by.select(F.col("token").alias("t"), "most", F.when(F.col("rows") > SMALL, F.ceil(F.col("rows") / TILE).cast("int")).otherwise(0).alias("blocks"))
-    held = scratch.materialize(left.join(by, F.col("token") == F.col("t")).drop("t"))
+    held = scratch.keep(left.join(by, F.col("token") == F.col("t")).drop("t"))
     sort = lambda x: x.repartition("token", "block").sortWithinPartitions("token", "block", "n", "node")
     small = held.where("blocks = 0").select("token", F.lit(0).alias("block"), "n", "pos", "node", "comp")
     large = held.where("blocks > 0")
@@ -321,7 +321,7 @@ def _open_tiles(tiles: DataFrame, nodes: DataFrame, comp: DataFrame) -> tuple[Da
     # bitmaps of the nodes in question only
     some = nodes.join(large.select(F.col("node").alias("m")).distinct(), F.col("node") == F.col("m"), "left_semi").select(F.col("node").alias("k"), "bits")
     dealt = dealt.join(some, F.col("node") == F.col("k")).select("token", "block", "n", "pos", "node", "comp", "bits")
-    return sort(small), sort(dealt)
+    return sort(small), sort(dealt), held
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -384,33 +384,36 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     scratch.ship(docs.sparkSession)
     signed = scratch.materialize(_signatures(docs, k, num, den, _frequent(docs, k)))
     some = signed.where("n > 0")
-    nodes = scratch.materialize(
+    nodes = scratch.keep(
         some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     )
     listed = nodes.select(F.posexplode("prefix").alias("pos", "token"), F.col("n").cast("int"), "node")
     listed = listed.select("token", "n", "pos", "node").repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
-    tiles = scratch.materialize(listed.mapInArrow(_tiles(num, den), "token long, n int, pos int, node long, head long, prev long"))
+    tiles = scratch.keep(listed.mapInArrow(_tiles(num, den), "token long, n int, pos int, node long, head long, prev long"))
     first = tiles.select(F.explode(F.array("head", "prev")).alias("o"), "node").where("o != node").groupBy("node", "o").agg(F.count(F.lit(1)).alias("c"))
     first = first.groupBy("node").agg(F.max_by("o", F.struct("c", "o")).alias("o"))
     first = first.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
     first = scratch.materialize(_likely(first, nodes, num, den))
     links = _linked(first, nodes, docs, k, num, den)
-    scratch.drop(first)
+    comp = connected(links)
+    scratch.drop(first, links)
     for span in (True, False):
-        comp = connected(links)
-        small, large = _open_tiles(tiles, nodes, comp)
+        small, large, open_ = _open_tiles(tiles, nodes, comp)
         held = large.mapInArrow(_pairs(num, den, span), "a long, b long")
         if span:  # all pairs of small tiles, once
             pairs = small.mapInArrow(_pairs(num, den, False), "a long, b long").distinct()
             held = held.unionByName(_likely(pairs, nodes, num, den))
         held = scratch.materialize(held.distinct())
-        links = scratch.materialize(links.unionByName(_linked(held, nodes, docs, k, num, den)))
-        scratch.drop(held, comp)
-    comp = connected(links)
+        scratch.drop(open_)
+        links, before = _linked(held, nodes, docs, k, num, den), comp
+        comp = extended(before, links)
+        scratch.drop(held, links, before)
     scratch.drop(tiles)
     named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("c", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component"))
-    return signed, scratch.materialize(named.join(least, "c").select(F.col("node").alias("m"), "component"))
+    named = scratch.materialize(named.join(least, "c").select(F.col("node").alias("m"), "component"))
+    scratch.drop(nodes)
+    return signed, named
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,9 +34,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df held on the executors' disks until drop(), for tables of short lineage that are read several times: what a lost
+    executor held is computed again."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df._kept = True
+    return df
+
+
 def drop(*frames: DataFrame) -> None:
-    """Remove tables that materialize() wrote and that no later plan reads."""
+    """Remove tables that materialize() wrote or keep() holds and that no later plan reads."""
     for df in frames:
+        if getattr(df, "_kept", False):
+            df.unpersist()
         path = getattr(df, "_scratch_path", None)
         if path:
             jvm = df.sparkSession.sparkContext._jvm
