@@ -11,7 +11,7 @@ task holds one candidate block and k best rows per query, and the k best per tas
 limits.
 
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with
-zeros. Repeated vec_ids are rows of their own: only the query's own row is left out. Equal scores go to the smaller
+zeros. Components whose scores might not fit 64 bits are refused. Repeated vec_ids are rows of their own: only the query's own row is left out. Equal scores go to the smaller
 vec_id. Null vec_ids take no part. Fewer than k candidates give them all; an empty table gives none.
 """
 
@@ -35,8 +35,8 @@ def _dense(column, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     off = column.offsets.to_numpy()
     flat = np.floor(SCALE * column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)[off[0] : off[-1]])
-    if np.abs(flat).max(initial=0) > 2**25:
-        raise ValueError("components above 2^15 are outside the exact range of this index")
+    if float(np.abs(flat).max(initial=0)) ** 2 * dim > 2**62:
+        raise ValueError(f"components above {int((2**62 / dim) ** 0.5 / SCALE)} give scores beyond 64 bits for {dim} dimensions")
     lengths = np.diff(off)
     out = np.zeros((len(lengths), dim))
     out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(off[:-1] - off[0], lengths)] = flat
@@ -55,6 +55,8 @@ class ImpactBlock:
         self.segments = [np.where(level == i, x, 0) for i in range(levels)]
         square = np.stack([(s * s).sum(1) for s in self.segments])
         self.rest = np.sqrt(np.maximum(square[::-1].cumsum(0)[::-1] - square, 0)) * (1 + 1e-9)
+        # sums of large integers round: by so much of |q| at most
+        self.rounding = np.sqrt(square.sum(0)) * (x.shape[1] if x.ndim > 1 else 1) * 2.0**-51
 
     def candidates(self, q: np.ndarray, least: np.ndarray, k: int):
         """(query index, rows) whose score may reach both `least` and the block's k-th best: none that may is left out."""
@@ -63,7 +65,7 @@ class ImpactBlock:
         found = {}
         for i, segment in enumerate(self.segments):
             acc[alive] += q[alive] @ segment.T
-            slack = norm[alive, None] * self.rest[i]
+            slack = norm[alive, None] * (self.rest[i] + self.rounding)
             floor = least[alive]
             if len(self.x) > k:
                 low = acc[alive] - slack
@@ -81,7 +83,7 @@ class ImpactBlock:
 def _search(q: np.ndarray, own: np.ndarray, dim: int, k: int):
     def run(batches):
         # k + 1, as a query's own row is dropped afterwards
-        best_s, best_v = [np.zeros(0) for _ in q], [np.zeros(0, np.int64) for _ in q]
+        best_s, best_v = [np.zeros(0, np.int64) for _ in q], [np.zeros(0, np.int64) for _ in q]
         least = np.full(len(q), -np.inf)
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
@@ -97,7 +99,7 @@ def _search(q: np.ndarray, own: np.ndarray, dim: int, k: int):
                     top = np.lexsort((v, -s))[:k]
                     best_s[j], best_v[j] = s[top], v[top]
                     if len(top) == k:
-                        least[j] = s[top[-1]]
+                        least[j] = np.nextafter(float(s[top[-1]]), -np.inf)
         n = [len(s) for s in best_s]
         if sum(n):
             yield pa.record_batch({"q": np.repeat(np.arange(len(q)), n), "vec_id": np.concatenate(best_v), "score": np.concatenate(best_s).astype(np.int64)})
