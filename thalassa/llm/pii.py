@@ -15,7 +15,8 @@ broadcast (at most HOT of each per distinct one of a document), all others in a
 64-bit hashes.
 
 Cases: a null text is empty; an empty text has no spans. Repeated rows share one verdict. An entity in all documents has
-nothing to disclose. Other columns are kept.
+nothing to disclose. Other columns are kept; scan() replaces `found` and `terms`, sanitise() adds none. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -129,8 +130,23 @@ def disclosures(docs: DataFrame, held: DataFrame, n_docs: int) -> DataFrame:
     return both.where(F.col("n") < n_docs).withColumn("share", share).where(F.col("share") >= GENERALISE).select("ent", "term", F.when(F.col("share") >= REMOVE, 4).otherwise(5).alias("k"))
 
 
+#: Names of columns that scan() and sanitise() work with.
+_OWN = ("found", "terms", "dk", "_text", "_dk", "_cuts")
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of those names renamed, and the way back."""
+    back = {scratch.fresh([*docs.columns, *_OWN], f"aside_{c}")[0]: c for c in docs.columns if c in _OWN}
+    return docs.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """docs with `found` (entities by kind and start) and `terms` (array<struct<s, e, k>> by start) of terms that disclose them."""
+    docs, back = _aside(docs.drop("found", "terms"))
+    return _scanned(docs).withColumnsRenamed(back)
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
     known = _keyed(docs).withColumn("found", entities(F.col("_text")))
     held = scratch.materialize(_held(known))
     flagged = disclosures(docs, held, docs.count())
@@ -146,10 +162,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with entities replaced by their kind, disclosing terms removed or generalised."""
+    names = docs.columns
+    docs, back = _aside(docs)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]], F.lit(""), F.lit("[TERM]"))
     cut = lambda a: F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(marks, x["k"] + 1).alias("by")))
-    df = scan(docs).withColumn("_cuts", F.array_sort(F.concat(cut(F.col("found")), cut(F.col("terms")))))
-    return df.withColumn("text", F.when(F.size("_cuts") > 0, native.replaced(F.col("text"), F.col("_cuts"))).otherwise(F.col("text"))).select(*docs.columns)
+    df = _scanned(docs).withColumn("_cuts", F.array_sort(F.concat(cut(F.col("found")), cut(F.col("terms")))))
+    df = df.withColumn("text", F.when(F.size("_cuts") > 0, native.replaced(F.col("text"), F.col("_cuts"))).otherwise(F.col("text")))
+    return df.select(*docs.columns).withColumnsRenamed(back).select(*names)
 
 
 def joined(*spans: Column) -> Column:
