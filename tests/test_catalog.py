@@ -4,7 +4,7 @@ import pytest
 from thalassa.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "customer part orders lineitem events embeddings".split()
+TABLES = "customer supplier part orders lineitem events embeddings".split()
 
 
 @pytest.fixture(scope="module")
