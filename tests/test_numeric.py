@@ -237,3 +237,14 @@ def test_nearest_points_without_neighbours(spark):
     d = spark.createDataFrame([(0.0, 0.0, "a"), (1.0, 0.0, "b")], "x double, y double, v string")
     w = spark.createDataFrame([(0.4, 0.0), (0.6, 0.1), (9.0, 9.0)], "x double, y double")
     assert sorted(((r.x, r.v) for r in grids.to_nearest_points(d, w, ["x", "y"], 1.0).collect()), key=str) == [(0.4, "a"), (0.6, "b"), (9.0, None)]
+
+
+def test_quantiles_of_uneven_groups(spark):
+    from thalassa.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(8)
+    rows = [("a", float(x)) for x in rng.integers(0, 40, 3000)] + [("b", float(x)) for x in rng.normal(size=11)] + [(None, 2.0), ("c", None), ("a", float("nan"))]
+    d = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    got = {r.k: (r.p10, r.p50, r.p99) for r in quantiles(d, ["k"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    want = {k: np.quantile([x for j, x in rows if j == k and x == x and x is not None], [0.1, 0.5, 0.99]) for k in ("a", "b", None)}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)

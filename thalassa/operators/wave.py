@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalassa.functions import arrays
+from thalassa.operators.quantiles import quantiles
 
 G, RHO = 9.80665, 1025.0
 
@@ -154,22 +155,28 @@ def centre(x: Column, width: float) -> Column:
     return F.floor(x / width + 0.5) * width
 
 
-def performance_matrix(df: DataFrame, x: str, y: str, z: str, dx: float, dy: float) -> DataFrame:
-    """x_center, y_center and the eight statistics of z per cell that holds rows."""
+def performance_matrix(df: DataFrame, x: str, y: str, z: str, dx: float, dy: float, median: bool = True) -> DataFrame:
+    """x_center, y_center and the eight statistics of z per cell that holds rows; the median, if wanted, by ranks."""
     z_ = F.col(z)
-    out = df.groupBy(centre(F.col(x), dx).alias("x_center"), centre(F.col(y), dy).alias("y_center")).agg(
-        F.count(z_).alias("n"), F.avg(z_).alias("mean"), F.stddev_pop(z_).alias("std"), F.median(z_).alias("median"), F.sum(z_).alias("total"), F.min(z_).alias("least"), F.max(z_).alias("most")
+    cells = df.select(centre(F.col(x), dx).alias("x_center"), centre(F.col(y), dy).alias("y_center"), z_)
+    out = cells.groupBy("x_center", "y_center").agg(
+        F.count(z_).alias("n"), F.avg(z_).alias("mean"), F.stddev_pop(z_).alias("std"), F.sum(z_).alias("total"), F.min(z_).alias("least"), F.max(z_).alias("most")
     )
+    if median:
+        keys = ["x_center", "y_center"]
+        middle = quantiles(cells, keys, z, {"median": 0.5}).withColumnsRenamed({k: f"_{k}" for k in keys})
+        out = out.join(middle, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
     every = df.agg(F.count(z_).alias("_all"))
     return out.join(F.broadcast(every)).withColumn("frequency", F.col("n") / F.col("_all")).drop("_all")
 
 
+_QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def statistics(df: DataFrame, z: str) -> DataFrame:
     """count, mean, std (population), min, quartiles, max."""
-    q = F.percentile(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(z).alias("n"), F.avg(z).alias("mean"), F.stddev_pop(z).alias("std"), F.min(z).alias("least"), q.alias("q"), F.max(z).alias("most")).select(
-        "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most"
-    )
+    s = df.agg(F.count(z).alias("n"), F.avg(z).alias("mean"), F.stddev_pop(z).alias("std"), F.min(z).alias("least"), F.max(z).alias("most"))
+    return s.join(F.broadcast(quantiles(df, [], z, _QUARTILES))).select("n", "mean", "std", "least", *_QUARTILES, "most")
 
 
 def annual_energy(df: DataFrame, cw: str, j: str) -> DataFrame:
@@ -208,14 +215,15 @@ def annual_energy_matrix(df: DataFrame, ts: str, hm0: str, te: str, j: str, dh:
 
 def monthly_statistics(df: DataFrame, ts: str, x: str) -> DataFrame:
     """month, n, mean and quartiles of x: what a boxplot by month shows."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = df.groupBy(F.month(ts).alias("month")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q.alias("q"))
-    return s.select("month", "n", "mean", *[F.col("q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
+    d = df.select(F.month(ts).alias("month"), x)
+    s = d.groupBy("month").agg(F.count(x).alias("n"), F.avg(x).alias("mean"))
+    q = quantiles(d, ["month"], x, _QUARTILES).withColumnRenamed("month", "_m")
+    return s.join(F.broadcast(q), F.col("month").eqNullSafe(F.col("_m"))).select("month", "n", "mean", *_QUARTILES)
 
 
 def power_performance(spectra: DataFrame, depth: float, power: str, dh: float = 0.5, dt: float = 1.0, rho: float = 1205.0) -> dict[str, DataFrame]:
     """Of spectra (arrays f, s) with a power per row: capture width matrix, flux matrix, power matrix and annual energy."""
     s = sea_state(spectra).withColumn("j", energy_flux(F.col("f"), F.col("s"), F.lit(float(depth)), rho))
     s = s.withColumn("cw", capture_width(F.col(power), F.col("j")))
-    capture, flux = performance_matrix(s, "hm0", "te", "cw", dh, dt), performance_matrix(s, "hm0", "te", "j", dh, dt)
+    capture, flux = performance_matrix(s, "hm0", "te", "cw", dh, dt, False), performance_matrix(s, "hm0", "te", "j", dh, dt, False)
     return {"capture_width": capture, "flux": flux, "power": power_matrix(capture, flux), "annual_energy": annual_energy_of_matrices(capture, flux, flux)}

@@ -70,7 +70,7 @@ _CELLS = """m AS (SELECT floor(l_quantity / 10 / 0.5 + 0.5) * 0.5::DOUBLE AS x_c
 def _matrices(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem", "l_quantity", "l_tax", "l_extendedprice")
     sea = line.select((F.col("l_quantity") / 10).alias("hm0"), (F.col("l_tax") * 100).alias("te"), wave.capture_width(F.col("l_extendedprice"), F.col("l_quantity")).alias("cw"), (F.col("l_tax") * 100 + 1).alias("j"))
-    return wave.performance_matrix(sea, "hm0", "te", "cw", 0.5, 1.0), wave.performance_matrix(sea, "hm0", "te", "j", 0.5, 1.0)
+    return wave.performance_matrix(sea, "hm0", "te", "cw", 0.5, 1.0, False), wave.performance_matrix(sea, "hm0", "te", "j", 0.5, 1.0, False)
 
 
 @query(f"WITH {_CELLS} SELECT x_center, y_center, round(cw * j, 5) AS power FROM m")
