@@ -162,7 +162,7 @@ def nelder_mead(f, start: np.ndarray, steps: int = 400) -> np.ndarray:
     for _ in range(steps * n):
         order = np.argsort(values, kind="stable")
         points, values = [points[i] for i in order], [values[i] for i in order]
-        if max(np.abs(p - points[0]).max() for p in points[1:]) < 1e-9 and values[-1] - values[0] < 1e-9:
+        if max(np.abs(p - points[0]).max() for p in points[1:]) < 1e-6 and values[-1] - values[0] < 1e-7:
             break
         centre = np.mean(points[:-1], axis=0)
         away = centre + (centre - points[-1])

@@ -205,7 +205,8 @@ def damage_equivalent_load(spark, sf_dir):
 
 @query()
 def extreme_fits(spark, sf_dir):
-    h = _histories(spark, sf_dir)
+    # fits take long for a row: more tasks than files
+    h = _histories(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
     up = F.transform("x", lambda v: F.abs(v) + 0.001)
     return h.select("vec_id", loads.gumbel_of(F.col("x")).alias("gumbel"), loads.gev_of(F.col("x")).alias("gev"), loads.weibull_of(up).alias("weibull"), loads.weibull_tail_of(up).alias("tail"), loads.over_threshold_of(up).alias("over"))
 
