@@ -1 +1 @@
-
+"""Readers, and tables on their way."""
