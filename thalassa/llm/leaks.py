@@ -112,7 +112,9 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, radius: int =
 
     each = held.select("_key", "doc_id", F.explode(once(_hashes(native.text_of("text")), cut)).alias("w")).select("_key", "doc_id", "w.*").where(F.size("s") > 0)
     each = scratch.materialize(each)
-    probes = _listed(each.select("_key", "first", "n", simhashes(F.col("s")).alias("fps")), "_key", "first", "n")
+    # few bytes, but long to compute: spread over all tasks that shuffles have
+    spread = each.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key", "first")
+    probes = _listed(spread.select("_key", "first", "n", simhashes(F.col("s")).alias("fps")), "_key", "first", "n")
     listed = _listed(printed.select("item_id", F.col("n").alias("m"), "fps"), "item_id", "m").withColumnsRenamed({"print": "item_print", "fp": "item_fp", "block": "item_block", "value": "item_value"})
     n_items = known.count()
     same = (F.col("print") == F.col("item_print")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")) & (F.col("n") == F.col("m"))
