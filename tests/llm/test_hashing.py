@@ -34,9 +34,9 @@ def test_pairs_are_all_pairs_within_bounds(monkeypatch):
         for j in range(i)
         if token[i] == token[j] and comp[i] != comp[j] and n[j] * 100 >= n[i] * 80 and min(n[i] - pos[i], n[j] - pos[j]) >= -(-80 * (n[i] + n[j]) // 180)
     }
-    table = pa.record_batch({"token": token, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "node": node, "comp": comp})
+    table = pa.record_batch({"token": token, "block": np.zeros(len(rows), np.int32), "n": n.astype(np.int32), "pos": pos.astype(np.int32), "node": node, "comp": comp})
     for size in (1, 7, 1000):
         for block in (3, 1 << 20):
             monkeypatch.setattr(jaccard, "_BLOCK", block)
-            out = jaccard._pairs(80, 100)(table.slice(k, size) for k in range(0, len(rows), size))
+            out = jaccard._pairs(80, 100, False)(table.slice(k, size) for k in range(0, len(rows), size))
             assert {p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())} == want

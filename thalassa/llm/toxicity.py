@@ -32,7 +32,7 @@ TRAIN_ROWS = 20_000
 TRAIN_TERMS = 20_000_000
 BITS = 20
 RANK = 4
-EPOCHS = 24
+EPOCHS = 40
 BATCH = 64
 RATE, L2 = 1.0, 1e-2
 #: The L1 term is this over the root of the number of rows, as the noise of a weight.
