@@ -193,6 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factoriza
     model = FactorizationMachine(np.flatnonzero(np.bincount(x, minlength=1 << BITS) > 1))
     x, cut = model.active(x, cut)
     model.fit(x, cut, y)
+    del x, cut, y
+    scratch.relieve(docs.sparkSession)
     return model
 
 
