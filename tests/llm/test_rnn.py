@@ -49,3 +49,49 @@ def test_edges(spark):
     assert all(np.isfinite(r.score) and r.score < 0 for r in got)
     assert len({r.score for r in got if r.doc_id == 3}) == 1
     assert rnn.score(d.limit(0)).count() == 0
+
+
+def test_counts_find_words_of_one_slot():
+    rng = np.random.default_rng(1)
+    w = np.unique(np.append(rng.integers(1, 1 << 63, 3000).astype(np.uint64), np.arange(1, 300, dtype=np.uint64)))  # 299 in the first slot
+    counts = rnn.Counts(w, np.arange(len(w)) + 5, np.full(64, 1e6), np.full(64, 1e4))
+    t = rng.permutation(np.concatenate([w, w[:400] + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)]))
+    c, place = counts.look(t)
+    have = dict(zip(counts.w.tolist(), zip(counts.c.tolist(), counts.place.tolist())))
+    want = [have.get(x, (-1, rnn.VOCABULARY + int(rnn.bucket(np.array([x], np.uint64), 64)[0]))) for x in t.tolist()]
+    assert list(zip(c.tolist(), place.tolist())) == want
+
+
+@pytest.mark.parametrize("size", [0.1, 3, 30])
+def test_outputs_of_small_and_large_weights(size):
+    rng = np.random.default_rng(2)
+    m = rnn.Gru(rng.integers(1, 50, rnn.VOCABULARY + 40))
+    for k in ("wc", "ww"):
+        m.p[k][:] = rng.normal(0, size, m.p[k].shape)
+    h, y = rng.uniform(-1, 1, (40, rnn.HIDDEN)).astype(np.float32), rng.integers(0, rnn.VOCABULARY + 40, 40)
+    grad = {k: np.zeros(s, np.float32) for k, s in m.shapes.items()}
+    got, dh = m.outputs(h, y, grad)
+
+    def plain(a, at):
+        a = a - a.max(1, keepdims=True)
+        return a[np.arange(len(a)), at] - np.log(np.exp(a).sum(1))
+
+    wc, ww, h = m.p["wc"].astype(float), m.p["ww"].astype(float).reshape(m.classes, rnn.CLASS, -1), h.astype(float)
+    inner = np.einsum("ij,ikj->ik", h, ww[y // rnn.CLASS]) + m.p["bw"].reshape(m.classes, -1)[y // rnn.CLASS]
+    floor = np.log(1e-30)
+    want = np.maximum(plain(h @ wc + m.p["bc"], y // rnn.CLASS), floor) + np.maximum(plain(inner, y % rnn.CLASS), floor)
+    assert np.allclose(got, want, rtol=1e-4, atol=2e-3)
+    assert np.isfinite(dh).all() and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_outputs_of_few_long_texts_are_computed_together(monkeypatch):
+    m = rnn.Gru(np.ones(rnn.VOCABULARY + 40))
+    place = np.random.default_rng(3).integers(0, rnn.VOCABULARY + 40, 60_000).astype(np.int32)
+    bounds = np.array([0, 25_000, 25_001, 40_000, 60_000])
+    called, outputs = [], m.outputs
+    monkeypatch.setattr(m, "outputs", lambda h, y: called.append(len(y)) or outputs(h, y))
+    got = m.score(place, bounds)
+    assert sum(called) == len(place)
+    assert len(called) <= 5  # 782 windows
+    for lo, hi in zip(bounds, bounds[1:]):
+        assert np.allclose(m.score(place[lo:hi], np.array([0, hi - lo])), got[lo:hi], atol=1e-4)

@@ -34,11 +34,13 @@ FOLDS, HELD = 7, 2
 ROUNDS = 2
 WINDOW, LANES = 16, 768
 SCORE_WINDOW = 32
+#: Outputs wait for a window's end with so many: the last texts of a group are few, their windows small.
+SCORE_ROWS = 1 << 14
 #: Tokens that are scored together: long texts share their steps with as many others as may be.
 SCORE_TOKENS = 1 << 20
 _FLUSH = 1 << 22
-#: Multiplications of one product.
-_SINGLE = 1 << 17
+#: Numbers of a block of the softmax, which stays in a core's cache.
+_BLOCK = 1 << 15
 _END = np.uint64(textnum.END)
 
 
@@ -114,38 +116,35 @@ class Counts:
         self.mass[VOCABULARY:] = tail_c - np.bincount(own, c[vocabulary], self.buckets)
         self.rest = self.mass[VOCABULARY:] + tail_n - np.bincount(own, minlength=self.buckets) + 1
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "first"}
+
+    def _slots(self) -> tuple[np.uint64, np.ndarray]:
+        """(bits that leave the slot of a hash, the first of each slot's words): two slots and more a word."""
+        bits = (2 * len(self.w)).bit_length()
+        shift = np.uint64(64 - bits)
+        if not hasattr(self, "first"):
+            self.first = np.searchsorted(self.w >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        return shift, self.first
+
     def look(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, -1 if it must be joined; place: below VOCABULARY in the vocabulary, else that of the bucket)."""
-        other = VOCABULARY + bucket(t, self.buckets)
+        place = VOCABULARY + bucket(t, self.buckets)
         if not len(self.w):
-            return np.full(len(t), -1), np.where(t == _END, 0, other).astype(np.int32)
-        at = np.minimum(np.searchsorted(self.w, t), len(self.w) - 1)
-        known = self.w[at] == t
-        return np.where(known, self.c[at], -1), np.where(known, self.place[at], other).astype(np.int32)
-
-
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b in runs of rows small enough that no BLAS starts threads for them: tasks share the cores already."""
-    step = max(1, _SINGLE // (a.shape[1] * b.shape[1]))
-    if len(a) <= step:
-        return a @ b
-    out = np.empty((len(a), b.shape[1]), a.dtype)
-    for lo in range(0, len(a), step):
-        np.dot(a[lo : lo + step], b, out=out[lo : lo + step])
-    return out
-
-
-def _outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a.T @ b likewise."""
-    step = max(1, _SINGLE // (a.shape[1] * b.shape[1]))
-    out = a[:step].T @ b[:step]
-    for lo in range(step, len(a), step):
-        out += a[lo : lo + step].T @ b[lo : lo + step]
-    return out
-
-
-def _sigmoid(x):
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+            return np.full(len(t), -1), np.where(t == _END, 0, place).astype(np.int32)
+        shift, first = self._slots()
+        slot = (t >> shift).astype(np.int64)
+        at, count = first[slot], np.full(len(t), -1)
+        left = np.flatnonzero(at < first[slot + 1])
+        while len(left):  # a slot's words one after the other
+            here = at[left]
+            hit = self.w[here] == t[left]
+            found, here = left[hit], here[hit]
+            count[found], place[found] = self.c[here], self.place[here]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < first[slot[left] + 1]]
+        return count, place
 
 
 class Gru:
@@ -156,11 +155,13 @@ class Gru:
         n = len(mass)
         self.classes = -(-n // CLASS)
         full = self.classes * CLASS
-        self.shapes = {"x": (n, 3 * HIDDEN), "uzr": (HIDDEN, 2 * HIDDEN), "un": (HIDDEN, HIDDEN), "wc": (HIDDEN, self.classes), "bc": (self.classes,), "ww": (full, HIDDEN), "bw": (full,)}
+        self.shapes = {"x": (3, n, HIDDEN), "uzr": (2, HIDDEN, HIDDEN), "un": (HIDDEN, HIDDEN), "wc": (HIDDEN, self.classes), "bc": (self.classes,), "ww": (full, HIDDEN), "bw": (full,)}
         rng = np.random.default_rng(5)
         self.all, self.p = self._space()
         for k, s in self.shapes.items():
-            if len(s) > 1:
+            if len(s) == 3:  # gates side by side
+                self.p[k][:] = rng.normal(0, 0.1, (s[1], s[0] * s[2])).reshape(s[1], s[0], s[2]).transpose(1, 0, 2)
+            elif len(s) > 1:
                 self.p[k][:] = rng.normal(0, 0.1, s)
         whole = np.append(mass, np.zeros(full - n)).reshape(-1, CLASS).sum(1) + 0.5
         self.p["bc"][:] = np.log(whole / whole.sum())
@@ -188,46 +189,75 @@ class Gru:
         self.all, self.p = self._space()
         self.all[:] = state["all"]
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        g = self.p["x"][x]
-        zr = _sigmoid(g[:, : 2 * HIDDEN] + _dot(h, self.p["uzr"]))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(g[:, 2 * HIDDEN :] + _dot(r * h, self.p["un"]))
-        return n + z * (h - n), z, r, n
-
-    def _softmax(self, a: np.ndarray) -> np.ndarray:
-        """Biases are logarithms of shares, so that no row needs its maximum taken off."""
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        a /= _dot(a, np.ones((a.shape[1], 1), a.dtype)) + np.float32(1e-30)
-        return a
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input table and recurrence with the first two gates at half, for a sigmoid is (tanh(x / 2) + 1) / 2."""
+        x = self.p["x"].copy()
+        x[:2] *= np.float32(0.5)
+        return x, self.p["uzr"] * np.float32(0.5)
+
+    def step(self, x: np.ndarray, h: np.ndarray, gates: tuple[np.ndarray, np.ndarray] | None = None):
+        table, u = gates or self.gates()
+        g = table.take(x, axis=1)
+        zr, n = g[:2], g[2]
+        zr += np.matmul(h, u)
+        np.tanh(zr, out=zr)
+        zr += np.float32(1)
+        zr *= np.float32(0.5)
+        z, r = zr
+        n += (r * h) @ self.p["un"]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n
+
+    @staticmethod
+    def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, y: np.ndarray, gw: np.ndarray | None = None, gb: np.ndarray | None = None):
+        """Chances of columns y of softmax(h w + b); with gw and gb, adds the gradients of w and b and returns that of h.
+
+        Works on e = exp(h w) and takes exp(b) and the sums of rows into the smaller sides of the products. Biases are
+        logarithms of shares, so that rows need their maximum taken off only where weights are large.
+        """
+        share, steep = np.exp(b), np.abs(w).sum(0).max() > 40  # states are within -1 and 1
+        share_w, shares = (w * share).T, np.stack([share, share], 1)  # with two columns a row's sum is the same at any place
+        out, dh = np.empty(len(h), h.dtype), None if gw is None else np.empty_like(h)
+        target, width = share[y], w.shape[1]
+        rows = max(1, _BLOCK // width // 16) * 16  # products round alike in rows of one run of four: blocks split none
+        for lo in range(0, len(h), rows):
+            cut = slice(lo, lo + rows)
+            part = h[cut]
+            e = part @ w
+            if steep:
+                e -= e.max(1, keepdims=True)
+            np.exp(e, out=e)
+            total = (e @ shares)[:, 0] + np.float32(1e-30)
+            flat, at = e.reshape(-1), np.arange(len(part)) * width + y[cut]
+            own = flat[at]
+            out[cut] = own * target[cut] / total
+            if gw is not None:
+                flat[at] = own - total / np.maximum(target[cut], np.float32(1e-30))
+                total = np.reciprocal(total)[:, None]
+                g = (part * total).T @ e
+                g *= share
+                gw += g
+                gb += (total.T @ e)[0] * share
+                np.matmul(e, share_w, out=dh[cut])
+                dh[cut] *= total
+        return out, dh
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
         """Natural log-probabilities of targets y from states h; with grad, adds its gradients and returns that of h."""
         order = np.argsort((y // CLASS).astype(np.int16), kind="stable")
         h, y = h[order], y[order]
         c = y // CLASS
-        pc = self._softmax(_dot(h, self.p["wc"]) + self.p["bc"])
-        i = np.arange(len(y))
-        chance, dh = pc[i, c], None
-        if grad is not None:
-            pc[i, c] -= 1
-            grad["wc"] += _outer(h, pc)
-            grad["bc"] += pc.sum(0)
-            dh = _dot(pc, self.p["wc"].T)
+        chance, dh = self._softmax(h, self.p["wc"], self.p["bc"], c, *(() if grad is None else (grad["wc"], grad["bc"])))
         cut = np.searchsorted(c, np.arange(self.classes + 1))
         within = np.empty_like(chance)
         for k in np.flatnonzero(np.diff(cut)):
             s, rows = slice(k * CLASS, (k + 1) * CLASS), slice(cut[k], cut[k + 1])
-            hk = h[rows]
-            p = self._softmax(_dot(hk, self.p["ww"][s].T) + self.p["bw"][s])
-            j, at = i[: len(p)], y[rows] - k * CLASS
-            within[rows] = p[j, at]
+            within[rows], d = self._softmax(h[rows], self.p["ww"][s].T, self.p["bw"][s], y[rows] - k * CLASS, *(() if grad is None else (grad["ww"][s].T, grad["bw"][s])))
             if grad is not None:
-                p[j, at] -= 1
-                grad["ww"][s] += _outer(p, hk)
-                grad["bw"][s] += p.sum(0)
-                dh[rows] += _dot(p, self.p["ww"][s])
+                dh[rows] += d
         out = np.empty(len(y))
         out[order] = np.log(np.maximum(chance, 1e-30)) + np.log(np.maximum(within, 1e-30))
         if grad is not None:
@@ -237,34 +267,48 @@ class Gru:
     def backward(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, h: np.ndarray, grad: dict) -> tuple[float, np.ndarray]:
         """A window of inputs x and targets y (lanes, steps; `on` where real) from states h: adds the gradients of the
         negative log-likelihood to grad, returns its sum and the states after the window."""
-        end, steps = 0, x.shape[1]
-        past, states = [], np.empty((steps, *h.shape), np.float32)
+        end, steps, lanes = 0, x.shape[1], len(h)
+        x = np.ascontiguousarray(x.T)
+        first = [np.flatnonzero(row == end) for row in x]
+        gates = self.gates()
+        before, reset, states = (np.empty((steps, *h.shape), np.float32) for _ in range(3))
+        past = []
         for t in range(steps):
-            h = h * (x[:, t, None] != end)
-            new, z, r, n = self.step(x[:, t], h)
-            past.append((h, z, r, n))
-            states[t] = h = new
+            before[t] = h
+            before[t, first[t]] = 0
+            h, z, r, n = self.step(x[t], before[t], gates)
+            past.append((z, r, n))
+            states[t] = h
         on = on.T.ravel()
-        dout = np.zeros((steps * len(h), HIDDEN), np.float32)
+        dout = np.zeros((steps * lanes, HIDDEN), np.float32)
         got, dout[on] = self.outputs(states.reshape(-1, HIDDEN)[on], y.T.ravel()[on], grad)
         dout = dout.reshape(states.shape)
-        dh, dx = np.zeros_like(h), np.empty((steps, len(h), 3 * HIDDEN), np.float32)
+        dh, dx = np.zeros_like(h), np.empty((3, steps, lanes, HIDDEN), np.float32)
+        un, uz, ur = (u.T.copy() for u in (self.p["un"], *self.p["uzr"]))
         for t in reversed(range(steps)):
-            hp, z, r, n = past[t]
+            hp, (z, r, n) = before[t], past[t]
             d = dh + dout[t]
-            dn = d * (1 - z) * (1 - n * n)
-            drh = _dot(dn, self.p["un"].T)
-            dzr = dx[t, :, : 2 * HIDDEN]
-            dzr[:, :HIDDEN] = d * (hp - n) * z * (1 - z)
-            dzr[:, HIDDEN:] = drh * hp * r * (1 - r)
-            dx[t, :, 2 * HIDDEN :] = dn
-            grad["un"] += _outer(r * hp, dn)
-            grad["uzr"] += _outer(hp, dzr)
-            dh = (d * z + drh * r + _dot(dzr, self.p["uzr"].T)) * (x[:, t, None] != end)
-        at = x.T.ravel()
-        order = np.argsort(at.astype(np.uint16) if len(self.p["x"]) <= 1 << 16 else at, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
-        grad["x"][at[order][first]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+            dz, dr, dn = dx[:, t]
+            np.multiply(d * (1 - z), 1 - n * n, out=dn)
+            drh = dn @ un
+            np.multiply(d * (hp - n), z * (1 - z), out=dz)
+            np.multiply(r, hp, out=reset[t])
+            np.multiply(drh * reset[t], 1 - r, out=dr)
+            dh = d * z
+            drh *= r
+            dh += drh
+            dh += dz @ uz
+            dh += dr @ ur
+            dh[first[t]] = 0
+        dx = dx.reshape(3, -1, HIDDEN)
+        grad["un"] += reset.reshape(-1, HIDDEN).T @ dx[2]
+        grad["uzr"] += np.matmul(before.reshape(-1, HIDDEN).T, dx[:2])
+        at = x.ravel()
+        order = np.argsort(at.astype(np.uint16) if self.p["x"].shape[1] <= 1 << 16 else at, kind="stable")
+        at = at[order]
+        cut = np.flatnonzero(np.append(True, np.diff(at) != 0))
+        for g, d in zip(grad["x"], dx):
+            g[at[cut]] += np.add.reduceat(np.ascontiguousarray(d[order].T), cut, axis=1).T  # sums of runs, not of strides
         return -float(got.sum()), h
 
     def train(self, stream: np.ndarray, rate: float) -> int:
@@ -301,26 +345,26 @@ class Gru:
         return len(stream)
 
     def score(self, place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The natural log-probability of each place, texts by bounds; states are carried across windows."""
+        """The natural log-probability of each place, texts by bounds; states are carried to a text's end."""
         out = np.zeros(len(place))
         length = np.diff(bounds)
         order = np.argsort(-length, kind="stable")
         start, length = bounds[:-1][order], length[order]
-        h = np.zeros((len(order), HIDDEN), np.float32)
-        for lo in range(0, int(length[0]) if len(length) else 0, SCORE_WINDOW):
-            states, where = [], []
-            for t in range(lo, min(lo + SCORE_WINDOW, int(length[0]))):
-                n = int(np.searchsorted(-length, -t, "left"))  # texts longer than t
-                if not n:
-                    break
-                at = start[:n] + t
-                x = place[at - 1] if t else np.zeros(n, np.int32)
-                h = h[:n]
-                h = self.step(x, h)[0]
-                states.append(h)
-                where.append(at)
-            at = np.concatenate(where)
-            out[at] = self.outputs(np.concatenate(states), place[at])[0]
+        h, y, gates = np.zeros((len(order), HIDDEN), np.float32), np.zeros(len(order), np.int32), self.gates()
+        states, where, targets, size = [], [], [], 0
+        steps = int(length[0]) if len(length) else 0
+        longer = np.searchsorted(-length, -np.arange(steps), "left")  # texts longer than t
+        for t, n in enumerate(longer):
+            h = self.step(y[:n], h[:n], gates)[0]
+            at = start[:n] + t
+            y = place[at]
+            states.append(h)
+            where.append(at)
+            targets.append(y)
+            size += n
+            if t == steps - 1 or (t + 1) % SCORE_WINDOW == 0 and size >= SCORE_ROWS:
+                out[np.concatenate(where)] = self.outputs(np.concatenate(states), np.concatenate(targets))[0]
+                states, where, targets, size = [], [], [], 0
         return out
 
 
