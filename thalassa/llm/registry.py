@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, leaks, licenses, mixing, pii, quotes, rnn, secrets, topk, toxicity
+from . import collocations, jaccard, leaks, licenses, mixing, pii, quotes, rnn, secrets, topk, toxicity
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_jaccard_join": jaccard.query,
         "op10_license_scan": licenses.query,
+        "op11_phrase_collocations": collocations.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_exact_topk": topk.SQL, "op8_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}
+    return {"op11_phrase_collocations": collocations.SQL, "op5_exact_topk": topk.SQL, "op8_mixing": mixing.SQL, "op9_jaccard_join": jaccard.SQL}

@@ -56,11 +56,14 @@ def relieve(spark: SparkSession) -> None:
     _relieved = time.monotonic()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return a reader of it: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and return a reader of it: cuts lineage, survives lost executors.
+
+    options are those of the writer.
+    """
     spark = df.sparkSession
     path = f"{root(spark)}/thalassa-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     if time.monotonic() - _relieved > PAUSE:
