@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, jaccard, leaks, licenses, mixing, pii, quotes, rnn, secrets, topk, toxicity
+from . import collocations, jaccard, leaks, licenses, mixing, pii, quotes, rnn, secrets, tokenfiles, topk, toxicity, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,8 @@ def queries() -> dict:
         "op9_jaccard_join": jaccard.query,
         "op10_license_scan": licenses.query,
         "op11_phrase_collocations": collocations.query,
+        "op12_embedding_whitening": whitening.query,
+        "op13_token_files": tokenfiles.query,
         "pipeline": corpus_pipeline.run,
     }
 

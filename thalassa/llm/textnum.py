@@ -55,9 +55,8 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its row, first word of each row as n+1 bounds)."""
-    n = len(offsets) - 1
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every word of the rows."""
     solid = ~_SPACE[data]
     first, final = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
@@ -66,10 +65,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[edge] |= solid[edge]
     edge = edge[edge > 0] - 1
     final[edge] |= solid[edge]
-    starts = np.flatnonzero(first)
+    return np.flatnonzero(first), np.flatnonzero(final) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its row, first word of each row as n+1 bounds)."""
+    n = len(offsets) - 1
+    starts, ends = bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-    length = np.flatnonzero(final) + 1 - starts
+    length = ends - starts
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = _LOWER[data]
     eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))
@@ -81,8 +86,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         h[more] = mix(h[more] ^ (eight[starts[more] + done] & _FIRST[np.minimum(length[more] - done, 8)]))
         done += 8
         more = more[length[more] > done]
-    bounds = np.searchsorted(starts, offsets)
-    return h, np.repeat(np.arange(n), np.diff(bounds)), bounds
+    of_row = np.searchsorted(starts, offsets)
+    return h, np.repeat(np.arange(n), np.diff(of_row)), of_row
 
 
 _FACTORS = mix(np.arange(11, 11 + 64, dtype=U)) | U(1)
