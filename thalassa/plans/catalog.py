@@ -291,4 +291,4 @@ def electrical_power(spark, sf_dir):
     return o.select("o_orderkey", F.round(devices.dc_power(pairs), 4).alias("dc"), F.round(devices.ac_power_three_phase(pairs, 0.9, True), 4).alias("ac"))
 
 
-from thalassa.plans import doppler_queries, flow_queries, sound_queries, source_queries, time_queries, wave_queries  # noqa: E402, F401
+from thalassa.plans import doppler_queries, flow_queries, instrument_queries, sound_queries, source_queries, time_queries, wave_queries  # noqa: E402, F401
