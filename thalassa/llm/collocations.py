@@ -10,8 +10,8 @@ between.
 
 Texts travel as chunks of about CHUNK_BYTES of one lang with word numbers of their own, cut at the ends of pieces, so a
 chunk sends each of its distinct pairs once, with a count. A frequent word or pair is then one row a chunk at most, and
-these are summed before the shuffle. Tables of names meet the pairs in a broadcast while they have at most
-BROADCAST_ROWS rows, else in a join by key.
+these are summed before the shuffle. Tables of names are sent to all tasks while they have at most BROADCAST_ROWS rows;
+larger ones are joined by key to the distinct pairs of each chunk, at most as many rows as there are words.
 
 Cases: a null text is empty; a null lang is `und`, together with rows of that lang; blank pieces have no phrases;
 repeated rows count again; equal scores go by count, then by phrase in byte order; an empty table gives no rows. Other
@@ -143,16 +143,65 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"chunk": np.full(len(key), chunk), "code": np.arange(len(key), dtype=np.int32), "l": ids[key // len(ids)], "r": ids[key % len(ids)], "n": count})
 
 
-def _renamed(level: int):
-    """Chunks in which the names of the last level give way to those of this one, as far as they have any."""
+class Names:
+    """The names of a level, small enough to be sent to all tasks: by word for each lang, or by pair."""
+
+    def __init__(self, table: pa.Table, level: int):
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type)
+        self.ids = column("id").to_numpy()
+        if level == 1:
+            langs = column("lang").dictionary_encode()
+            self.of = {}
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                own = pa.compute.equal(langs.indices, i)
+                self.of[lang] = column("word").filter(own), column("id").filter(own).to_numpy()
+            return
+        # a pair is one number: the place of its left among all lefts, and of its right
+        (self.left, i), (self.right, j) = (np.unique(column(c).to_numpy(), return_inverse=True) for c in ("l", "r"))
+        key = i.reshape(-1) * len(self.right) + j.reshape(-1)
+        order = np.argsort(key)
+        self.key, self.ids = key[order], self.ids[order]
+
+    def words(self, lang: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(which words have a name, their names)."""
+        known, ids = self.of.get(lang, (pa.array([], pa.string()), np.zeros(0, np.int64)))
+        at = pa.compute.fill_null(pa.compute.index_in(words, known), -1).to_numpy()
+        codes = np.flatnonzero(at >= 0)
+        return codes, ids[at[codes]]
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        find = lambda among, x: np.minimum(np.searchsorted(among, x), len(among) - 1)
+        i, j = find(self.left, left), find(self.right, right)
+        key = i * len(self.right) + j
+        at = find(self.key, key)
+        codes = np.flatnonzero((self.left[i] == left) & (self.right[j] == right) & (self.key[at] == key))
+        return codes, self.ids[at[codes]]
+
+
+def _renamed(level: int, sent=None):
+    """Chunks in which the names of the last level give way to those of this one, as far as they have any.
+
+    The names are sent to all tasks, or have been joined to each chunk as codes and named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (chunk, at, codes, ids) in enumerate(zip(b.column("chunk").to_pylist(), _lists(b, "at"), _lists(b, "codes"), _lists(b, "named"), strict=True)):
+            for i, (chunk, at) in enumerate(zip(b.column("chunk").to_pylist(), _lists(b, "at"), strict=True)):
                 if level > 1:
-                    ok, key, which, _ = _adjacent(at, len(b.column("ids")[i]))
+                    old = b.column("ids")[i].values.to_numpy()
+                    ok, key, which, _ = _adjacent(at, len(old))
                     at = np.full(len(ok), -1, np.int64)
                     at[ok] = which
+                if sent is None:
+                    codes, ids = b.column("codes")[i].values.to_numpy(), b.column("named")[i].values.to_numpy()
+                elif level == 1:
+                    codes, ids = sent.value.words(b.column("lang")[i].as_py(), b.column("words")[i].values)
+                else:
+                    codes, ids = sent.value.pairs(old[key // len(old)], old[key % len(old)])
+                if not len(codes):
+                    continue
                 to = np.full(int(max(codes.max(), at.max())) + 2, -1, np.int32)
                 to[codes] = np.arange(len(codes))
                 at = to[at]  # the last entry, for -1, is -1
@@ -164,12 +213,14 @@ def _renamed(level: int):
 
 def _named(chunks: DataFrame, seen: DataFrame, names: DataFrame, on: list[str], level: int) -> DataFrame:
     """The chunks in the names of this level. seen: chunk, code and the columns `on` of the distinct items of each."""
-    small = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    key = names.select(*on, "id")
-    found = seen.join(F.broadcast(key) if small else key, on).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("found"))
+    key, schema = names.select(*on, "id"), "chunk long, at array<int>, ids array<long>"
+    if names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        sent = chunks.sparkSession.sparkContext.broadcast(Names(key.toArrow(), level))
+        return scratch.materialize(chunks.mapInArrow(_renamed(level, sent), schema), ROW_GROUPS)
+    found = seen.join(key, on).groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("found"))
     found = found.select("chunk", F.col("found.code").alias("codes"), F.col("found.id").alias("named"))
     old = chunks.select("chunk", "at", *(["ids"] if level > 1 else []))
-    return scratch.materialize(old.join(found, "chunk").mapInArrow(_renamed(level), "chunk long, at array<int>, ids array<long>"), ROW_GROUPS)
+    return scratch.materialize(old.join(found, "chunk").mapInArrow(_renamed(level), schema), ROW_GROUPS)
 
 
 def _numbered(counts: DataFrame, least: int) -> DataFrame:
