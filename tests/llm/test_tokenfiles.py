@@ -33,23 +33,36 @@ def test_query_equals_library(spark):
     assert got == want
 
 
-def test_words_encode_as_texts():
-    """Also words met again, and those too long to keep."""
-    encoder, plain = tokenfiles.Encoder(open(WORDS, encoding="utf-8").read(), True), Tokenizer.from_file(WORDS)
-    for _ in range(2):
-        (ids, n), = encoder.encode(pa.array(ODD))
-        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t or "", add_special_tokens=False).ids for t in ODD]
-    assert all(len(w) <= tokenfiles.KEPT_LETTERS for w in encoder.known)
+PARTS = [
+    "don't 's 'S x's y'sfoo 5's ,'s ''s '' ' a'", "é's 's. …'s, Ábc á 1́ .́x", "<|EndOfText|> a<|endoftext|>b", "<|startoftext|", "abc123def45.6,7;x--y__z", "x\x00y\x1cz\x7f0",
+    "K K ſ S's ’s l'll", "3rd (a)b]c{d}e'f 'll'll 1'2'3",
+]
+
+
+@pytest.mark.parametrize("parts", ["text", "space", "class"])
+def test_parts_encode_as_texts(parts, monkeypatch):
+    """Also parts met again, and those beyond the kept ones."""
+    rng = np.random.default_rng(0)
+    noise = ["".join(rng.choice(list("aZ'’é́ .,<|0x9\x1f\x85日ß"), 200)) for _ in range(200)]
+    plain = Tokenizer.from_file(WORDS)
+    for texts in (ODD, PARTS, noise):
+        encoder = tokenfiles.Encoder(open(WORDS, encoding="utf-8").read(), parts)
+        for kept in (1 << 17, 5):
+            monkeypatch.setattr(tokenfiles, "KEPT_WORDS", kept)
+            (ids, n), = encoder.encode(pa.array(texts))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert list(encoder.encode(pa.array([], pa.string()))) == []
+    with pytest.raises(ValueError):
+        tokenfiles.Encoder(open(WORDS, encoding="utf-8").read(), "letter")
 
 
-@pytest.mark.parametrize("name, by_word, length, per_batch", [("word_bpe_49k.json", True, 16, 3), ("byte_bpe_50k.json", False, 7, 2), ("word_bpe_49k.json", True, 1 << 16, 1)])
-def test_round_trip(spark, tmp_path, name, by_word, length, per_batch):
+@pytest.mark.parametrize("name, parts, length, per_batch", [("word_bpe_49k.json", "class", 16, 3), ("byte_bpe_50k.json", "text", 8, 2), ("word_bpe_49k.json", "space", 1 << 16, 1)])
+def test_round_trip(spark, tmp_path, name, parts, length, per_batch):
     path = public_tokenizers.path(name)
     rows = [(i * 7 % 101, t) for i, t in enumerate(ODD * 5)] + [(None, "last of all")]
     folder = f"file://{tmp_path}/out"
     table = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, h string, part int").repartition(6)
-    files = tokenfiles.write(table, folder, path, 2, by_word, length, per_batch)
+    files = tokenfiles.write(table, folder, path, 2, parts, length, per_batch)
     want = brute(rows, Tokenizer.from_file(path))
     got = sorted((r.start, r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) for r in tokenfiles.read_documents(spark, folder).collect())
     assert got == [(s, d, n, i) for d, s, n, i in want]
@@ -65,7 +78,7 @@ def test_round_trip(spark, tmp_path, name, by_word, length, per_batch):
             ids, mask = opened[p.first_sequence + i]
             x = tokens[i * length : (i + 1) * length]
             assert ids.tolist() == x + [0] * (length - len(x)) == seen[p.first_sequence + i][0]
-            assert mask.tolist() == [1] * len(x) + [0] * (length - len(x)) == seen[p.first_sequence + i][1]
+            assert np.unpackbits(mask, bitorder="little").tolist() == [1] * len(x) + [0] * (length - len(x)) == seen[p.first_sequence + i][1]
     for i in (-1, len(opened)):
         with pytest.raises(IndexError):
             opened[i]
@@ -73,7 +86,7 @@ def test_round_trip(spark, tmp_path, name, by_word, length, per_batch):
 
 def test_no_copy(spark, tmp_path):
     table = spark.createDataFrame([(i, "some words here " * 50) for i in range(100)], "doc_id long, text string")
-    tokenfiles.write(table, str(tmp_path / "out"), WORDS, 2, True, 32, 4)
+    tokenfiles.write(table, str(tmp_path / "out"), WORDS, 2, "class", 32, 4)
     folder = tokenfiles.TokenFolder(str(tmp_path / "out"))
     ids, mask = folder[len(folder) // 2]
     part = next(iter(folder.open.values()))
@@ -90,7 +103,7 @@ def test_repeated_rows_and_failed_attempts(spark, tmp_path):
     """Copies of one row are spread over parts; files that no table lists are not read."""
     rows = [(5, "copy of a row")] * 3000 + [(4, "b"), (6, None), (5, "another")]
     folder = str(tmp_path / "out")
-    files = tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), folder, WORDS, 2, True)
+    files = tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), folder, WORDS, 2, "class")
     (tmp_path / "out" / "part-000000-lost.arrow").write_bytes(b"half a fi")
     got = tokenfiles.read_documents(spark, folder).orderBy("start").collect()
     assert [r.doc_id for r in got] == [4] + [5] * 3001 + [6] and got[-1].n_tokens == 1

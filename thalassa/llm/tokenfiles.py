@@ -4,7 +4,7 @@ A folder holds for each part, i.e. each range of doc_id,
 
 - `part-*.arrow`: the ids of its documents, one after the other, each with the end id, cut into sequences of `length`.
   Columns `ids` (fixed-size list of uint16, or of uint32 where the vocabulary needs it) and `mask` (fixed-size list of
-  uint8: 1 for a token, 0 for the padding of the part's last sequence). Every record batch but the last has `per_batch`
+  bits: 1 for a token, 0 for the padding of the part's last sequence; `length` is a multiple of 8). Every record batch but the last has `per_batch`
   sequences, so sequence i is row i % per_batch of batch i // per_batch, and a memory map gives it without a copy;
 - `part-*.docs.arrow`: doc_id, start (within the part) and n_tokens of its documents;
 
@@ -20,8 +20,10 @@ A long text spans sequences. An empty table gives a folder without parts. Other
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,12 +38,22 @@ from pyspark.sql import functions as F
 from . import native, scratch, textnum
 
 LENGTH, PER_BATCH = 2048, 128
-#: Words that a worker keeps the ids of, and the letters of the longest such word.
-KEPT_WORDS, KEPT_LETTERS = 1 << 17, 40
+#: Bytes of texts that are encoded together, and words from which on a worker keeps the ids of no more.
+SLICE_BYTES, KEPT_WORDS = 8 << 20, 1 << 17
 OUT_IDS = 1 << 20
 _FILES = "part int, file string, docs string, n_docs long, n_tokens long, n_sequences long"
 _encoders: dict[tuple, Encoder] = {}
 
+# Classes of bytes: 0 is white space or beyond ASCII. Cuts are made between two of ASCII, but not within letters or others.
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[128:], _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("0") : ord("9") + 1] = 0, _LETTER, _DIGIT
+_CLASS[textnum._SPACE] = 0
+_LETTERS = re.compile("[a-z]+")
+_CUTS = np.zeros((4, 4), bool)
+_CUTS[1:, 1:] = True
+_CUTS[_LETTER, _LETTER] = _CUTS[_OTHER, _OTHER] = False
+
 
 def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a URI or local path, and the path in it."""
@@ -55,55 +67,85 @@ def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
 class Encoder:
     """Ids of texts by a vocabulary file of the tokenizers library.
 
-    by_word: white space only parts words in this vocabulary and leaves no token, so that distinct words are encoded
-    once. Not for byte-level vocabularies whose tokens hold spaces.
+    parts says what a text may be cut into so that distinct parts are encoded once: "text", itself; "space", words, for
+    vocabularies whose white space only parts words and leaves no token; "class", besides, runs of ASCII letters, single
+    ASCII digits and runs of others in one case, for vocabularies that also set these apart and lower the case. A part
+    never ends within a contraction ('s), beside a letter beyond ASCII, or within a special token.
     """
 
-    def __init__(self, vocabulary: str, by_word: bool):
+    def __init__(self, vocabulary: str, parts: str):
+        if parts not in ("text", "space", "class"):
+            raise ValueError(f"parts of kind {parts}")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_str(vocabulary), by_word
+        self.tokenizer, self.parts = Tokenizer.from_str(vocabulary), parts
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, np.ndarray] = {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # parts of letters that reach the model as they are need not pass what stands before it
+        before, word = self.tokenizer.pre_tokenizer, "abcxyz"
+        as_is = parts == "class" and before is not None and [w for w, _ in before.pre_tokenize_str(word)] == [word]
+        self.model = self.tokenizer.model if as_is else None
+        # kept words: their place among runs of ids
+        self.known: dict[str, int] = {}
+        self.runs, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     @classmethod
-    def of(cls, key: str, vocabulary: str, by_word: bool) -> Encoder:
+    def of(cls, key: str, vocabulary: str, parts: str) -> Encoder:
         """One per worker process."""
-        if (key, by_word) not in _encoders:
-            _encoders[key, by_word] = cls(vocabulary, by_word)
-        return _encoders[key, by_word]
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if (key, parts) not in _encoders:
+            _encoders[key, parts] = cls(vocabulary, parts)
+        return _encoders[key, parts]
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each)."""
+        if self.model is None:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        else:
+            letters = [_LETTERS.fullmatch(t) is not None for t in texts]
+            others = iter(self.tokenizer.encode_batch_fast([t for t, own in zip(texts, letters, strict=True) if not own], add_special_tokens=False))
+            tokenize = self.model.tokenize
+            found = [[x.id for x in tokenize(t)] if own else next(others).ids for t, own in zip(texts, letters, strict=True)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number of ids of each text) of runs of whole texts, in order."""
-        for lo, data, offsets in textnum.slices(column):
-            if self.by_word:
-                yield self._words(data, offsets)
+        for lo, data, offsets in textnum.slices(column, SLICE_BYTES):
+            if self.parts == "text":
+                yield self._encoded([t or "" for t in column.slice(lo, len(offsets) - 1).to_pylist()])
             else:
-                ids = self._ids([t or "" for t in column.slice(lo, len(offsets) - 1).to_pylist()])
-                yield np.concatenate(ids), np.array([len(i) for i in ids])
+                yield self._in_parts(data, offsets)
 
-    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _in_parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends = textnum.bounds(data, offsets)
-        cut = np.append(0, np.cumsum(ends - starts))
         solid = ~textnum._SPACE[data]
+        if self.parts == "class":
+            low = textnum._LOWER[data]
+            plain = low.tobytes()
+            if not any(s in plain for s in self.special):
+                data = low
+                before, after = _CLASS[data[:-1]], _CLASS[data[1:]]
+                cut = _CUTS[before, after] & ~((data[:-1] == ord("'")) & (after == _LETTER))
+                at = np.flatnonzero(cut) + 1
+                at = at[~np.isin(at, offsets)] if len(at) else at
+                starts, ends = (np.sort(np.append(x, at)) for x in (starts, ends))
+        cut = np.append(0, np.cumsum(ends - starts))
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cut), pa.py_buffer(data[solid].tobytes())).dictionary_encode()
         distinct, known = words.dictionary.to_pylist(), self.known
-        new = [w for w in distinct if w not in known]
-        found = dict(zip(new, self._ids(new), strict=True)) if new else {}
-        each = [known[w] if w in known else found[w] for w in distinct]
+        place = np.fromiter((known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(place < 0)
+        new = [distinct[i] for i in missing]
+        found, n = self._encoded(new)
+        place[missing] = len(self.runs) - 1 + np.arange(len(new))
+        runs, ids = np.append(self.runs, self.runs[-1] + np.cumsum(n)), np.append(self.ids, found)
         if len(known) < KEPT_WORDS:
-            known.update((w, i) for w, i in found.items() if len(w) <= KEPT_LETTERS)
-        size = np.array([len(i) for i in each], np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        at = words.indices.to_numpy()
-        n, first = size[at], (np.cumsum(size) - size)[at]
+            known.update(zip(new, place[missing].tolist(), strict=True))
+            self.runs, self.ids = runs, ids
+        at = place[words.indices.to_numpy()]
+        n, first = runs[at + 1] - runs[at], runs[at]
         total = np.append(0, np.cumsum(n))
-        ids = flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(starts, offsets)])
+        return ids[np.repeat(first - total[:-1], n) + np.arange(total[-1])], np.diff(total[np.searchsorted(starts, offsets)])
 
 
 def _ended(ids: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
@@ -120,12 +162,14 @@ class PartWriter:
     """One part: sequences as they fill up, documents at the end."""
 
     def __init__(self, folder: str, part: int, dtype: np.dtype, length: int, per_batch: int):
+        if length % 8:
+            raise ValueError("a length that is no multiple of 8")
         self.fs, at = filesystem(folder)
         self.length, self.per_batch, self.dtype = length, per_batch, dtype
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         self.names = f"{name}.arrow", f"{name}.docs.arrow"
         self.paths = [f"{at}/{n}" for n in self.names]
-        self.schema = pa.schema({"ids": pa.list_(pa.from_numpy_dtype(dtype), length), "mask": pa.list_(pa.uint8(), length)})
+        self.schema = pa.schema({"ids": pa.list_(pa.from_numpy_dtype(dtype), length), "mask": pa.list_(pa.bool_(), length)})
         self.sink = self.fs.open_output_stream(self.paths[0])
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.rest: list[np.ndarray] = []
@@ -146,9 +190,7 @@ class PartWriter:
             self.rest, self.held = [flat[cut:].copy()], len(flat) - cut
 
     def _batch(self, flat: np.ndarray, n: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:n] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (flat, mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (flat, np.arange(len(flat)) < n)]
         self.file.write_batch(pa.record_batch(lists, schema=self.schema))
         self.n_sequences += len(flat) // self.length
 
@@ -165,17 +207,17 @@ class PartWriter:
         return len(n), self.n_tokens, self.n_sequences
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, by_word: bool = False, length: int = LENGTH, per_batch: int = PER_BATCH) -> DataFrame:
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, parts: str = "text", length: int = LENGTH, per_batch: int = PER_BATCH) -> DataFrame:
     """Write (doc_id, text) to the folder and return files.parquet.
 
-    vocabulary: path of a file of the tokenizers library, read by the driver and sent to the tasks. by_word: see Encoder.
+    vocabulary: path of a file of the tokenizers library, read by the driver and sent to the tasks. parts: see Encoder.
     """
     spark = docs.sparkSession
     scratch.ship(spark)
     fs, at = filesystem(folder)
     fs.create_dir(at, recursive=True)
     text = Path(vocabulary).read_text(encoding="utf-8")
-    size = max(Encoder(text, by_word).size, end_id + 1)
+    size = max(Encoder(text, parts).size, end_id + 1)
     dtype = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
     sent = spark.sparkContext.broadcast(text)
 
@@ -184,7 +226,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, by_word: b
         for b in batches:
             if not b.num_rows:
                 continue
-            encoder = encoder or Encoder.of(vocabulary, sent.value, by_word)
+            encoder = encoder or Encoder.of(vocabulary, sent.value, parts)
             writer = writer or PartWriter(folder, part, dtype, length, per_batch)
             lo, doc_ids = 0, b.column("doc_id")
             for ids, n in encoder.encode(b.column("text")):
@@ -222,11 +264,14 @@ class TokenFile:
         return (self.n_batches - 1) * self.per_batch + self.file.get_batch(self.n_batches - 1).num_rows if self.n_batches else 0
 
     def batch(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of all sequences of a record batch, as matrices."""
+        """The ids of all sequences of a record batch and the bits of their masks (eight to a byte, lowest first), as matrices."""
         b = self.file.get_batch(i)
-        return tuple(b.column(c).flatten().to_numpy().reshape(-1, self.length) for c in ("ids", "mask"))
+        mask = b.column("mask").flatten()
+        bits = np.frombuffer(mask.buffers()[1], np.uint8)[mask.offset // 8 : (mask.offset + len(mask)) // 8]
+        return b.column("ids").flatten().to_numpy().reshape(-1, self.length), bits.reshape(-1, self.length // 8)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the bits of the mask of a sequence; np.unpackbits(bits, bitorder="little") gives a byte each."""
         if not 0 <= i < len(self):
             raise IndexError(i)
         ids, mask = self.batch(i // self.per_batch)
@@ -270,7 +315,8 @@ class TokenFolder:
 
 def _parts(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.parquet(f"{folder}/files.parquet")
-    return files.repartition(F.col("part"))
+    # by number, as a few small rows would be put into one task
+    return files.repartitionByRange(max(1, files.count()), "part")
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -313,6 +359,7 @@ def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
                 for i in range(tokens.n_batches):
                     ids, mask = tokens.batch(i)
                     cut = np.arange(len(ids) + 1, dtype=np.int32) * tokens.length
+                    mask = np.unpackbits(mask, axis=1, bitorder="little")
                     lists = [pa.ListArray.from_arrays(cut, a.reshape(-1).astype(kind)) for a, kind in ((ids, np.int32), (mask, np.int8))]
                     yield pa.record_batch({"sequence": np.arange(at, at + len(ids)), "ids": lists[0], "mask": lists[1]})
                     at += len(ids)
@@ -321,13 +368,13 @@ def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return _parts(spark, folder).mapInArrow(run, "sequence long, ids array<int>, mask array<tinyint>")
 
 
-#: The vocabulary, its end id, and that its white space only parts words.
-VOCABULARY, END_ID, BY_WORD = "word_bpe_49k.json", 2, True
+#: The vocabulary, the end id, and what texts may be cut into for it.
+VOCABULARY, END_ID, PARTS = "word_bpe_49k.json", 2, "class"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = f"{scratch.root(spark)}/thalassa-tokens-{uuid.uuid4().hex}"
-    write(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder, public_tokenizers.path(VOCABULARY), END_ID, BY_WORD)
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), folder, public_tokenizers.path(VOCABULARY), END_ID, PARTS)
     return read_documents(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
