@@ -1,12 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) with x_i = 1 if the text holds a word of bucket i, so
-pairs such as an insult with a group mention have weights of their own. Words (A-Z as a-z) are hashed to 2^BITS buckets.
+Score = sigmoid(w0 + sum_i w_i x_i + n^-SHARE sum_{i<j} <v_i, v_j> x_i x_j) with x_i = 1 if the text holds a word of bucket
+i, n the number of its known buckets, so pairs such as an insult with a group mention have weights of their own, which the
+many pairs of a long text don't outweigh. Words (A-Z as a-z) are hashed to 2^BITS buckets.
 Every bucket of two or more training rows takes part, whatever its labels; what one row alone holds says nothing of others.
 
-Training is AdaGrad on the logistic loss over batches of rows, with an L1 term that keeps single weights at zero that do
-not help, and an L2 term on the factors. Single weights come first, factors then learn what those leave; of all epochs
-the one counts that loses least on training rows left out for that. Sums over the terms of a row are segment sums.
+Training is AdaGrad on the logistic loss over batches of rows, of single weights and factors together from the first
+step, with L1 terms that keep those at zero that do not help. Factors start at small random numbers. Of all epochs the one
+counts that loses least on training rows left out for that. Sums over the terms of a row are segment sums.
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows (a documented bound; chosen by the least hash of doc_id) of
 at most TRAIN_TERMS distinct terms in all, and scores every row over its whole text. The model is of bounded size and
@@ -34,11 +35,13 @@ BITS = 20
 RANK = 4
 EPOCHS = 40
 BATCH = 64
-RATE, L2 = 1.0, 1e-2
-#: The L1 term is this over the root of the number of rows, as the noise of a weight.
-L1 = 0.016
+RATE = 1.0
+#: The L1 terms of weights and factors are these over the root of the number of rows, as the noise of a weight.
+L1, V_L1 = 0.016, 0.008
 #: Where the sums of squared gradients start: what few rows say moves little.
-W_START, V_START = 1.0, 1000.0
+W_START, V_START = 1.0, 10.0
+#: The spread of the factors at the start, and the power of the number of terms that divides pairs.
+V_SPREAD, SHARE = 0.1, 0.75
 FOLDS = 5
 
 
@@ -63,8 +66,13 @@ def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
+def _share(cut: np.ndarray) -> np.ndarray:
+    """What a pair counts in a text of n terms: 1 / n^SHARE."""
+    return np.maximum(np.diff(cut), 1.0) ** -SHARE
+
+
 class FactorizationMachine:
-    """Binary features; trained by AdaGrad on logistic loss with L1 on the weights and L2 on the factors."""
+    """Binary features; trained by AdaGrad on logistic loss with L1 on weights and factors."""
 
     def __init__(self, features: np.ndarray, rank: int = RANK):
         rng = np.random.default_rng(7)
@@ -94,7 +102,7 @@ class FactorizationMachine:
     def margins(self, i: np.ndarray, cut: np.ndarray) -> np.ndarray:
         v = self.v[i]
         s = _sums(v, cut)
-        return self.w0 + _sums(self.w[i], cut) + 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), cut))
+        return self.w0 + _sums(self.w[i], cut) + 0.5 * _share(cut) * ((s * s).sum(1) - _sums((v * v).sum(1), cut))
 
     def loss(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: int = 512) -> float:
         total = 0.0
@@ -104,46 +112,41 @@ class FactorizationMachine:
         return total / len(y)
 
     def fit(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Half of the epochs fit the single weights, the others weights and factors. Of all epochs the one is found that
-        loses least on one row in five, left out for that, as factors may learn single rows by heart; then all rows train
-        up to that epoch."""
+        """Of all epochs the one is found that loses least on one row in five, left out for that, as factors may learn single
+        rows by heart; then all rows train up to that epoch."""
         deal = np.random.default_rng(11).permutation(len(y))
         test = np.sort(deal[: len(y) // 5])
         far = np.append(0, np.cumsum(cut[test + 1] - cut[test]))
         left = np.concatenate([np.zeros(0, i.dtype), *(i[cut[r] : cut[r + 1]] for r in test)]), far, y[test]
         best = 0, np.inf
-        for epoch in self._epochs(i, cut, y, deal[len(y) // 5 :], range(epochs), epochs // 2):
+        for epoch in self._epochs(i, cut, y, deal[len(y) // 5 :], range(epochs)):
             self.steps += len(y)
             if len(test) and (now := self.loss(*left)) < best[1]:
                 best = epoch, now
         upto = range(best[0] + 1)
-        for _ in self._epochs(i, cut, y, deal, upto, epochs // 2):
+        for _ in self._epochs(i, cut, y, deal, upto):
             pass
 
-    def _epochs(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: np.ndarray, epochs, pairs_from: int):
+    def _epochs(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: np.ndarray, epochs):
         """Trains from the start, giving out each epoch after it."""
         rng = np.random.default_rng(13)
         grown = np.full_like(self.w, W_START), np.full_like(self.v, V_START), [1e-8]
-        self.w0, self.w[:], self.v[:] = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0, 0
+        self.w0, self.w[:], self.v[:] = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0, rng.normal(0, V_SPREAD, self.v.shape)
         for epoch in epochs:
-            if epoch == pairs_from:
-                self.v = rng.normal(0, 0.03, self.v.shape)
             dealt = rng.permutation(rows)
             for lo in range(0, len(dealt), BATCH):
-                self._step(i, cut, y, dealt[lo : lo + BATCH], grown, epoch >= pairs_from)
+                self._step(i, cut, y, dealt[lo : lo + BATCH], grown)
             yield epoch
 
-    def _step(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: np.ndarray, grown: tuple, pairs: bool) -> None:
+    def _step(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: np.ndarray, grown: tuple) -> None:
         """One step down the gradient of a batch of rows; grown: the sums of squared gradients so far."""
         gw, gv, g0 = grown
         n = cut[rows + 1] - cut[rows]
         ends = np.append(0, np.cumsum(n))
         f = i[np.arange(ends[-1]) - np.repeat(ends[:-1] - cut[rows], n)]
-        m = self.w0 + _sums(self.w[f], ends)
-        if pairs:
-            v = self.v[f]
-            s = _sums(v, ends)
-            m += 0.5 * ((s * s).sum(1) - _sums((v * v).sum(1), ends))
+        share, v = _share(ends), self.v[f]
+        s = _sums(v, ends)
+        m = self.w0 + _sums(self.w[f], ends) + 0.5 * share * ((s * s).sum(1) - _sums((v * v).sum(1), ends))
         e = 1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[rows]
         g0[0] += e.sum() ** 2
         self.w0 -= 0.1 * RATE * e.sum() / g0[0] ** 0.5
@@ -159,10 +162,12 @@ class FactorizationMachine:
         live = np.flatnonzero(self.w)
         most = RATE * L1 * len(y) ** -0.5 * len(rows) / np.sqrt(gw[live])
         self.w[live] -= np.clip(self.w[live], -most, most)
-        if pairs:
-            d = np.add.reduceat((e[row, None] * (s[row] - v))[by], first, axis=0) + L2 * len(rows) * self.v[u]
-            gv[u] += d * d
-            self.v[u] -= RATE * d / np.sqrt(gv[u])
+        d = np.add.reduceat(((e * share)[row, None] * (s[row] - v))[by], first, axis=0)
+        gv[u] += d * d
+        pace = RATE / np.sqrt(gv[u])
+        moved = self.v[u] - pace * d
+        most = pace * V_L1 * len(y) ** -0.5 * len(rows)
+        self.v[u] = moved - np.clip(moved, -most, most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorizationMachine | None:
