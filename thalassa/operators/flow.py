@@ -124,7 +124,7 @@ def polynomial_fit(df: DataFrame, x: str, y: str, by: list[str], n: int) -> Data
     z, w = (F.col(x) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0), F.col(y).cast("double")
     key = [c for c in by]
     near = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    near = near.join(F.broadcast(centre), key) if by else near.join(F.broadcast(centre))
+    near = near.join(centre, key) if by else near.join(F.broadcast(centre))
     power = lambda i: F.lit(1.0) if i == 0 else F.pow(z, F.lit(float(i)))
     sums = near.groupBy(*by, "_m", "_s").agg(
         F.array(*[F.sum(power(i)) for i in range(2 * n + 1)]).alias("_x"), F.array(*[F.sum(power(i) * w) for i in range(n + 1)]).alias("_y"), F.sum(w * w).alias("_yy")

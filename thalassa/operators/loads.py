@@ -6,6 +6,7 @@ Distribution parameters are structs, and their distribution functions are Column
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -318,57 +319,75 @@ def window_size(peaks: np.ndarray, hours: float) -> float:
     return float(below[0]) if len(below) else float(n)
 
 
+def declustered(places: np.ndarray, heights: np.ndarray, excess: np.ndarray, window: float) -> np.ndarray:
+    """Which peaks (by rank) stand for storms: going from storm to storm, each one's peak is found by climbing to the next
+    higher one within the window, until none is left.
+
+    A published oddity is kept: a height climbs if it is above the other's excess over the threshold.
+    """
+    storms, i = [], 0
+    while i < len(places):
+        beyond = int(np.searchsorted(places, places[i] + window, "right"))
+        climb = np.flatnonzero(heights[i + 1 : beyond] > excess[i])
+        if not len(climb):
+            storms.append(i)
+        i = i + 1 + int(climb[0]) if len(climb) else beyond
+    return np.array(storms, int)
+
+
 def storm_peaks(x: np.ndarray, share: float, hours: float) -> np.ndarray:
-    """Heights over the quantile `share` of the peaks of independent storms, in order; a higher peak within the window
-    takes the place of the last."""
-    at = hazen(x, share)
-    y = x - at
-    step = np.diff(np.sign(y))
-    ups = np.append(np.flatnonzero((step == 1) | (step == 2)), len(y) - 1)
-    tops = [a + int(np.argmax(y[a:b])) for a, b in zip(ups[:-1], ups[1:])]
-    if not tops:
+    """Excesses over the quantile `share` of the peaks of independent storms, in order."""
+    y = x - hazen(x, share)
+    side = np.sign(y)
+    cycles = np.append(np.flatnonzero(side[1:] > side[:-1]), len(y) - 1)
+    if len(cycles) < 2:
         return np.zeros(0)
-    window, places, heights = window_size(x, hours), [tops[0]], [y[tops[0]]]
-    for i in tops[1:]:
-        if i - places[-1] > window:
-            places.append(i), heights.append(y[i])
-        elif x[i] > heights[-1]:
-            places[-1], heights[-1] = i, y[i]
-    return np.array(heights)
+    tops = cycles[:-1] + np.array([part.argmax() for part in np.split(y, cycles)[1:-1]])
+    return y[tops[declustered(tops, x[tops], y[tops], window_size(x, hours))]]
 
 
-def automatic_threshold(x: np.ndarray, hours: float, span: tuple[float, float, float] = (0.99, 0.995, 0.001), most: int = 5) -> tuple[float, float]:
-    """Share and value of the threshold whose fitted tail correlates best with all values' quantiles, refined step by step,
-    as long as two storms a year are over it."""
-    low, high, step = span
-    best, years = -1.0, len(x) / (365.25 * 24 / hours)
-    n = len(x)
-    place = np.empty(n)
-    place[-1] = 0.5 ** (1 / n)
-    place[0] = 1 - place[-1]
-    place[1:-1] = (np.arange(2, n) - 0.3175) / (n + 0.365)
-    ordered = np.sort(x)
-    for turn in range(most):
-        shares, scores = np.arange(low, high, step), []
-        for share in shares:
-            over = storm_peaks(x, share, hours)
-            if len(over) / years < 2 or (p := fit_pareto(over)) is None:
-                break
-            c, scale = p
-            q = -scale * np.log1p(-place) if abs(c) < 1e-9 else scale * ((1 - place) ** -c - 1) / c
-            scores.append(np.corrcoef(q, ordered)[0, 1])
+# Fixed values of the threshold search: storms a year that a threshold leaves, how little its best may move at the end, and
+# by how many of the finer steps the grid goes on below its first and above its last point.
+STORMS_A_YEAR, SETTLED, BELOW, ABOVE = 2, 0.0005, 9, 5
+
+
+def finest(score, span: tuple[float, float, float], most: int) -> float:
+    """The point of the highest score on a grid (first, end, step) that gets ten times finer around its best point, at most
+    `most` grids, until that moves by less than SETTLED. A grid ends before the first point without a score."""
+    (low, high, step), best = span, math.nan
+    for _ in range(most):
+        grid = np.arange(low, high, step)
+        scores = list(itertools.takewhile(lambda v: v is not None, map(score, grid)))
         if not scores:
             break
         i = int(np.argmax(scores))
-        settled = abs(best - shares[i]) < 0.0005
-        best = float(shares[i])
-        if settled and turn < most - 1:
+        last, best = best, float(grid[i])
+        if abs(best - last) < SETTLED:
             break
         step /= 10
-        low, high = (
-            (shares[i - 1], shares[i] + 5 * step) if i == len(shares) - 1 else (shares[i] - 9 * step, shares[i + 1]) if i == 0 else (shares[i - 1], shares[i + 1])
-        )
-    return best, hazen(x, best) if best > 0 else float("nan")
+        around = np.concatenate([[grid[0] - BELOW * step], grid, [grid[-1] + ABOVE * step]])
+        low, high = around[i], around[i + 2]
+    return best
+
+
+def automatic_threshold(x: np.ndarray, hours: float, span: tuple[float, float, float] = (0.99, 0.995, 0.001), most: int = 5) -> tuple[float, float]:
+    """Share and value of the threshold whose fitted tail has the quantiles that correlate best with those of all values,
+    among thresholds that leave STORMS_A_YEAR."""
+    n, years, ordered = len(x), len(x) * hours / (24 * 365.25), np.sort(x)
+    ends = 0.5 ** (1 / n)
+    place = np.concatenate([[1 - ends], (np.arange(2, n) - 0.3175) / (n + 0.365), [ends]])
+
+    def score(share: float) -> float | None:
+        over = storm_peaks(x, share, hours)
+        fitted = fit_pareto(over) if len(over) >= STORMS_A_YEAR * years else None
+        if fitted is None:
+            return None
+        c, scale = fitted
+        tail = -np.log1p(-place)
+        return float(np.corrcoef(scale * (tail if abs(c) < 1e-9 else np.expm1(c * tail) / c), ordered)[0, 1])
+
+    best = finest(score, span, most)
+    return (best, hazen(x, best)) if best == best else (-1.0, math.nan)
 
 
 def automatic_threshold_of(x: Column, hours: float) -> Column:

@@ -28,7 +28,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
     """The first n lines of the first file."""
-    name = min(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    name = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
     whole = spark.read.text(name)
     return [" ".join(r[0].split()) for r in whole.head(n)]
 
