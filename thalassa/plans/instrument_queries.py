@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from thalassa.sources import files, pulse
+from thalassa.sources import files, pulse, tagged
 from thalassa.sources.tables import shared_folder, table
 
 from .registry import query
@@ -57,3 +57,63 @@ def pulse_profiles(spark, sf_dir):
     read = spark.read.format("pd0").option("splitBytes", 1 << 20).load(folder)
     each = pulse.by_cell(read, "number", F.unix_micros("time").alias("us"), "heading")
     return each.select("number", "us", "heading", "cell", F.round("range", 9).alias("range"), *[F.col("vel")[i].alias(f"v{i + 1}") for i in range(4)], F.col("corr")[0].alias("corr0"))
+
+
+def _tagged_records(batches):
+    """A burst, average or echogram per order; every fortieth has a wrong checksum."""
+    for b in batches:
+        key, us = b.column("o_orderkey").to_numpy(), b.column("us").to_numpy()
+        for kind, bits, shape in ((21, 0b11100000, 3 | 2 << 10 | 4 << 12), (22, 0b11100000, 2 | 0 << 10 | 3 << 12), (28, 1 << 11, 5)):
+            own = key % 3 == (21, 22, 28).index(kind)
+            k, t = key[own], us[own]
+            if not len(k):
+                continue
+            days, clock = np.divmod(t // 100, 864_000_000)
+            date = days.astype("datetime64[D]")
+            month = date.astype("datetime64[M]")
+            when = np.stack([date.astype("datetime64[Y]").astype(int) + 70, month.astype(int) % 12, (date - month).astype(int) + 1, clock // 36_000_000, clock // 600_000 % 60, clock // 10_000 % 60], 1).astype(np.uint8)
+            same = lambda kind_, *v: np.repeat(pulse.bytes_of(kind_, np.array([v])), len(k), 0)  # noqa: E731, B023
+            head = [same("u1", 3, 76), same("<u2", bits), same("<u4", 7), when, pulse.bytes_of("<u2", clock % 10_000), same("<u2", 15_000), pulse.bytes_of("<i2", k % 3000), pulse.bytes_of("<u4", k), pulse.bytes_of("<u2", k * 7 % 36_000), same("<i2", -321, 45)]
+            head += [same("<u2", shape, 500, 60), same("u1", 70, 30), same("<u2", 152), same("<i2", *[0] * 6), same("<i2", 2500), same("<u2", 0x4321, 7), same("i1", -3, -2), same("<i2", 5, 2500), same("<u2", 0, 0), same("<u4", 1 << 25), pulse.bytes_of("<u4", k)]
+            if kind == 28:
+                body = [pulse.bytes_of("<u2", (k[:, None] + np.arange(5)) % 5000)]
+            else:
+                beams, cells = shape >> 12, shape & 1023
+                at = np.arange(beams * cells)
+                body = [pulse.bytes_of("<i2", (k[:, None] * 13 + at) % 3001 - 1500), ((k[:, None] + at) % 200).astype(np.uint8), ((k[:, None] * 3 + at) % 100).astype(np.uint8)]
+            rows = tagged.record_rows(kind, np.concatenate([*head, *body], 1))
+            rows[k % 40 == 11, -1] ^= 1
+            yield pa.record_batch({"content": pa.array([r.tobytes() for r in rows], pa.binary())})
+
+
+def _tagged(spark, sf_dir):
+    folder = _folder(spark, "tagged")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
+    files.write_binary(orders.mapInArrow(_tagged_records, "content binary"), "content", folder, ".ad2cp")
+    spark.dataSource.register(tagged.TaggedRecords)
+    return spark.read.format("ad2cp").option("splitBytes", 1 << 20), folder
+
+
+@query(
+    """SELECT o_orderkey AS ensemble, CASE o_orderkey % 3 WHEN 0 THEN 'burst' WHEN 1 THEN 'average' ELSE 'echo' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN 'beam' WHEN 1 THEN 'ENU' END AS coord_sys, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END AS n_beams,
+    CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 5 END AS n_cells, epoch_us(o_orderdate) // 100 * 100 AS us FROM orders WHERE o_orderkey % 40 <> 11"""
+)
+def record_index(spark, sf_dir):
+    reader, folder = _tagged(spark, sf_dir)
+    whole = reader.schema(tagged.INDEX).load(folder).where("NOT damaged")
+    return whole.select("ensemble", "kind", "coord_sys", "n_beams", "n_cells", F.unix_micros("time").alias("us"))
+
+
+@query(
+    """WITH o AS (SELECT *, o_orderkey % 3 AS m, CASE o_orderkey % 3 WHEN 0 THEN 3 ELSE 2 END AS nc FROM orders WHERE o_orderkey % 40 <> 11 AND o_orderkey % 3 < 2), c AS (SELECT *, unnest(range(nc)) AS cell FROM o)
+    SELECT CASE m WHEN 0 THEN 'burst' ELSE 'average' END AS profile, o_orderkey AS ensemble, cell::INTEGER AS cell, (cell + 1) * 0.5::DOUBLE + 0.6::DOUBLE AS range, o_orderkey / 1000::DOUBLE AS pressure, (o_orderkey % 3000) / 100::DOUBLE AS temp,
+      round(((o_orderkey * 13 + cell) % 3001 - 1500) / 1000::DOUBLE, 9) AS v1, round(((o_orderkey * 13 + 2 * nc + cell) % 3001 - 1500) / 1000::DOUBLE, 9) AS v3, (o_orderkey + nc + cell) % 200 / 2::DOUBLE AS amp2, ((o_orderkey * 3 + cell) % 100)::INTEGER AS corr1 FROM c"""
+)
+def profiles_apart(spark, sf_dir):
+    reader, folder = _tagged(spark, sf_dir)
+    parts = []
+    for name, one in zip(("burst", "average"), tagged.profiles(reader.load(folder)), strict=True):
+        cells = one.where(F.col("vel").isNotNull()).select(F.lit(name).alias("profile"), "ensemble", "cell_size", "blank", "pressure", "temp", F.posexplode(F.arrays_zip("vel", "amp", "corr")).alias("cell", "c"))
+        far = tagged.cell_range(F.col("cell"), F.col("cell_size"), F.col("blank"))
+        parts.append(cells.select("profile", "ensemble", "cell", far.alias("range"), "pressure", "temp", F.round(F.col("c.vel")[0], 9).alias("v1"), F.round(F.col("c.vel")[2], 9).alias("v3"), F.col("c.amp")[1].alias("amp2"), F.col("c.corr")[0].alias("corr1")))
+    return parts[0].unionByName(parts[1])
