@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thalassa.functions import angles
-from thalassa.operators import doppler, grids
+from thalassa.operators import doppler, grids, scattered
 from thalassa.sources import text
 from thalassa.sources.tables import table
 
@@ -136,3 +136,21 @@ def fill_cubic(spark, sf_dir):
     return e.select("vec_id", doppler.fill_cubic(gaps).alias("filled"))
 
 
+# Points lie about the nodes of a lattice, so no ball around a place within it reaches further than 250.
+@query(
+    """WITH p AS (SELECT p_partkey % 20 * 100 + p_partkey * 37 % 50 AS x, p_partkey // 20 * 100 + p_partkey * 91 % 50 AS y, min(p_retailprice) AS v FROM part GROUP BY ALL),
+    q AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 10 = 0 THEN -900 ELSE 200 + c_custkey * 53 % 1500 END + 0.1234567::DOUBLE AS qx, 200 + c_custkey * 17 % 500 + 0.7654321::DOUBLE AS qy FROM customer),
+    n AS (SELECT c, qx, qy, x, y, v FROM q JOIN p ON abs(x - qx) < 250 AND abs(y - qy) < 250),
+    t AS (SELECT a.c, a.qx, a.qy, a.x AS x1, a.y AS y1, a.v AS v1, b.x AS x2, b.y AS y2, b.v AS v2, d.x AS x3, d.y AS y3, d.v AS v3, (b.x - a.x) * (d.y - a.y) - (d.x - a.x) * (b.y - a.y) AS area
+      FROM n a JOIN n b ON a.c = b.c AND (a.x < b.x OR a.x = b.x AND a.y < b.y) JOIN n d ON b.c = d.c AND (b.x < d.x OR b.x = d.x AND b.y < d.y)),
+    w AS (SELECT *, ((qx - x1) * (y3 - y1) - (x3 - x1) * (qy - y1)) / area AS w2, ((x2 - x1) * (qy - y1) - (qx - x1) * (y2 - y1)) / area AS w3 FROM t WHERE area <> 0),
+    h AS (SELECT * FROM w WHERE w2 >= 0 AND w3 >= 0 AND w2 + w3 <= 1),
+    e AS (SELECT h.c, v1 + w2 * (v2 - v1) + w3 * (v3 - v1) AS price FROM h WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.c = h.c AND sign(area) * (((x1 - x) ** 2 + (y1 - y) ** 2) * ((x2 - x) * (y3 - y) - (x3 - x) * (y2 - y))
+      - ((x2 - x) ** 2 + (y2 - y) ** 2) * ((x1 - x) * (y3 - y) - (x3 - x) * (y1 - y)) + ((x3 - x) ** 2 + (y3 - y) ** 2) * ((x1 - x) * (y2 - y) - (x2 - x) * (y1 - y))) > 0))
+    SELECT q.c, qx, qy, (SELECT round(min(price), 5) FROM e WHERE e.c = q.c) AS price FROM q"""
+)
+def scattered_interpolation(spark, sf_dir):
+    p, c = F.col("p_partkey"), F.col("c_custkey")
+    points = table(spark, sf_dir, "part", "p_partkey", "p_retailprice").select((p % 20 * 100 + p * 37 % 50).alias("qx"), (F.floor(p / 20) * 100 + p * 91 % 50).alias("qy"), F.col("p_retailprice").alias("price"))
+    places = table(spark, sf_dir, "customer", "c_custkey").select(c.alias("c"), (F.when(c % 10 == 0, -900).otherwise(200 + c * 53 % 1500) + 0.1234567).alias("qx"), (200 + c * 17 % 500 + 0.7654321).alias("qy"))
+    return scattered.interpolated(places, points, ["qx", "qy"], ["price"]).withColumn("price", F.round("price", 5))
