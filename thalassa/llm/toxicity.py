@@ -66,6 +66,16 @@ def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
+def _factor_sums(v: np.ndarray, f: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the factors v[f] of each segment, sums of all their squares). Factor by factor: numpy is slow on short rows."""
+    s, squares = np.zeros((v.shape[1], len(cut) - 1)), np.zeros(len(f))
+    for k in range(v.shape[1]):
+        one = np.take(v[:, k], f)
+        s[k] = _sums(one, cut)
+        squares += one * one
+    return s.T, _sums(squares, cut)
+
+
 def _share(cut: np.ndarray) -> np.ndarray:
     """What a pair counts in a text of n terms: 1 / n^SHARE."""
     return np.maximum(np.diff(cut), 1.0) ** -SHARE
@@ -80,7 +90,8 @@ class FactorizationMachine:
         self._index()
         self.w0, self.w = 0.0, np.zeros(len(features))
         self.steps = 0
-        self.v = np.zeros((len(features), rank))
+        # each factor's numbers lie together
+        self.v = np.zeros((len(features), rank), order="F")
 
     def _index(self) -> None:
         self.index = np.full(1 << BITS, -1, np.int32)
@@ -100,9 +111,8 @@ class FactorizationMachine:
         return i[i >= 0], known[cut]
 
     def margins(self, i: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        v = self.v[i]
-        s = _sums(v, cut)
-        return self.w0 + _sums(self.w[i], cut) + 0.5 * _share(cut) * ((s * s).sum(1) - _sums((v * v).sum(1), cut))
+        s, squares = _factor_sums(self.v, i, cut)
+        return self.w0 + _sums(np.take(self.w, i), cut) + 0.5 * _share(cut) * ((s * s).sum(1) - squares)
 
     def loss(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: int = 512) -> float:
         total = 0.0
@@ -130,7 +140,7 @@ class FactorizationMachine:
     def _epochs(self, i: np.ndarray, cut: np.ndarray, y: np.ndarray, rows: np.ndarray, epochs):
         """Trains from the start, giving out each epoch after it."""
         rng = np.random.default_rng(13)
-        grown = np.full_like(self.w, W_START), np.full_like(self.v, V_START), [1e-8]
+        grown = np.full_like(self.w, W_START), np.full_like(self.v, V_START, order="F"), [1e-8]
         self.w0, self.w[:], self.v[:] = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0, rng.normal(0, V_SPREAD, self.v.shape)
         for epoch in epochs:
             dealt = rng.permutation(rows)
@@ -144,9 +154,9 @@ class FactorizationMachine:
         n = cut[rows + 1] - cut[rows]
         ends = np.append(0, np.cumsum(n))
         f = i[np.arange(ends[-1]) - np.repeat(ends[:-1] - cut[rows], n)]
-        share, v = _share(ends), self.v[f]
-        s = _sums(v, ends)
-        m = self.w0 + _sums(self.w[f], ends) + 0.5 * share * ((s * s).sum(1) - _sums((v * v).sum(1), ends))
+        share = _share(ends)
+        s, squares = _factor_sums(self.v, f, ends)
+        m = self.w0 + _sums(np.take(self.w, f), ends) + 0.5 * share * ((s * s).sum(1) - squares)
         e = 1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[rows]
         g0[0] += e.sum() ** 2
         self.w0 -= 0.1 * RATE * e.sum() / g0[0] ** 0.5
@@ -154,20 +164,25 @@ class FactorizationMachine:
             return
         by = np.argsort(f, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(f[by]) != 0))
-        u = f[by][first]
-        row = np.repeat(np.arange(len(rows)), n)
-        d = np.add.reduceat(e[row][by], first)
+        u, row = f[by][first], np.repeat(np.arange(len(rows)), n)[by]
+        d = np.add.reduceat(np.take(e, row), first)
         gw[u] += d * d
         self.w[u] -= RATE * d / np.sqrt(gw[u])
         live = np.flatnonzero(self.w)
         most = RATE * L1 * len(y) ** -0.5 * len(rows) / np.sqrt(gw[live])
         self.w[live] -= np.clip(self.w[live], -most, most)
-        d = np.add.reduceat(((e * share)[row, None] * (s[row] - v))[by], first, axis=0)
-        gv[u] += d * d
-        pace = RATE / np.sqrt(gv[u])
-        moved = self.v[u] - pace * d
-        most = pace * V_L1 * len(y) ** -0.5 * len(rows)
-        self.v[u] = moved - np.clip(moved, -most, most)
+        # sum_r c_r (s_r - v) of the rows of a feature, by sums over them
+        c = e * share
+        total, least = np.add.reduceat(np.take(c, row), first), V_L1 * len(y) ** -0.5 * len(rows)
+        for k in range(self.v.shape[1]):
+            v, grown_k = self.v[:, k], gv[:, k]
+            old = np.take(v, u)
+            d = np.add.reduceat(np.take(c * s[:, k], row), first) - total * old
+            g = np.take(grown_k, u) + d * d
+            grown_k[u] = g
+            pace = RATE / np.sqrt(g)
+            moved = old - pace * d
+            v[u] = moved - np.clip(moved, -pace * least, pace * least)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorizationMachine | None:
