@@ -2,12 +2,18 @@
 
 The patterns find protected entities (email, ip, card, phone). A term discloses an entity if seeing it tells the
 entity: with N documents, n(e) that hold the entity, df(t) that hold the term and c(e, t) that hold both,
-    PMI(t; e) = log2(N P(e | t) / n(e))   and   IC(e) = log2(N / n(e)).
-P(e | t) is c / df where that is certain, and here the lower end of its interval (Wilson's, one-sided 95 %), so that any
-number of documents is judged: a term of one document says less than one of ten that all hold the entity, and a term that
-meets a common entity by chance says nothing. A share PMI / IC of REMOVE or more has the term removed, of GENERALISE or
-more has it generalised, wherever it stands in the documents that hold the entity. An entity also counts as one of its
-group (domain of an email, first three parts of an ip, first six digits of a card or phone).
+    IC(e) = log2(N / n(e)),   PMI(t; e) = log2(N P(e | t) / n(e))   and   left(t; e) = IC - PMI = -log2 P(e | t),
+the bits that still hide the entity from who sees the term. P(e | t) is c / df where that is certain, and here the lower
+end of its interval (Wilson's, one-sided 95 %), so that any number of documents is judged. A term that leaves REMOVE bits
+or fewer is removed, one that leaves GENERALISE or fewer is generalised, wherever it stands in the documents that hold the
+entity, if it tells anything at all: its PMI has to be GAIN or more. What a term of one document leaves beside an entity of
+that document is 1.89 bits, whatever the number of documents, so it is generalised; removed are terms of three documents
+and more that always go with the entity, or of many that do so in more than half of them. An entity also counts as one of its group (domain of an email, first
+three parts of an ip, first six digits of a card or phone).
+
+Entities that stand in the same documents have equal counts with every term. They make one class, found by the sums of
+hashes of their documents, so a page of a thousand addresses counts its terms once and not a thousand times. Documents of
+many classes and terms are dealt out in parts.
 
 Terms are runs of letters or digits. Counts cover all documents and whole texts; a row is a document. Counts of entity
 and term are aggregated before they are shuffled. Entities and terms of a large part of the rows meet their counts in a
@@ -36,10 +42,13 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "remove", "general")
 
 Z = 1.645
-REMOVE, GENERALISE = 0.9, 0.75
+#: Bits that a term leaves of an entity's information, and bits that it has to tell.
+REMOVE, GENERALISE, GAIN = 1.0, 2.5, 0.5
 TERM = r"[\p{L}\p{N}]++"
 #: Keys of more than one in HOT rows are broadcast with their counts.
 HOT = 1000
+#: Pairs of class and term from which on a document's terms are dealt out in parts of so many.
+MANY_PAIRS, PART = 1 << 20, 2048
 
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -91,10 +100,28 @@ def _held(known: DataFrame) -> DataFrame:
     return known.where(F.size("found") > 0).select("dk", ents.alias("ents"), terms.alias("terms"))
 
 
+def _classed(held: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """held with `ent`s that are classes of entities in the same documents, and (ent, n), their documents."""
+    held = scratch.materialize(held.withColumn("rid", F.monotonically_increasing_id()))
+    each = held.select("rid", "dk", F.explode("ents").alias("ent"))
+    print_of = lambda i: F.sum(F.xxhash64(F.lit(i), "dk").cast("decimal(20,0)"))
+    of = each.groupBy("ent").agg(F.count(F.lit(1)).alias("n"), print_of(1).alias("a"), print_of(2).alias("b"))
+    of = scratch.materialize(of.select("ent", "n", F.xxhash64("n", "a", "b").alias("cls")))
+    # the same for few entities of many documents as for the others
+    keyed = each.select("rid", "ent").join(F.broadcast(of.where(F.col("n") >= least).select("ent", "cls")), "ent", "left")
+    rest = keyed.where(F.col("cls").isNull()).drop("cls").join(of.where(F.col("n") < least).select("ent", "cls"), "ent")
+    mine = keyed.where(F.col("cls").isNotNull()).unionByName(rest).groupBy("rid").agg(F.collect_set("cls").alias("ents"))
+    n = of.select(F.col("cls").alias("ent"), "n").distinct()
+    return scratch.materialize(held.drop("ents").join(mine, "rid").drop("rid")), scratch.materialize(n)
+
+
 def _pairs(held: DataFrame) -> DataFrame:
     """(dk, ent, term) of each document once."""
-    x = held.select("dk", "ents", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    return x.select("dk", F.explode("ents").alias("ent"), "term")
+    x = held.select("dk", "ents", F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("ts"))
+    many = F.size("ents").cast("long") * F.size("ts") > MANY_PAIRS
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("ts") - 1) / PART).cast("int")), lambda i: F.slice("ts", i * PART + 1, F.lit(PART)))
+    dealt = x.where(many).select("dk", "ents", F.posexplode(parts).alias("part", "ts")).repartition("dk", "part").drop("part")
+    return x.where(~many).unionByName(dealt).select("dk", "ents", F.explode("ts").alias("term")).select("dk", F.explode("ents").alias("ent"), "term")
 
 
 def _with(df: DataFrame, counts: DataFrame, key: str, least: float) -> DataFrame:
@@ -116,18 +143,23 @@ def lower_bound(c: Column, n: Column, z: float = Z) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def disclosures(docs: DataFrame, held: DataFrame, n_docs: int) -> DataFrame:
-    """(ent, term, k): the terms to remove (4) or generalise (5) by each entity."""
+def verdict(c: Column, df: Column, n: Column, n_docs: int) -> Column:
+    """4 if the term is to be removed, 5 if generalised, else null."""
+    told = F.greatest(lower_bound(c, df), F.lit(1e-12))
+    left, gain = -F.log2(told), F.log2(told * F.lit(float(n_docs)) / n)
+    return F.when(gain < GAIN, F.lit(None).cast("int")).when(left <= REMOVE, 4).when(left <= GENERALISE, 5)
+
+
+def disclosures(docs: DataFrame, held: DataFrame, n: DataFrame, n_docs: int) -> DataFrame:
+    """(ent, term, k): the terms to remove (4) or generalise (5) by each class of entities; n: (ent, n) of the classes."""
     one = F.count(F.lit(1))
-    n = scratch.materialize(held.select(F.explode("ents").alias("ent")).groupBy("ent").agg(one.alias("n")))
     each = F.array_distinct(F.transform(native.found(native.lowered(native.text_of("text")), TERM), lambda t: F.xxhash64(t)))
     df_ = scratch.materialize(docs.select(F.explode(each).alias("term")).groupBy("term").agg(one.alias("df")))
     both = scratch.materialize(_pairs(held).groupBy("ent", "term").agg(one.alias("c")))
     least = max(2.0, n_docs / HOT)
     both = _with(_with(both, n, "ent", least), df_, "term", least)
-    rate = F.lit(float(n_docs)) / F.col("n")
-    share = F.log2(rate * F.greatest(lower_bound(F.col("c"), F.col("df")), F.lit(1e-12))) / F.log2(rate)
-    return both.where(F.col("n") < n_docs).withColumn("share", share).where(F.col("share") >= GENERALISE).select("ent", "term", F.when(F.col("share") >= REMOVE, 4).otherwise(5).alias("k"))
+    k = verdict(F.col("c"), F.col("df"), F.col("n"), n_docs)
+    return both.where(F.col("n") < n_docs).withColumn("k", k).where(F.col("k").isNotNull()).select("ent", "term", "k")
 
 
 #: Names of columns that scan() and sanitise() work with.
@@ -148,8 +180,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _scanned(docs: DataFrame) -> DataFrame:
     known = _keyed(docs).withColumn("found", entities(F.col("_text")))
-    held = scratch.materialize(_held(known))
-    flagged = disclosures(docs, held, docs.count())
+    n_docs = docs.count()
+    held, n = _classed(_held(known), max(2.0, n_docs / HOT))
+    flagged = disclosures(docs, held, n, n_docs)
     told = _pairs(held).join(flagged, ["ent", "term"]).groupBy("dk", "term").agg(F.min("k").alias("k"))
     places = held.select("dk", F.explode("terms").alias("t")).select("dk", "t.term", "t.s", "t.e")
     by = places.join(told, ["dk", "term"]).groupBy("dk", "s", "e").agg(F.min("k").alias("k")).groupBy("dk").agg(F.array_sort(F.collect_list(F.struct("s", "e", "k"))).alias("terms"))
