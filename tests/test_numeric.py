@@ -248,3 +248,24 @@ def test_quantiles_of_uneven_groups(spark):
     got = {r.k: (r.p10, r.p50, r.p99) for r in quantiles(d, ["k"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
     want = {k: np.quantile([x for j, x in rows if j == k and x == x and x is not None], [0.1, 0.5, 0.99]) for k in ("a", "b", None)}
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_surface_record(spark):
+    """Inverse transform, sums of uneven frequencies, seeded phases, and rows without a record."""
+    from thalassa.operators import wave
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i, m in enumerate((33, 33, 20, 20)):
+        f = np.arange(m) * 0.01 if i % 2 == 0 else np.sort(rng.random(m)) * 0.3 + 0.01
+        rows.append((i, f.tolist(), (rng.random(m) * (f > 0)).tolist()))
+    rows += [(10, None, [1.0]), (11, [0.0], [1.0]), (12, [0.0, 0.1], [1.0]), (13, [0.0, 0.1, 0.2], [None, None, None])]
+    d = spark.createDataFrame(rows, "k int, f array<double>, s array<double>").withColumn("p", wave.seeded_phases(F.col("f"), 5, F.col("k")))
+    got = {r.k: r for r in d.withColumn("eta", wave.surface_record(F.col("f"), F.col("s"), F.col("p"), 64)).collect()}
+    for k, f, s in rows[:4]:
+        f, s, p = np.array(f), np.array(s), np.array(got[k].p)
+        t = np.arange(64) / (64 * (f[1] - f[0]))
+        assert np.allclose(got[k].eta, (np.sqrt(2 * s * (f[1] - f[0])) * np.cos(2 * np.pi * t[:, None] * f + p) * np.where(f * 64 == (f[1] - f[0]) * 64 * 32, 0.5, 1)).sum(1), atol=1e-9)
+        assert len(set(p)) == len(p) and (0 <= p).all() and (p < 2 * np.pi).all()
+    assert [got[k].eta for k in (10, 11, 12)] == [None] * 3 and got[13].eta == [0.0] * 64
+    assert got[0].p != got[1].p and d.where("k = 0").first().p == got[0].p

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +138,48 @@ def surface_elevation(t: Column, f: Column, s: Column, phase: Column, width: Col
     return arrays.bind(of, f=f, s=s, p=phase, t=t, d=F.get(f, F.lit(1)) - F.get(f, F.lit(0)) if width is None else width)
 
 
+def seeded_phases(f: Column, seed: int, *key: Column | str) -> Column:
+    """Phases (array, radians) for the frequencies of an array: evenly spread, fixed by the seed and the key of the row."""
+    share = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key, i), 11).cast("double") / float(1 << 53)
+    return F.transform(f, lambda _, i: 2 * math.pi * share(i))
+
+
+def surface_record(f: Column, s: Column, phase: Column, n: int, step: float | None = None) -> Column:
+    """array<double>: n samples of the elevation of a spectrum (arrays) with given phases.
+
+    Frequencies that are even and begin with zero go by the inverse transform, which lasts one turn of their difference
+    df: sample i is at i / (n df). The frequency zero and, of even n, the last one count half there. Others are summed as
+    sines, at i * step (1 / (n df) if not given). Null where an array is null, has under two entries, or lengths differ;
+    a null density counts 0.
+    """
+
+    @F.pandas_udf("array<double>")
+    def record(fs: pd.Series, ss: pd.Series, ps: pd.Series) -> pd.Series:
+        out: list = [None] * len(fs)
+        alike: dict[tuple, list[int]] = {}
+        for i, (x, y, p) in enumerate(zip(fs, ss, ps, strict=True)):
+            if x is not None and y is not None and p is not None and len(x) == len(y) == len(p) > 1:
+                alike.setdefault((len(x), float(x[0]), float(x[1])), []).append(i)
+        for (size, first, second), rows in alike.items():
+            # some thousand numbers at a time
+            for lo in range(0, len(rows), max(1, (1 << 20) // max(n, size))):
+                part = rows[lo : lo + max(1, (1 << 20) // max(n, size))]
+                x, y, p = (np.array([np.asarray(c[i], float) for i in part]) for c in (fs, ss, ps))
+                df = second - first
+                even = (first == 0) & np.isclose(np.diff(x, axis=1), df).all(1)
+                wave = np.sqrt(2 * np.nan_to_num(y) * df) * np.exp(1j * p)
+                eta = np.empty((len(part), n))
+                eta[even] = np.fft.irfft(0.5 * n * wave[even], n, axis=1)
+                times = np.arange(n) * (1 / (n * df) if step is None else step)
+                for k in np.flatnonzero(~even):
+                    eta[k] = sum((w * np.exp(2j * np.pi * v * times)).real for v, w in zip(x[k], wave[k], strict=True))
+                for k, i in enumerate(part):
+                    out[i] = eta[k]
+        return pd.Series(out, dtype=object)
+
+    return record(f, s, phase)
+
+
 def spread_function(direction: Column, r1: Column, r2: Column, a1: Column, a2: Column) -> Column:
     """Share per degree of a direction, of the first two Fourier terms of a buoy (angles in degrees)."""
     return F.degrees((0.5 + r1 * F.cos(F.radians(direction - a1)) + r2 * F.cos(2 * F.radians(direction - a2))) / math.pi)

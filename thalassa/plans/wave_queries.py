@@ -52,6 +52,17 @@ def surface_elevation(spark, sf_dir):
     return s.select("vec_id", "t", F.round(wave.surface_elevation(F.col("t"), F.col("f"), F.col("s"), F.col("phase")), 6).alias("eta"))
 
 
+@query(
+    f"""WITH {_SPECTRA}, t AS (SELECT range AS t FROM range(0, 130))
+    SELECT vec_id, t::INTEGER AS sample, round(sum(sqrt(2 * s / 100::DOUBLE) * cos(2 * pi() * (i * t % 130) / 130 + 2 * pi() * ((i * 37) % 100) / 100)), 6) + 0.0 AS eta FROM y, t GROUP BY 1, 2"""
+)
+def surface_record(spark, sf_dir):
+    s = spectra(spark, sf_dir).select("vec_id", F.concat(F.array(F.lit(0.0)), "f").alias("f"), F.concat(F.array(F.lit(0.0)), "s").alias("s"))
+    phase = F.transform("f", lambda _, i: 2 * math.pi * ((i * 37) % 100) / 100)
+    eta = wave.surface_record(F.col("f"), F.col("s"), phase, 130)
+    return s.select("vec_id", F.posexplode(eta).alias("sample", "eta")).withColumn("eta", F.round("eta", 6) + 0.0)
+
+
 @query(
     """WITH p AS (SELECT p_partkey, p_size / 100.0::DOUBLE AS r1, p_size / 200.0::DOUBLE AS r2, (p_partkey * 7) % 360 AS a1, (p_partkey * 13) % 360 AS a2, p_retailprice AS s FROM part), d AS (SELECT range * 45 AS d FROM range(0, 8)),
     w AS (SELECT *, degrees((0.5 + r1 * cos(radians(d - a1)) + r2 * cos(2 * radians(d - a2))) / pi()) AS spread FROM p, d) SELECT p_partkey, d::INTEGER AS direction, round(spread, 8) AS spread, round(spread * s, 5) AS spectrum FROM w"""
