@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thalassa.functions import angles, codes, times
-from thalassa.operators import quality, series, spectral
+from thalassa.operators import quality, scans, series, spectral
 from thalassa.sources.tables import table
 
 from .registry import query, rounded
@@ -210,3 +210,17 @@ def fill_time_gaps(spark, sf_dir):
     e = table(spark, sf_dir, "events", "user_id", "ts", "event_id")
     e = e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).alias("i"), F.when(F.col("event_id") % 4 > 0, series.micros("ts") / 1e6).alias("t"))
     return rounded(times.fill_gaps(e, ["user_id"], "i", "t", 4.0).select("user_id", "i", "t"), "t", digits=2)
+
+
+@query(
+    """WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 3 > 0 THEN value END AS v FROM events),
+    f AS (SELECT *, row_number() OVER w AS number, lag(v) OVER w AS earlier, last_value(v IGNORE NULLS) OVER (ORDER BY ts) AS filled FROM e WINDOW w AS (ORDER BY ts)),
+    g AS (SELECT *, lag(filled) OVER (ORDER BY ts) AS before FROM f)
+    SELECT event_id, number::DOUBLE AS number, earlier, filled, sum(CASE WHEN v >= 50 AND before < 50 THEN 1 ELSE 0 END) OVER (ORDER BY ts)::DOUBLE AS cycle FROM g"""
+)
+def series_scans(spark, sf_dir):
+    """One series of all events, scanned by many tasks."""
+    df = table(spark, sf_dir, "events", "event_id", "ts", "value").select("event_id", "ts", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("v"))
+    for name, scan in (("number", scans.Number()), ("earlier", scans.Earlier()), ("filled", scans.Earlier(skip=True)), ("cycle", scans.Cycles(50.0))):
+        df = scans.scanned(df, [], ["ts"], "v", name, scan)
+    return df.drop("ts", "v")
