@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from thalassa.sources import files, pulse, tagged
+from thalassa.sources import files, netcdf, pulse, tagged
 from thalassa.sources.tables import shared_folder, table
 
 from .registry import query
@@ -117,3 +117,17 @@ def profiles_apart(spark, sf_dir):
         far = tagged.cell_range(F.col("cell"), F.col("cell_size"), F.col("blank"))
         parts.append(cells.select("profile", "ensemble", "cell", far.alias("range"), "pressure", "temp", F.round(F.col("c.vel")[0], 9).alias("v1"), F.round(F.col("c.vel")[2], 9).alias("v3"), F.col("c.amp")[1].alias("amp2"), F.col("c.corr")[0].alias("corr1")))
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    """SELECT vec_id::INTEGER AS vec_id, label, embedding[1] AS first, embedding[64] AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings"""
+)
+def netcdf_records(spark, sf_dir):
+    """Vectors as records of netCDF files, a file per task, read back by slices."""
+    folder = _folder(spark, "netcdf")
+    e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
+    netcdf.write(e.select(F.col("vec_id").cast("int").alias("vec_id"), F.col("label").cast("int").alias("label"), "embedding"), folder, "record")
+    spark.dataSource.register(netcdf.Classic)
+    read = spark.read.format("netcdf3").option("splitBytes", 1 << 20).load(folder)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return read.select("vec_id", "label", F.get("embedding", F.lit(0)).alias("first"), F.get("embedding", F.lit(63)).alias("last"), F.round(total, 6).alias("total"))
