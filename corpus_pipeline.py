@@ -1,4 +1,10 @@
-"""A training corpus from `documents`: toxic ones go, one of each near-duplicate group stays, benchmark leaks go, secrets are masked, sources are mixed."""
+"""A training corpus from `documents`: toxic ones go, one of each near-duplicate group stays, benchmark leaks go, secrets are masked, sources are mixed.
+
+Cases: documents with a null or empty text pass all stages and take part in the mix with size 0; without labels of both
+classes none is toxic; a null doc_id is a document, ordered last in its group of near duplicates; of repeated rows one
+stays, if they have words; a null source is a source. Other columns (lang, n_chars, any other) are kept up to the mix, which
+has the columns of its own result and the text; n_chars counts the masked text. Empty tables give an empty mix.
+"""
 
 from __future__ import annotations
 
