@@ -27,6 +27,13 @@ def micros(ts: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts) if isinstance(ts, str) else ts)
 
 
+def matlab_parts(ts: Column) -> tuple[Column, Column]:
+    """The whole day number and the microseconds of that day (long): a day number as double tells ten microseconds apart at best."""
+    us, day = micros(ts), F.lit(86_400_000_000)
+    past = F.pmod(us, day)
+    return F.floor((us - past) / day) + MATLAB, past
+
+
 def datetime_to_matlab(ts: Column) -> Column:
     return micros(ts) / 86_400_000_000 + MATLAB
 

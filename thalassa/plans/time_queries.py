@@ -19,10 +19,10 @@ def time_conversions(spark, sf_dir):
     e = table(spark, sf_dir, "events", "event_id", "ts", "user_id")
     us = times.micros("ts")
     ms = F.floor(us / 1000)
-    matlab = times.datetime_to_matlab(F.col("ts"))
+    day, past = times.matlab_parts(F.col("ts"))
     back = times.excel_to_datetime(ms / 86_400_000 + times.EXCEL)
     return e.select(
-        "event_id", us.alias("us"), F.floor(matlab).alias("matlab_day"), F.round((matlab - F.floor(matlab)) * 86400).cast("long").alias("matlab_second"), F.round(times.datetime_to_epoch(F.col("ts")), 6).alias("epoch"), times.full_year(F.col("user_id") % 120).cast("long").alias("year"),
+        "event_id", us.alias("us"), day.alias("matlab_day"), F.round(past / 1_000_000).cast("long").alias("matlab_second"), F.round(times.datetime_to_epoch(F.col("ts")), 6).alias("epoch"), times.full_year(F.col("user_id") % 120).cast("long").alias("year"),
         (F.round(F.unix_micros(back) / 1000) * 1000).cast("long").alias("from_excel"), times.text(F.col("ts")).alias("text"),
     )
 
