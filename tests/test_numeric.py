@@ -239,6 +239,25 @@ def test_nearest_points_without_neighbours(spark):
     assert sorted(((r.x, r.v) for r in grids.to_nearest_points(d, w, ["x", "y"], 1.0).collect()), key=str) == [(0.4, "a"), (0.6, "b"), (9.0, None)]
 
 
+def test_nearest_points_in_lists(spark, monkeypatch):
+    """Rows meet lists of points, not points: brute force over crowded cells, with ties, missing and far places."""
+    from thalassa.operators import grids
+
+    monkeypatch.setattr(grids, "LIST", 4)
+    rng = np.random.default_rng(5)
+    points = [(float(x), float(y)) for x, y in {(int(a), int(b)) for a, b in rng.integers(-8, 9, (150, 2))}]
+    places = [(float(x), float(y)) for x, y in rng.integers(-12, 13, (80, 2)) / 2] + [(None, 0.0), (float("nan"), 0.0), (50.0, 0.0)]
+    d = spark.createDataFrame([(x, y, f"{x},{y}") for x, y in points], "x double, y double, v string").repartition(3)
+    w = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "i int, x double, y double")
+    got = {r.i: r.v for r in grids.to_nearest_points(d, w, ["x", "y"], 3.0).collect()}
+    for i, (x, y) in enumerate(places):
+        near = [((x - a) ** 2 + (y - b) ** 2, a, b) for a, b in points if x is not None and abs(x - a) <= 3 and abs(y - b) <= 3]
+        assert got[i] == (f"{min(near)[1]},{min(near)[2]}" if near else None)
+    plan = grids.to_nearest_points(d, w, ["x", "y"], 3.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("collect_list") < plan.index("explode")
+    assert len(got) == len(places)
+
+
 def test_quantiles_of_uneven_groups(spark):
     from thalassa.operators.quantiles import quantiles
 

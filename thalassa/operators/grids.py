@@ -39,21 +39,37 @@ def within(df: DataFrame, **limits: tuple[float | None, float | None]) -> DataFr
     return df
 
 
+#: The most rows of data that are put into one list.
+LIST = 1 << 8
+
+
 def to_nearest_points(data: DataFrame, wanted: DataFrame, axes: list[str], reach: float) -> DataFrame:
     """wanted with the columns of the nearest row of data within `reach` on every axis, null if there is none.
 
-    Both sides meet by cells of width reach, data in its neighbours' cells too: pairs grow with the rows of a cell.
+    Both sides meet by cells of width reach, data in its neighbours' cells too, as lists of about LIST rows: a row of wanted
+    looks through a list where it meets it and keeps the nearest of it, so that no pairs are sorted or shuffled.
     """
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    others = [c for c in data.columns if c not in axes]
-    d = data.select(*[F.col(c).alias(f"_{c}") for c in axes], *others, *[cell(c).alias(f"_c{i}") for i, c in enumerate(axes)])
-    for i in range(len(axes)):
-        d = d.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + k for k in (-1, 0, 1)])))
-    w = wanted.withColumn("_id", F.monotonically_increasing_id()).withColumns({f"_k{i}": cell(c) for i, c in enumerate(axes)})
-    both = w.join(d, reduce(lambda a, b: a & b, [F.col(f"_k{i}") == F.col(f"_c{i}") for i in range(len(axes))]), "left")
-    far = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_{c}")) ** 2 for c in axes])
-    near = reduce(lambda a, b: a & b, [F.abs(F.col(c) - F.col(f"_{c}")) <= reach for c in axes])
-    best = both.groupBy("_id", *wanted.columns).agg(F.min_by(F.struct(*others), F.when(near, F.struct(far, *[F.col(f"_{c}") for c in axes]))).alias("_b"))
+    others, at, own = [c for c in data.columns if c not in axes], [f"_c{i}" for i in range(len(axes))], [f"_k{i}" for i in range(len(axes))]
+    row = F.struct(*[F.col(c).alias(f"a{i}") for i, c in enumerate(axes)], F.struct(*others).alias("v")).alias("_row")
+    d = data.select(row, *[cell(c).alias(k) for c, k in zip(axes, at, strict=True)])
+    for k in at:
+        d = d.withColumn(k, F.explode(F.array(*[F.col(k) + n for n in (-1, 0, 1)])))
+    counts = d.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / LIST).alias("_parts"))
+    d = d.withColumn("_part", F.monotonically_increasing_id()).join(counts, at).withColumn("_part", F.col("_part") % F.col("_parts"))
+    d = d.groupBy(*at, "_part").agg(F.collect_list("_row").alias("_rows")).drop("_part")
+    w = wanted.withColumn("_id", F.monotonically_increasing_id()).withColumns({k: cell(c) for c, k in zip(axes, own, strict=True)})
+    both = w.join(d, reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(own, at, strict=True)]), "left")
+
+    def place(p: Column) -> Column:
+        far = reduce(lambda a, b: a + b, [(F.col(c) - p[f"a{i}"]) ** 2 for i, c in enumerate(axes)])
+        near = reduce(lambda a, b: a & b, [F.abs(F.col(c) - p[f"a{i}"]) <= reach for i, c in enumerate(axes)])
+        return F.when(near, F.struct(far.alias("far"), *[p[f"a{i}"].alias(f"a{i}") for i in range(len(axes))]))
+
+    places = F.transform("_rows", lambda p, i: F.struct(place(p).alias("o"), i.alias("i")))
+    nearest_ = both.select("_id", *wanted.columns, "_rows", F.array_min(F.filter(places, lambda q: q["o"].isNotNull())).alias("_n"))
+    listed = nearest_.select("_id", *wanted.columns, F.col("_n.o").alias("_o"), F.get("_rows", F.col("_n.i"))["v"].alias("_v"))
+    best = listed.groupBy("_id", *wanted.columns).agg(F.min_by("_v", "_o").alias("_b"))
     return best.select(*wanted.columns, *[F.col(f"_b.{c}").alias(c) for c in others])
 
 
