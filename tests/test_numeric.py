@@ -258,6 +258,22 @@ def test_nearest_points_in_lists(spark, monkeypatch):
     assert len(got) == len(places)
 
 
+def test_harmonics_of_many_rows_come_in_slices(spark):
+    """What a batch gives is ten times as long as the batch: it is yielded in slices of its rows."""
+    import pandas as pd
+
+    inner, real = [], F.pandas_udf
+    F.pandas_udf = lambda kind: lambda f: inner.append(f) or (lambda *a: None)
+    try:
+        spectral.harmonics(F.col("x"), 6400.0, 60)
+    finally:
+        F.pandas_udf = real
+    rows = np.random.default_rng(6).normal(size=(1000, 64))
+    parts = list(inner[0](iter([pd.Series(list(rows)), pd.Series([None, rows[0]])])))
+    assert max(len(p) for p in parts) <= 256 and sum(len(p) for p in parts) == 1002
+    assert parts[-1][0] is None and np.array_equal(parts[-1][1], parts[0][0])
+
+
 def test_quantiles_of_uneven_groups(spark):
     from thalassa.operators.quantiles import quantiles
 

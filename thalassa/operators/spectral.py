@@ -7,6 +7,8 @@ gives null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,6 +134,9 @@ def instantaneous_frequency(x: Column, seconds: Column) -> Column:
     return of(x, seconds)
 
 
+#: The rows whose results are held at a time, where they are longer than what they come of.
+SLICE = 256
+
 #: Highest harmonic frequency (exclusive) of the 5 Hz grid, by grid frequency.
 GRID = {60: (3060, 3060), 50: (2570, 2550)}
 
@@ -140,20 +145,22 @@ def harmonics(x: Column, rate: float, grid: int) -> Column:
     """Amplitudes at 0, 5, 10, ... Hz of an array of samples: those of the nearest frequencies of the transform."""
     hertz = np.arange(0, GRID[grid][0], 5)
 
+    def one(v) -> np.ndarray | None:
+        v = _whole(v)
+        if v is None or not len(v):
+            return None
+        f = np.sort(np.fft.fftfreq(len(v), 1 / rate))
+        a = np.abs(np.fft.fft(v))[np.argsort(np.fft.fftfreq(len(v), 1 / rate))] * 2 / len(v)
+        hi = np.minimum(np.searchsorted(f, hertz), len(f) - 1)
+        lo = np.maximum(hi - 1, 0)
+        return a[np.where(np.abs(f[hi] - hertz) <= np.abs(hertz - f[lo]), hi, lo)]
+
     @F.pandas_udf("array<double>")
-    def of(s: pd.Series) -> pd.Series:
-        out = []
-        for v in s:
-            v = _whole(v)
-            if v is None or not len(v):
-                out.append(None)
-                continue
-            f = np.sort(np.fft.fftfreq(len(v), 1 / rate))
-            a = np.abs(np.fft.fft(v))[np.argsort(np.fft.fftfreq(len(v), 1 / rate))] * 2 / len(v)
-            hi = np.minimum(np.searchsorted(f, hertz), len(f) - 1)
-            lo = np.maximum(hi - 1, 0)
-            out.append(a[np.where(np.abs(f[hi] - hertz) <= np.abs(hertz - f[lo]), hi, lo)])
-        return pd.Series(out)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            # a row gives more than 500 numbers: few rows at a time
+            for k in range(0, len(s), SLICE):
+                yield pd.Series([one(v) for v in s[k : k + SLICE]])
 
     return of(x)
 
