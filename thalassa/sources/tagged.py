@@ -72,13 +72,14 @@ class Tagged(Framing):
         return at[good], size[good]
 
     def whole(self, data, at, size):
-        pairs = lambda lo: (d := data[lo : lo + (len(data) - lo) // 2 * 2].astype(np.int64))[0::2] + 256 * d[1::2]
-        sums = [np.append(0, np.cumsum(pairs(lo))) for lo in (0, 1)]
+        # sums count modulo 2^16 only, so words and their sums stay of 16 bits
+        pairs = lambda lo: np.frombuffer(np.ascontiguousarray(data[lo:]), "<u2", (len(data) - lo) // 2)
+        sums = [np.append(np.uint16(0), np.cumsum(pairs(lo), dtype=np.uint16)) for lo in (0, 1)]
         head = data[at + 1].astype(np.int64)
         start, n = at + head, size - head
         even = start % 2 == 0
         of = lambda s, lo: s[np.clip((start - lo) // 2 + n // 2, 0, len(s) - 1)] - s[np.clip((start - lo) // 2, 0, len(s) - 1)]
-        total = CHECK_START + np.where(even, of(sums[0], 0), of(sums[1], 1))
+        total = CHECK_START + np.where(even, of(sums[0], 0), of(sums[1], 1)).astype(np.int64)
         total += np.where(n % 2 == 1, data[np.maximum(at + size - 1, 0)].astype(np.int64) * 256, 0)
         want = np.where(head == 12, data[at + 8] + 256 * data[at + 9].astype(np.int64), data[at + 6] + 256 * data[at + 7].astype(np.int64))
         return (size <= self.longest) & (total % 65536 == want)
