@@ -87,6 +87,20 @@ def test_distribution_functions_invert(spark):
     assert all(x == pytest.approx(0.37) for x in r)
 
 
+def test_fits_side_by_side_are_those_of_each_row():
+    """Series are fitted together, each with the steps it would take alone."""
+    rng = np.random.default_rng(11)
+    x = np.abs(rng.normal(size=(60, 40)) * rng.uniform(0.1, 30, (60, 1))) + 0.001
+    for together in (loads.fit_gumbels, loads.fit_gevs, loads.fit_weibulls, loads.fit_paretos, loads.fit_tails):
+        assert np.array_equal(together(x), np.concatenate([together(v[None]) for v in x]))
+    calls = []
+    start = rng.normal(size=(200, 2))
+    got = loads.nelder_meads(lambda p, rows: calls.append(len(p)) or ((p - start[rows] - 1) ** 2).sum(1), start)
+    assert np.allclose(got, start + 1, atol=1e-5) and len(calls) < 1000
+    alone = loads.nelder_mead(lambda q: float(((q - start[7] - 1) ** 2).sum()), start[7])
+    assert np.array_equal(alone, got[7])
+
+
 def test_fits_of_short_series(spark):
     d = spark.createDataFrame([([],), (None,), ([1.0],), ([2.0, 2.0],)], "x array<double>")
     assert all(r.g.loc is None for r in d.select(loads.gumbel_of(F.col("x")).alias("g")).collect())

@@ -135,172 +135,240 @@ def long_term_extreme(df: DataFrame, by: list[str], cdf: str, weight: str) -> Da
     return df.groupBy(*by).agg((F.sum(F.col(cdf) * F.col(weight)) / F.sum(weight)).alias("cdf"))
 
 
-def _struct_fit(x: Column, schema: str, fit) -> Column:
+#: The most values of series that are fitted together.
+TOGETHER = 1 << 18
+
+
+def _by_length(series: list[np.ndarray]):
+    """(places, matrix): the series of one length as rows, at most TOGETHER values at a time."""
+    lengths = np.array([len(v) for v in series], int)
+    for n in np.unique(lengths):
+        own = np.flatnonzero(lengths == n)
+        step = max(1, TOGETHER // max(int(n), 1))
+        for k in range(0, len(own), step):
+            part = own[k : k + step]
+            yield part, np.stack([series[i] for i in part])
+
+
+def _struct_fit(x: Column, schema: str, fits) -> Column:
+    """fits: the parameters of the rows of a matrix, a row per row; NaN where there is no fit."""
     names = [f.split(":")[0] for f in schema[7:-1].split(",")]
 
     @F.pandas_udf(schema)
     def of(s: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in s:
-            v = np.asarray([] if v is None else v, float)
-            v = v[np.isfinite(v)]
-            r = fit(v) if len(v) > 1 and v.max() > v.min() else None
-            out.append(r if r is not None else (None,) * len(names))
+        series = [np.asarray([] if v is None else v, float) for v in s]
+        series = [v[np.isfinite(v)] for v in series]
+        fit = np.flatnonzero([len(v) > 1 and v.max() > v.min() for v in series])
+        out = np.full((len(series), len(names)), np.nan)
+        for places, rows in _by_length([series[i] for i in fit]):
+            out[fit[places]] = fits(rows)
         return pd.DataFrame(out, columns=names)
 
     return of(x)
 
 
-def nelder_mead(f, start: np.ndarray, steps: int = 400) -> np.ndarray:
-    """A minimum of f by the downhill simplex."""
-    n = len(start)
-    points = [np.array(start, float)]
+def nelder_meads(f, start: np.ndarray, steps: int = 400) -> np.ndarray:
+    """A minimum by the downhill simplex for each row of start, all rows side by side.
+
+    f takes points, one a row, and of each the number of its row in start.
+    """
+    m, n = start.shape
+    points = np.repeat(np.asarray(start, float)[:, None], n + 1, 1)
     for i in range(n):
-        p = np.array(start, float)
-        p[i] = p[i] * 1.05 if p[i] else 0.00025
-        points.append(p)
-    values = [f(p) for p in points]
+        points[:, i + 1, i] = np.where(points[:, i + 1, i] != 0, points[:, i + 1, i] * 1.05, 0.00025)
+    values = np.stack([f(points[:, i], np.arange(m)) for i in range(n + 1)], 1)
+    on = np.arange(m)
     for _ in range(steps * n):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if max(np.abs(p - points[0]).max() for p in points[1:]) < 1e-6 and values[-1] - values[0] < 1e-7:
+        order = np.argsort(values[on], 1, kind="stable")
+        p, v = np.take_along_axis(points[on], order[..., None], 1), np.take_along_axis(values[on], order, 1)
+        points[on], values[on] = p, v
+        with np.errstate(invalid="ignore"):
+            going = ~((np.abs(p[:, 1:] - p[:, :1]).max((1, 2)) < 1e-6) & (v[:, -1] - v[:, 0] < 1e-7))
+        on, p, v = on[going], p[going], v[going]
+        if not len(on):
             break
-        centre = np.mean(points[:-1], axis=0)
-        away = centre + (centre - points[-1])
-        fa = f(away)
-        if fa < values[0]:
-            far = centre + 2 * (centre - points[-1])
-            ff = f(far)
-            points[-1], values[-1] = (far, ff) if ff < fa else (away, fa)
-        elif fa < values[-2]:
-            points[-1], values[-1] = away, fa
-        else:
-            near = centre + 0.5 * ((away if fa < values[-1] else points[-1]) - centre)
-            fn = f(near)
-            if fn < min(fa, values[-1]):
-                points[-1], values[-1] = near, fn
-            else:
-                points = [points[0], *(points[0] + 0.5 * (p - points[0]) for p in points[1:])]
-                values = [values[0], *(f(p) for p in points[1:])]
-    return points[int(np.argmin(values))]
+        centre, last = np.mean(p[:, :-1], axis=1), p[:, -1]
+        away = centre + (centre - last)
+        fa = f(away, on)
+        new, value = away.copy(), fa.copy()
+        best = fa < v[:, 0]
+        if best.any():
+            far = centre[best] + 2 * (centre[best] - last[best])
+            ff = f(far, on[best])
+            better = ff < fa[best]
+            new[best], value[best] = np.where(better[:, None], far, away[best]), np.where(better, ff, fa[best])
+        poor = np.flatnonzero(~best & ~(fa < v[:, -2]))
+        if len(poor):
+            a, e = fa[poor], v[poor, -1]
+            near = centre[poor] + 0.5 * (np.where((a < e)[:, None], away[poor], last[poor]) - centre[poor])
+            fn = f(near, on[poor])
+            taken = fn < np.where(e < a, e, a)
+            new[poor[taken]], value[poor[taken]] = near[taken], fn[taken]
+            shrink = poor[~taken]
+            if len(shrink):
+                p[shrink, 1:] = p[shrink, :1] + 0.5 * (p[shrink, 1:] - p[shrink, :1])
+                for i in range(1, n + 1):
+                    v[shrink, i] = f(p[shrink, i], on[shrink])
+                new[shrink], value[shrink] = p[shrink, -1], v[shrink, -1]
+        p[:, -1], v[:, -1] = new, value
+        points[on], values[on] = p, v
+    return points[np.arange(m), np.argmin(values, 1)]
 
 
-def fit_weibull(x: np.ndarray) -> tuple[float, float] | None:
-    """Shape and scale of greatest likelihood of positive values: the shape is the root of a rising function."""
-    x = x[x > 0]
-    if len(x) < 2:
-        return None
-    logs = np.log(x / x.max())
-    mean = logs.mean()
+def nelder_mead(f, start: np.ndarray, steps: int = 400) -> np.ndarray:
+    """A minimum of f by the downhill simplex."""
+    return nelder_meads(lambda p, _: np.array([f(q) for q in p], float), np.asarray(start, float)[None], steps)[0]
 
-    def g(c):
-        w = np.exp(c * logs)
-        return (w * logs).sum() / w.sum() - 1 / c - mean
 
-    lo, hi = 1e-3, 1.0
-    while g(hi) < 0 and hi < 1e6:
-        hi *= 2
+def _halved(below, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The middle of 200 halvings of each span, to the upper half where below(middle); settled spans stay as they are."""
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if g(mid) < 0 else (lo, mid)
-    c = (lo + hi) / 2
-    return c, float(x.max() * np.exp(c * logs).mean() ** (1 / c))
+        settled = bool(((mid == lo) | (mid == hi)).all())
+        up = below(mid)
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+        if settled:
+            break
+    return (lo + hi) / 2
 
 
-def fit_gumbel(x: np.ndarray) -> tuple[float, float]:
-    """Location and scale of greatest likelihood."""
-    low, mean = x.min(), x.mean()
+def fit_weibulls(x: np.ndarray) -> np.ndarray:
+    """Shape and scale of greatest likelihood of positive values, by row: the shape is the root of a rising function."""
+    logs = np.log(x / x.max(1, keepdims=True))
+    mean = logs.mean(1)
+
+    def g(c):
+        w = np.exp(c[:, None] * logs)
+        return (w * logs).sum(1) / w.sum(1) - 1 / c - mean
+
+    lo, hi = np.full(len(x), 1e-3), np.ones(len(x))
+    while (more := (g(hi) < 0) & (hi < 1e6)).any():
+        hi = np.where(more, hi * 2, hi)
+    c = _halved(lambda mid: g(mid) < 0, lo, hi)
+    return np.stack([c, x.max(1) * np.exp(c[:, None] * logs).mean(1) ** (1 / c)], 1)
+
+
+def fit_weibull(x: np.ndarray) -> tuple[float, float] | None:
+    x = x[x > 0]
+    return tuple(map(float, fit_weibulls(x[None])[0])) if len(x) > 1 else None
+
+
+def fit_gumbels(x: np.ndarray) -> np.ndarray:
+    """Location and scale of greatest likelihood, by row."""
+    low, mean = x.min(1), x.mean(1)
 
     def g(b):
-        w = np.exp(-(x - low) / b)
-        return mean - (x * w).sum() / w.sum() - b
+        w = np.exp(-(x - low[:, None]) / b[:, None])
+        return mean - (x * w).sum(1) / w.sum(1) - b
 
-    lo, hi = 1e-12 * max(1.0, abs(mean)), x.max() - low
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if g(mid) > 0 else (lo, mid)
-    b = (lo + hi) / 2
-    return float(low - b * np.log(np.exp(-(x - low) / b).mean())), float(b)
+    b = _halved(lambda mid: g(mid) > 0, 1e-12 * np.maximum(1.0, np.abs(mean)), x.max(1) - low)
+    return np.stack([low - b * np.log(np.exp(-(x - low[:, None]) / b[:, None]).mean(1)), b], 1)
+
+
+def fit_gumbel(x: np.ndarray) -> tuple[float, float]:
+    return tuple(map(float, fit_gumbels(x[None])[0]))
+
+
+def fit_gevs(x: np.ndarray) -> np.ndarray:
+    """c, location and scale of greatest likelihood, from the Gumbel fit, by row."""
+    start = fit_gumbels(x)
+
+    def loss(p, rows):
+        c, s = p[:, :1], np.exp(p[:, 2:])
+        z, flat = (x[rows] - p[:, 1:2]) / s, np.abs(p[:, 0]) < 1e-9
+        with np.errstate(all="ignore"):
+            y = 1 - c * z
+            t = np.log(np.where(y > 0, y, 1)) / c
+            out = np.where((y <= 0).any(1), np.inf, x.shape[1] * p[:, 2] + (np.exp(t) - (1 - c) * t).sum(1))
+            return np.where(flat, x.shape[1] * p[:, 2] + (z + np.exp(-z)).sum(1), out) if flat.any() else out
+
+    q = nelder_meads(loss, np.stack([np.full(len(x), 0.1), start[:, 0], np.log(start[:, 1])], 1), 600)
+    return np.stack([q[:, 0], q[:, 1], np.exp(q[:, 2])], 1)
 
 
 def fit_gev(x: np.ndarray) -> tuple[float, float, float]:
-    """c, location and scale of greatest likelihood, from the Gumbel fit."""
-    loc, scale = fit_gumbel(x)
+    return tuple(map(float, fit_gevs(x[None])[0]))
+
 
-    def loss(p):
-        c, m, s = p[0], p[1], np.exp(p[2])
-        z = (x - m) / s
-        if abs(c) < 1e-9:
-            return len(x) * p[2] + (z + np.exp(-z)).sum()
-        y = 1 - c * z
-        if (y <= 0).any():
-            return np.inf
-        t = np.log(y) / c
-        return len(x) * p[2] + (np.exp(t) - (1 - c) * t).sum()
+def fit_paretos(x: np.ndarray) -> np.ndarray:
+    """c and scale of greatest likelihood of excesses over a threshold, by row."""
 
-    c, m, s = nelder_mead(loss, np.array([0.1, loc, np.log(scale)]), 600)
-    return float(c), float(m), float(np.exp(s))
+    def loss(p, rows):
+        c, s = p[:, :1], np.exp(p[:, 1:])
+        with np.errstate(all="ignore"):
+            y = 1 + c * x[rows] / s
+            tail = np.where(np.abs(p[:, 0]) < 1e-9, x[rows].sum(1) / s[:, 0], (1 + 1 / c[:, 0]) * np.log(np.where(y > 0, y, 1)).sum(1))
+        return np.where((y <= 0).any(1), np.inf, x.shape[1] * p[:, 1] + tail)
+
+    q = nelder_meads(loss, np.stack([np.full(len(x), 0.1), np.log(x.mean(1))], 1), 600)
+    return np.stack([q[:, 0], np.exp(q[:, 1])], 1)
 
 
 def fit_pareto(x: np.ndarray) -> tuple[float, float] | None:
-    """c and scale of greatest likelihood of excesses over a threshold."""
     x = x[x > 0]
-    if len(x) < 2:
-        return None
+    return tuple(map(float, fit_paretos(x[None])[0])) if len(x) > 1 else None
+
+
+def fit_tails(x: np.ndarray) -> np.ndarray:
+    """Shape and scale, by row: the mean of seven least-squares fits of a Weibull distribution to the empirical one above its
+    60 to 90 %."""
+    x = np.sort(x, 1)
+    start, place, found = np.log(fit_weibulls(x)), np.arange(x.shape[1]) / (x.shape[1] + 1.0), []
+    for limit in 0.6 + 0.05 * np.arange(7):
+        top, p = x[:, place > limit], place[place > limit]
+        if len(p) < 2:
+            continue
+
+        def loss(q, rows, top=top, p=p):
+            with np.errstate(all="ignore"):
+                return ((1 - np.exp(-((top[rows] / np.exp(q[:, 1:])) ** np.exp(q[:, :1]))) - p) ** 2).sum(1)
+
+        found.append(np.exp(nelder_meads(loss, start)))
+    return np.mean(found, axis=0) if found else np.full((len(x), 2), np.nan)
+
 
-    def loss(p):
-        c, s = p[0], np.exp(p[1])
-        y = 1 + c * x / s
-        if (y <= 0).any():
-            return np.inf
-        return len(x) * p[1] + (x.sum() / s if abs(c) < 1e-9 else (1 + 1 / c) * np.log(y).sum())
+def _of_some(fits, keep, width: int):
+    """Fits to the values of each row that keep(rows) marks; rows with fewer than two have none."""
 
-    c, s = nelder_mead(loss, np.array([0.1, np.log(x.mean())]), 600)
-    return float(c), float(np.exp(s))
+    def of(x: np.ndarray) -> np.ndarray:
+        some, out = [v[k] for v, k in zip(x, keep(x), strict=True)], np.full((len(x), width), np.nan)
+        for places, rows in _by_length(some):
+            if rows.shape[1] > 1:
+                out[places] = fits(rows)
+        return out
+
+    return of
 
 
 def weibull_of(x: Column) -> Column:
     """struct<shape, scale> fitted to an array of peaks."""
-    return _struct_fit(x, "struct<shape:double,scale:double>", fit_weibull)
+    return _struct_fit(x, "struct<shape:double,scale:double>", _of_some(fit_weibulls, lambda v: v > 0, 2))
 
 
 def weibull_tail_of(x: Column) -> Column:
     """struct<shape, scale>: the mean of seven least-squares fits to the empirical distribution above its 60 to 90 %."""
-
-    def fit(v):
-        v = np.sort(v[v > 0])
-        start = fit_weibull(v)
-        if start is None:
-            return None
-        place, found = np.arange(len(v)) / (len(v) + 1.0), []
-        for limit in 0.6 + 0.05 * np.arange(7):
-            x, p = v[place > limit], place[place > limit]
-            if len(x) < 2:
-                continue
-            loss = lambda q: ((1 - np.exp(-((x / np.exp(q[1])) ** np.exp(q[0]))) - p) ** 2).sum()  # noqa: E731, B023
-            found.append(np.exp(nelder_mead(loss, np.log(start))))
-        return tuple(map(float, np.mean(found, axis=0))) if found else None
-
-    return _struct_fit(x, "struct<shape:double,scale:double>", fit)
+    return _struct_fit(x, "struct<shape:double,scale:double>", _of_some(fit_tails, lambda v: v > 0, 2))
 
 
 def gumbel_of(x: Column) -> Column:
-    return _struct_fit(x, "struct<loc:double,scale:double>", fit_gumbel)
+    return _struct_fit(x, "struct<loc:double,scale:double>", fit_gumbels)
 
 
 def gev_of(x: Column) -> Column:
-    return _struct_fit(x, "struct<c:double,loc:double,scale:double>", fit_gev)
+    return _struct_fit(x, "struct<c:double,loc:double,scale:double>", fit_gevs)
 
 
 def over_threshold_of(x: Column, threshold: float | None = None) -> Column:
     """struct<threshold, n, n_over, c, scale>: a Pareto fit of the peaks over a threshold, mean + 1.4 deviations by default."""
 
-    def fit(v):
-        at = v.mean() + 1.4 * v.std() if threshold is None else threshold
-        p = fit_pareto(v[v > at] - at)
-        return None if p is None else (float(at), float(len(v)), float((v > at).sum()), *p)
+    def fits(v):
+        at = v.mean(1) + 1.4 * v.std(1) if threshold is None else np.full(len(v), float(threshold))
+        over = v - at[:, None]
+        p = _of_some(fit_paretos, lambda u: u > 0, 2)(over)
+        out = np.stack([at, np.full(len(v), float(v.shape[1])), (v > at[:, None]).sum(1), *p.T], 1)
+        return np.where(np.isnan(p[:, :1]), np.nan, out)
 
-    return _struct_fit(x, "struct<threshold:double,n:double,n_over:double,c:double,scale:double>", fit)
+    return _struct_fit(x, "struct<threshold:double,n:double,n_over:double,c:double,scale:double>", fits)
 
 
 def hazen(x: np.ndarray, share: float) -> float:
@@ -391,7 +459,7 @@ def automatic_threshold(x: np.ndarray, hours: float, span: tuple[float, float, f
 
 
 def automatic_threshold_of(x: Column, hours: float) -> Column:
-    return _struct_fit(x, "struct<share:double,value:double>", lambda v: automatic_threshold(v, hours))
+    return _struct_fit(x, "struct<share:double,value:double>", lambda rows: [automatic_threshold(v, hours) for v in rows])
 
 
 # --- most likely extreme response ----------------------------------------------------------------------------------
