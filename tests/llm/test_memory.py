@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 from thalassa.llm import scratch
+from thalassa.llm.components import connected
 
 
 def _mb(pid: int) -> float:
@@ -35,3 +36,19 @@ def test_intermediate_tables_give_memory_back_now_and_then(spark, monkeypatch):
     monkeypatch.setattr(scratch, "_relieved", -float("inf"))
     assert scratch.materialize(spark.range(5)).count() == 5
     assert calls == [spark]
+
+
+def test_components_of_many_partitions_are_few_files(spark):
+    names = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        links = spark.range(300).selectExpr("id a", "id + 1 b").where("b % 3 > 0")
+        got = connected(links)
+        assert {tuple(r) for r in got.collect()} == {(i, i - i % 3) for i in range(301) if i < 300 or i % 3}
+        files = [p.name for p in Path(got._scratch_path.removeprefix("file://")).iterdir() if not p.name.startswith(".")]
+        assert len(files) == 1 and files[0].startswith("part-")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

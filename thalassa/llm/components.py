@@ -20,7 +20,7 @@ def connected(links: DataFrame) -> DataFrame:
     Each round joins the links with one aggregated row per node, so a node with many links is never gathered; rounds
     grow with the logarithm of the longest path. Links of a node with itself are allowed.
     """
-    edges = scratch.materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = scratch.materialize_narrow(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = _digest(edges)
     while seen[0]:
         # large star: every larger neighbour of u links to the least of u and its neighbours
@@ -31,13 +31,13 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, F.col("u") == F.col("w"))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = scratch.materialize(small.where("u != v").distinct())
+        new = scratch.materialize_narrow(small.where("u != v").distinct())
         scratch.drop(edges)
         edges, before, seen = new, seen, _digest(new)
         if seen == before:
             break
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("c"))
-    return scratch.materialize(out.unionByName(edges.select("v", "v").toDF("node", "c").distinct()))
+    return scratch.materialize_narrow(out.unionByName(edges.select("v", "v").toDF("node", "c").distinct()))
 
 
 def extended(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -47,6 +47,6 @@ def extended(comp: DataFrame, links: DataFrame) -> DataFrame:
     new = connected(at(at(links.select("a", "b"), "a"), "b"))
     moved = comp.join(new.select(F.col("node").alias("m"), F.col("c").alias("d")), F.col("c") == F.col("m"), "left").select("node", F.coalesce("d", "c").alias("c"))
     alone = new.join(known, F.col("node") == F.col("m"), "left_anti")
-    out = scratch.materialize(moved.unionByName(alone))
+    out = scratch.materialize_narrow(moved.unionByName(alone))
     scratch.drop(new)
     return out

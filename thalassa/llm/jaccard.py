@@ -345,7 +345,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link, by exact intersection."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
-    wanted = scratch.materialize(nodes.join(wanted, F.col("node") == F.col("m")).select("node", "rep"))
+    wanted = scratch.keep(nodes.join(wanted, F.col("node") == F.col("m")).select("node", "rep"))
 
     def sets(batches):
         for b in batches:
@@ -356,7 +356,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: in
 
     near = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda x: x
     texts = docs.select("doc_id", "text").join(near(wanted), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    arrays = scratch.materialize(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]))
+    arrays = scratch.keep(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]))
 
     def verify(batches):
         for b in batches:
@@ -373,7 +373,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: in
 
     x = arrays.select(F.col("node").alias("a"), F.col("items").alias("x"))
     y = arrays.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    out = scratch.materialize(pairs.join(x, "a").join(y, "b").mapInArrow(verify, "a long, b long"))
+    out = scratch.materialize_narrow(pairs.join(x, "a").join(y, "b").mapInArrow(verify, "a long, b long"))
     scratch.drop(arrays, wanted)
     return out
 
@@ -393,7 +393,7 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     first = tiles.select(F.explode(F.array("head", "prev")).alias("o"), "node").where("o != node").groupBy("node", "o").agg(F.count(F.lit(1)).alias("c"))
     first = first.groupBy("node").agg(F.max_by("o", F.struct("c", "o")).alias("o"))
     first = first.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct()
-    first = scratch.materialize(_likely(first, nodes, num, den))
+    first = scratch.materialize_narrow(_likely(first, nodes, num, den))
     links = _linked(first, nodes, docs, k, num, den)
     comp = connected(links)
     scratch.drop(first, links)
@@ -403,7 +403,7 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
         if span:  # all pairs of small tiles, once
             pairs = small.mapInArrow(_pairs(num, den, False), "a long, b long").distinct()
             held = held.unionByName(_likely(pairs, nodes, num, den))
-        held = scratch.materialize(held.distinct())
+        held = scratch.materialize_narrow(held.distinct())
         scratch.drop(open_)
         links, before = _linked(held, nodes, docs, k, num, den), comp
         comp = extended(before, links)
@@ -411,7 +411,7 @@ def _nodes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     scratch.drop(tiles)
     named = nodes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("c", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component"))
-    named = scratch.materialize(named.join(least, "c").select(F.col("node").alias("m"), "component"))
+    named = scratch.materialize_narrow(named.join(least, "c").select(F.col("node").alias("m"), "component"))
     scratch.drop(nodes)
     return signed, named
 
@@ -436,7 +436,7 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     best = mine.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "node", "hash")).alias("x"))
     judged = mine.join(best.withColumnRenamed("component", "_c"), F.col("component") == F.col("_c"))
     stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("hash") == F.col("x.hash")) & (F.col("node") == F.col("x.node"))
-    judged = scratch.materialize(judged.select(F.col("doc_id").alias(id_), F.col("hash").alias(text_), stays.alias("stays"), "rows").where("NOT stays OR rows > 1"))
+    judged = scratch.materialize_narrow(judged.select(F.col("doc_id").alias(id_), F.col("hash").alias(text_), stays.alias("stays"), "rows").where("NOT stays OR rows > 1"))
     near = F.broadcast if judged.count() <= BROADCAST_ROWS else lambda x: x
     gone, several = near(judged.where("NOT stays").select(id_, text_).distinct()), judged.where("stays").select(id_, text_)
     (mark,) = scratch.fresh([*docs.columns, id_, text_], "mark")

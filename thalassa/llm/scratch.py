@@ -71,6 +71,26 @@ def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFra
     return out
 
 
+#: Rows of a file of materialize_narrow().
+FILE_ROWS = 1 << 18
+
+
+def materialize_narrow(df: DataFrame) -> DataFrame:
+    """As materialize(), for tables of a few numbers a row that many partitions give little of: as few files as their rows
+    need, and none that only marks the end.
+
+    Where Hadoop has no native library, each file (and its checksum) starts a child process of the executor, which for a
+    moment counts with the whole memory of its parent.
+    """
+    held = keep(df)
+    try:
+        files = -(-held.count() // FILE_ROWS)
+        # all rows are held, so that fewer tasks only copy them
+        return materialize(held.coalesce(max(1, files)), {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"})
+    finally:
+        drop(held)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df held on the executors' disks until drop(), for tables of short lineage that are read several times: what a lost
     executor held is computed again."""
