@@ -38,6 +38,23 @@ def test_intermediate_tables_give_memory_back_now_and_then(spark, monkeypatch):
     assert calls == [spark]
 
 
+def test_executors_collect_their_garbage_now_and_then(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    count = lambda: sum(b.getCollectionCount() for b in beans())
+    before = count()
+    with monkeypatch.context() as m:
+        # as if it were a cluster: this JVM runs the tasks
+        m.setattr(spark.sparkContext, "master", "spark://cluster")
+        m.setattr(scratch, "_executors_relieved", -float("inf"))
+        assert scratch.materialize(spark.range(5)).count() == 5
+        assert scratch._executors_relieved > 0
+    assert count() > before
+    calls = []
+    monkeypatch.setattr(scratch, "relieve_executors", calls.append)
+    scratch.materialize(spark.range(5))
+    assert not calls
+
+
 def test_components_of_many_partitions_are_few_files(spark):
     names = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in names}

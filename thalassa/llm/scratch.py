@@ -56,6 +56,25 @@ def relieve(spark: SparkSession) -> None:
     _relieved = time.monotonic()
 
 
+#: Seconds from one relieve_executors() of materialize() to the next.
+EXECUTORS_PAUSE = 20
+_executors_relieved = -float("inf")
+
+
+def relieve_executors(spark: SparkSession) -> None:
+    """Collect the garbage of the executors' JVMs, which then give the freed part of their heaps back to the system.
+
+    A heap only grows while there is room below its limit: after some stages it is all garbage but for a few MB. One task for each
+    executor, which idle executors take one each. A local session's JVM is the driver's own, and is left alone.
+    """
+    global _executors_relieved
+    sc = spark.sparkContext
+    if not sc.master.startswith("local["):
+        n = max(1, len(sc._jsc.sc().statusTracker().getExecutorInfos()) - 1)
+        spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') g").write.format("noop").mode("overwrite").save()
+    _executors_relieved = time.monotonic()
+
+
 def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a reader of it: cuts lineage, survives lost executors.
 
@@ -68,6 +87,8 @@ def materialize(df: DataFrame, options: dict[str, str] | None = None) -> DataFra
     out._scratch_path = path
     if time.monotonic() - _relieved > PAUSE:
         relieve(spark)
+    if time.monotonic() - _executors_relieved > EXECUTORS_PAUSE:
+        relieve_executors(spark)
     return out
 
 
